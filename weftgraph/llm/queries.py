@@ -6,7 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.functions.keys import id_key, once
+from weftgraph.llm.copies import collapsed, hidden_copies
 from weftgraph.llm.groups import link_groups
+from weftgraph.llm.pieces import split_oversized
+from weftgraph.llm.tokens import encode_corpus
+
+SCORES = ("combined_score", "neighborhood", "fusion", "cooccurence", "coexpression", "experimental", "database", "textmining")
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -18,9 +23,70 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return link_groups(edges, "a", "b")
 
 
+def p1_group_sizes(spark: SparkSession, d: str) -> DataFrame:
+    return p1_found(spark, d).groupBy("group_key").agg(F.count(F.lit(1)).alias("size")).groupBy("size").agg(F.count(F.lit(1)).alias("groups"))
+
+
+def _copies(spark: SparkSession, d: str) -> DataFrame:
+    edges = once(_table(spark, d, "string_edges_head"), "row_id", *SCORES, a=id_key("node_a"), b=id_key("node_b")).where("a is not null and b is not null")
+    return hidden_copies(edges, "row_id", {"node": [F.col("a"), F.col("b")]} | {c: [F.col(c)] for c in SCORES})
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return _copies(spark, d).where("row_id <> keep_row_id")
+
+
+def p4_copies(spark: SparkSession, d: str) -> DataFrame:
+    return collapsed(_copies(spark, d))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return split_oversized(_table(spark, d, "seqs_parser"), "row_id", "seq")
+
+
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return encode_corpus(_table(spark, d, "documents"), "doc_id", "text")
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1].isdigit() and callable(f)}
 
 
+KEY = "nullif(upper(regexp_replace({0}, '[^A-Za-z0-9]', '', 'g')), '')"
+A, B = KEY.format("node_a"), KEY.format("node_b")
+
+_P1 = f"""
+WITH RECURSIVE e AS (SELECT DISTINCT {A} AS a, {B} AS b FROM string_edges_head WHERE combined_score IS NOT NULL),
+both_ways AS (SELECT a, b FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b),
+r AS (SELECT a AS node, a AS label FROM both_ways UNION SELECT w.b, r.label FROM r JOIN both_ways w ON r.node = w.a WHERE r.label < w.b),
+g AS (SELECT node, min(label) AS label FROM r GROUP BY node)
+SELECT node AS node_key, label AS group_key FROM g"""
+_P4 = f"""
+WITH e AS (SELECT row_id, {', '.join(SCORES)}, least({A}, {B}) AS x, greatest({A}, {B}) AS y FROM string_edges_head WHERE {A} IS NOT NULL AND {B} IS NOT NULL),
+k AS (SELECT row_id, min(row_id) OVER w AS keep_row_id, count(*) OVER w AS n FROM e WINDOW w AS (PARTITION BY x, y, {', '.join(SCORES)}))
+"""
+_BLANK = r"[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_P7 = rf"""
+WITH RECURSIVE s AS (SELECT row_id, regexp_replace(seq, '{_BLANK}', '', 'g') AS t FROM seqs_parser),
+long AS (SELECT row_id, t, length(t) AS n FROM s WHERE length(t) > 1022),
+cut AS (SELECT row_id, list(i) AS cuts FROM (SELECT row_id, t, n, unnest(range(1, n + 1)) AS i FROM long)
+  WHERE t[i] IN ('X', 'x', '*', '-') AND (i = n OR t[i + 1] NOT IN ('X', 'x', '*', '-')) GROUP BY row_id),
+f AS (SELECT l.row_id, l.n, coalesce(c.cuts, []) AS cuts FROM long l LEFT JOIN cut c USING (row_id)),
+p AS (
+  SELECT row_id, n, cuts, 1::BIGINT AS piece_no, 1::BIGINT AS start_pos,
+    coalesce(list_max(list_filter(cuts, lambda x: x BETWEEN 512 AND 1022)), 1022)::BIGINT AS end_pos FROM f
+  UNION ALL
+  SELECT row_id, n, cuts, piece_no + 1, end_pos - 253,
+    (CASE WHEN n - (end_pos - 253) + 1 <= 1022 THEN n ELSE coalesce(list_max(list_filter(cuts, lambda x: x BETWEEN end_pos + 258 AND end_pos + 768)), end_pos + 768) END)::BIGINT
+  FROM p WHERE end_pos < n)
+SELECT row_id, piece_no, start_pos, end_pos FROM p"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p1_found": _P1,
+        "p1_group_sizes": f"SELECT size, count(*) AS groups FROM (SELECT count(*) AS size FROM ({_P1}) GROUP BY group_key) GROUP BY size",
+        "p4_found": _P4 + "SELECT keep_row_id, row_id FROM k WHERE row_id <> keep_row_id",
+        "p4_copies": _P4 + "SELECT keep_row_id, count(*) AS n_copies FROM k WHERE n > 1 GROUP BY keep_row_id",
+        "p7_found": _P7,
+    }
