@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions.keys import id_key, once
 from weftgraph.llm.copies import collapsed, hidden_copies
+from weftgraph.llm.garble import garbled_texts
 from weftgraph.llm.groups import link_groups
+from weftgraph.llm.leaks import leaked_passages
+from weftgraph.llm.overlaps import split_overlaps
 from weftgraph.llm.pieces import split_oversized
 from weftgraph.llm.tokens import encode_corpus
 
@@ -40,6 +43,19 @@ def p4_copies(spark: SparkSession, d: str) -> DataFrame:
     return collapsed(_copies(spark, d))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    held_out = F.when(F.col("split").isin("val", "test"), True).when(F.col("split") == "train", False)
+    return split_overlaps(_table(spark, d, "string_edges_head"), "row_id", id_key("node_a"), id_key("node_b"), held_out)
+
+
+def p5_report(spark: SparkSession, d: str) -> DataFrame:
+    """Held-out rows that overlap training rows, by split and source."""
+    rows = _table(spark, d, "string_edges_head").select("row_id", "split", "source").where(F.col("split").isin("val", "test"))
+    ids = p5_found(spark, d)
+    ids = ids.select(F.col("row_id_1").alias("r")).unionByName(ids.select(F.col("row_id_2").alias("r"))).distinct()
+    return rows.join(ids, rows.row_id == ids.r).groupBy("split", "source").agg(F.count(F.lit(1)).alias("n"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return split_oversized(_table(spark, d, "seqs_parser"), "row_id", "seq")
 
@@ -48,6 +64,18 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_corpus(_table(spark, d, "documents"), "doc_id", "text")
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaked_passages(_table(spark, d, "documents"), "doc_id", "text", _table(spark, d, "eval_passages"), "item_id", "text")
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return p10_restored(spark, d).select("doc_id")
+
+
+def p10_restored(spark: SparkSession, d: str) -> DataFrame:
+    return garbled_texts(_table(spark, d, "documents"), "doc_id", "text")
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1].isdigit() and callable(f)}
 
@@ -81,9 +109,26 @@ p AS (
   FROM p WHERE end_pos < n)
 SELECT row_id, piece_no, start_pos, end_pos FROM p"""
 
+_P5 = f"""
+WITH e AS (SELECT row_id, split, source, split IN ('val', 'test') AS out, {A} AS a, {B} AS b FROM string_edges_head
+  WHERE split IN ('train', 'val', 'test') AND {A} IS NOT NULL AND {B} IS NOT NULL),
+w AS (SELECT row_id, out, a, b FROM e UNION SELECT row_id, out, b, a FROM e),
+p AS (SELECT DISTINCT least(t.row_id, h.row_id) AS row_id_1, greatest(t.row_id, h.row_id) AS row_id_2
+  FROM w t JOIN w h ON t.a = h.a AND NOT t.out AND h.out AND abs(length(t.b) - length(h.b)) <= 1 AND levenshtein(t.b, h.b) <= 1)
+"""
+_P9 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
+i AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_passages),
+dg AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 11], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS k FROM d)),
+ig AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 11], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS k FROM i))
+SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p5_found": _P5 + "SELECT row_id_1, row_id_2 FROM p",
+        "p5_report": _P5 + "SELECT split, source, count(*) AS n FROM e WHERE out AND row_id IN (SELECT row_id_1 FROM p UNION SELECT row_id_2 FROM p) GROUP BY split, source",
+        "p9_found": _P9,
         "p1_found": _P1,
         "p1_group_sizes": f"SELECT size, count(*) AS groups FROM (SELECT count(*) AS size FROM ({_P1}) GROUP BY group_key) GROUP BY size",
         "p4_found": _P4 + "SELECT keep_row_id, row_id FROM k WHERE row_id <> keep_row_id",
