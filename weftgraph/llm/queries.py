@@ -10,6 +10,7 @@ from weftgraph.llm.copies import collapsed, hidden_copies
 from weftgraph.llm.garble import garbled_texts
 from weftgraph.llm.groups import link_groups
 from weftgraph.llm.leaks import leaked_passages
+from weftgraph.llm.neighbours import latest_usable, nearest, similar_pairs
 from weftgraph.llm.overlaps import split_overlaps
 from weftgraph.llm.pieces import split_oversized
 from weftgraph.llm.tokens import encode_corpus
@@ -30,6 +31,10 @@ def p1_group_sizes(spark: SparkSession, d: str) -> DataFrame:
     return p1_found(spark, d).groupBy("group_key").agg(F.count(F.lit(1)).alias("size")).groupBy("size").agg(F.count(F.lit(1)).alias("groups"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return similar_pairs(nearest(latest_usable(_table(spark, d, "emb"), "row_id", id_key("ids"), "emb", 128)))
+
+
 def _copies(spark: SparkSession, d: str) -> DataFrame:
     edges = once(_table(spark, d, "string_edges_head"), "row_id", *SCORES, a=id_key("node_a"), b=id_key("node_b")).where("a is not null and b is not null")
     return hidden_copies(edges, "row_id", {"node": [F.col("a"), F.col("b")]} | {c: [F.col(c)] for c in SCORES})
