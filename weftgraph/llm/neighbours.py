@@ -143,7 +143,6 @@ def nearest(
     orders: int = 4,
     window: int = 384,
     rows_per_range: int = 16_384,
-    sample: int = 4096,
     seed: int = 11,
 ) -> DataFrame:
     """(``row``, ``other``, ``sim``, ``rank``): the ``k`` most similar rows of each row of (``r``, ``v``), found approximately.
@@ -152,9 +151,9 @@ def nearest(
     vectors. Each order is cut into ranges of about ``rows_per_range`` rows; within a range, ``orders``
     further curves of its own bring near vectors together, and windows of ``window`` rows to either side are
     compared. The best of all windows of all curves merge by similarity: the cosine in double precision,
-    in millionths; of equal ones the smaller row comes first. Mean and spread for the projections come from a sample of
-    ``sample`` rows; ranges are cut at quantiles of all keys. Vectors move once for each curve, in
-    compressed blocks; a range has a bounded size, however the vectors are spread.
+    in millionths; of equal ones the smaller row comes first. Mean and spread for the projections and the quantiles at
+    which ranges are cut come from all vectors. Vectors move once for each curve, in compressed blocks,
+    to a task of their range; a range has a bounded size, however the vectors are spread.
 
     Of equal vectors only the ``k`` + 1 smallest rows take part in the search: no row can have another of
     them among its best. The others get their ``k`` equal ones. Rows must be unique and usable; empty input gives
@@ -175,12 +174,23 @@ def nearest(
         gone = rest.select(F.col("r").alias("gone"))
         rows = rows.join(F.broadcast(gone) if fits_broadcast(gone) else gone, F.col("r") == F.col("gone"), "left_anti")
 
-    some = rows.orderBy(F.xxhash64("r")).limit(sample).select("v").collect()
-    if not some:
+    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, count = np.zeros(size + 1), 0
+        for b in batches:
+            if b.num_rows:
+                u = _unit(_vectors(b.column(0), size))
+                total += np.append(u.sum(axis=0), (u * u).sum())
+                count += b.num_rows
+        if count:
+            yield pa.RecordBatch.from_arrays([pa.array(range(size + 2), pa.int32()), pa.array(np.append(total, count), pa.float64())], ["i", "x"])
+
+    sums = {r[0]: r[1] for r in rows.select("v").mapInArrow(moments, "i int, x double").groupBy("i").agg(F.sum("x")).collect()}
+    if not sums:
         return spark.createDataFrame([], schema + ", rank int")
-    unit = _unit(np.array([x[0] for x in some], np.float32)).astype(np.float32)
-    mean = unit.mean(axis=0)
-    spread = float((unit - mean).std()) or 1.0
+    n = int(sums[size + 1])
+    mean = np.array([sums[i] for i in range(size)]) / n
+    spread = math.sqrt(max(sums[size] / n - float(mean @ mean), 0) / size) or 1.0
+    mean = mean.astype(np.float32)
     names = [f"k{c}" for c in range(curves)]
 
     def keys(v: np.ndarray) -> list[np.ndarray]:
@@ -193,16 +203,11 @@ def nearest(
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in keys(_vectors(b.column(0), size))], names)
 
     seen = rows.select("v").mapInArrow(only_keys, ", ".join(f"{n} bigint" for n in names))
-    total = F.count(F.lit(1))
-    fine = [i / 1024 for i in range(1, 1024)]
-    first = seen.agg(total.alias("n"), *[F.percentile_approx(n, fine, 20_000).alias(n) for n in names]).first()
-    ranges = max(1, math.ceil(first["n"] / rows_per_range))
-    if ranges <= 512:
-        cuts = [np.array([first[n][max(0, round(i * 1024 / ranges) - 1)] for i in range(1, ranges)], np.int64) for n in names]
-    else:  # more ranges than the first look has quantiles for
+    ranges = max(1, math.ceil(n / rows_per_range))
+    cuts = [np.empty(0, np.int64)] * curves
+    if ranges > 1:
         wanted = [i / ranges for i in range(1, ranges)]
-        again = seen.agg(*[F.percentile_approx(n, wanted, 20 * ranges).alias(n) for n in names]).first()
-        cuts = [np.array(again[n], np.int64) for n in names]
+        cuts = [np.array(x, np.int64) for x in seen.agg(*[F.percentile_approx(c, wanted, max(2000, 20 * ranges)) for c in names]).first()]
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -230,15 +235,30 @@ def nearest(
         if count:
             yield emit()
 
-    def search(key: tuple, t: pa.Table) -> pa.Table:
-        parts = [_unpack(x, n, size) for x, n in zip(t["block"].to_pylist(), t["n"].to_pylist())]
-        ids, v = (np.concatenate(x) for x in zip(*parts))
-        by_id = np.argsort(ids)
-        row, other, sim = _best_in_range(ids[by_id], v[by_id], k, orders, window, seed * 1000 + 100 + 16 * key[0].as_py())
-        return pa.table({"row": pa.array(row, pa.int64()), "other": pa.array(other, pa.int64()), "sim": pa.array(sim, pa.int64())})
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, parts = None, []
+
+        def best() -> pa.RecordBatch:
+            ids, v = (np.concatenate(x) for x in zip(*parts))
+            by_id = np.argsort(ids)
+            found = _best_in_range(ids[by_id], v[by_id], k, orders, window, seed * 1000 + 100 + 16 * at[0])
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["row", "other", "sim"])
 
+        for b in batches:
+            for c, p, m, block in zip(*(x.to_pylist() for x in b.columns)):
+                if at not in (None, (c, p)):
+                    yield best()
+                    parts = []
+                at = (c, p)
+                parts.append(_unpack(block, m, size))
+        if parts:
+            yield best()
+
+    # One task for each range of each curve, up to a number of tasks that the scheduler bears.
+    tasks = min(curves * ranges, 20_000)
     packed = rows.mapInArrow(blocks, "curve int, place int, n int, block binary")
-    found = packed.groupBy("curve", "place").applyInArrow(search, schema)
+    packed = packed.repartitionById(tasks, ((F.col("place") * curves + F.col("curve")) % tasks).cast("int")).sortWithinPartitions("curve", "place")
+    found = packed.mapInArrow(search, schema)
     if extra is not None:
         found = found.unionByName(extra)
     best = Window.partitionBy("row").orderBy(F.col("sim").desc(), F.col("other"))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.sources.lines import BLANKS
+from weftgraph.functions.text import BLANKS
 
 #: A natural boundary of a sequence: a run of masked residues, stops or gaps.
 BOUNDARY = r"[Xx*\-]+"
