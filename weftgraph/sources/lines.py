@@ -8,16 +8,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.functions.text import is_blank
 from weftgraph.session import Scratch, fits_broadcast
 
-#: Characters with the Unicode property White_Space, and the four separators U+001C to U+001F.
-BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0 " + "".join(map(chr, range(0x2000, 0x200B))) + "    　"
-
-
-def is_blank(c: Column) -> Column:
-    return F.call_function("translate", c, F.lit(BLANKS), F.lit("")) == ""
-
-
 @dataclass(frozen=True)
 class Field:
     """What a field must hold: ``kind`` is text or score; ``missing`` and ``invalid`` name the reasons, None if allowed."""
