@@ -19,10 +19,14 @@ from weftgraph.functions import columns as C
 DIMENSIONS = 32
 
 
-def kmer_embedding(seq: Column | str, k: int = 3, size: int = DIMENSIONS) -> Column:
-    """Stand-in encoder: counts of k-mers by hash bucket, as an array of doubles."""
-    buckets = F.transform(C.kmers(seq, k), lambda x: F.conv(F.substring(F.md5(x), 1, 6), 16, 10).cast("int") % size)
-    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda b: F.size(F.filter(buckets, lambda x: x == b)).cast("double"))
+def kmer_counts(windows: DataFrame, k: int = 3, size: int = DIMENSIONS) -> DataFrame:
+    """Stand-in encoder: (``id``, ``n``, ``v``), counts of the k-mers of each window by hash bucket."""
+    bucket = F.conv(F.substring(F.md5("kmer"), 1, 6), 16, 10).cast("int") % size
+    some = windows.select("id", "n", F.explode(C.kmers("window", k)).alias("kmer")).groupBy("id", "n", bucket.alias("b")).agg(F.count(F.lit(1)).alias("x"))
+    got = some.groupBy(F.col("id").alias("i2"), F.col("n").alias("n2")).agg(F.map_from_entries(F.collect_list(F.struct("b", "x"))).alias("m"))
+    j = windows.join(got, (F.col("id") == F.col("i2")) & (F.col("n") == F.col("n2")), "left")
+    value = lambda b: F.coalesce(F.element_at("m", b), F.lit(0)).cast("double")
+    return j.select("id", "n", F.transform(F.sequence(F.lit(0), F.lit(size - 1)), value).alias("v"))
 
 
 def kmer_coupling(a: Column | str, b: Column | str, k: int = 3) -> Column:
@@ -40,9 +44,9 @@ def kmer_likelihood(seq: Column | str, k: int = 2) -> Column:
 
 def embed(df: DataFrame, id_col: str, seq: str, *, encoder: Callable[[list[str]], list[list[float]]] | None = None, win: int = 1022, stride: int = 768, normalize: bool = False) -> DataFrame:
     """(``id``, ``emb``): mean over the vectors of overlapping windows, all windows alike. NULL and empty sequences have none."""
-    w = df.where(F.length(seq) > 0).select(F.col(id_col).alias("id"), F.posexplode(C.windows(seq, win, stride)).alias("n", "w")).select("id", F.col("w.window").alias("window"))
+    w = df.where(F.length(seq) > 0).select(F.col(id_col).alias("id"), F.posexplode(C.windows(seq, win, stride)).alias("n", "w")).select("id", "n", F.col("w.window").alias("window"))
     if encoder is None:
-        v = w.select("id", kmer_embedding("window").alias("v"))
+        v = kmer_counts(w)
     else:
         run = F.pandas_udf(lambda s: pd.Series(encoder(s.tolist())), ArrayType(DoubleType()))
         v = w.select("id", run("window").alias("v"))

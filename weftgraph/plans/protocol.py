@@ -131,11 +131,12 @@ def run_holdout(
     return {"rows": rows, "summary": aggregate_rows(rows, ["method"], ["run_id"]), "split": split, "scores": score_rows(ppr, split, baits)}
 
 
-def evaluate_graphs(graphs: Mapping[str, DataFrame], seeds: DataFrame, labels: DataFrame, *, k: int = 200, alpha: float = 0.85, tol: float | None = 1e-10, max_iter: int = 500) -> DataFrame:
+def evaluate_graphs(graphs: Mapping[str, DataFrame], seeds: DataFrame, labels: DataFrame, *, k: int = 200, alpha: float = 0.85, tol: float | None = 1e-10, max_iter: int = 500, digits: int | None = None) -> DataFrame:
     """One row per graph: nodes, seeds, positives and top-k metrics, best average precision first.
 
     ``seeds(id, weight)`` weighted, ``labels(id, value)`` positive above 0; both count within the graph. Candidates are all
-    nodes but the seeds. A graph without convergence is an error.
+    nodes but the seeds. A graph without convergence is an error. ``digits`` rounds scores before ranking, so that ties are the
+    same however sums run.
     """
     out = None
     for name, edges in graphs.items():
@@ -143,7 +144,7 @@ def evaluate_graphs(graphs: Mapping[str, DataFrame], seeds: DataFrame, labels: D
         s = weighted_seeds(seeds, nodes).withColumn("run_id", F.lit(name))
         pos = labels.where("value > 0").select(F.col("id").alias("q")).distinct()
         scores = pagerank(edges, s, alpha=alpha, tol=tol, max_iter=max_iter, start="uniform", stop="n_tol", on_fail="raise").scores
-        marked = scores.join(pos, F.col("id") == F.col("q"), "left").select("run_id", "id", "score", F.col("q").isNotNull().alias("hit"))
+        marked = scores.join(pos, F.col("id") == F.col("q"), "left").select("run_id", "id", (F.col("score") if digits is None else F.round("score", digits)).alias("score"), F.col("q").isNotNull().alias("hit"))
         ranked = rank_nodes(marked, exclude=s, hit=F.col("hit"))
         counts = nodes.agg(F.count(F.lit(1)).alias("n_nodes")).join(s.agg(F.count(F.lit(1)).alias("n_seeds"))).join(ranked.agg(F.coalesce(F.sum("hit"), F.lit(0)).alias("n_pos_eval")))
         row = top_metrics(ranked, k).withColumnRenamed("run_id", "graph").join(counts)
