@@ -105,7 +105,7 @@ def pagerank(
             if table is not None and not finished:
                 scratch.drop(table)
             after = table = written
-        elif limit is not None:
+        else:  # the next step reads it more than once
             after = after.persist(StorageLevel.MEMORY_AND_DISK)
             kept.append(after)
         if limit is not None:

@@ -1,16 +1,19 @@
 """Scores of sequence pairs: an interface for models, and deterministic stand-ins.
 
 A model (an encoder, a masked or an attention model) is a Python callable that scores a batch of texts or pairs; it runs
-in Arrow batches, loaded once per worker. No model is shipped. The stand-ins are statistics of k-mers, in
-the JVM; they have the shape of the model scores and none of their meaning.
+in Arrow batches, loaded once per worker. No model is shipped. The stand-ins are statistics of k-mers;
+they have the shape of the model scores and none of their meaning.
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
@@ -29,17 +32,42 @@ def kmer_counts(windows: DataFrame, k: int = 3, size: int = DIMENSIONS) -> DataF
     return j.select("id", "n", F.transform(F.sequence(F.lit(0), F.lit(size - 1)), value).alias("v"))
 
 
-def kmer_coupling(a: Column | str, b: Column | str, k: int = 3) -> Column:
+def _kmers(s: str | None, k: int) -> list[str]:
+    return [s[i : i + k] for i in range(len(s) - k + 1)] if s else []
+
+
+def kmer_coupling(a: str | None, b: str | None, k: int = 3) -> float:
     """Stand-in pair score: shared over all distinct k-mers; 0 if there are none."""
-    x, y = F.array_distinct(C.kmers(a, k)), F.array_distinct(C.kmers(b, k))
-    n = F.size(F.array_union(x, y))
-    return F.when(n > 0, F.size(F.array_intersect(x, y)) / n).otherwise(0.0)
+    x, y = set(_kmers(a, k)), set(_kmers(b, k))
+    return len(x & y) / len(x | y) if x or y else 0.0
 
 
-def kmer_likelihood(seq: Column | str, k: int = 2) -> Column:
+def kmer_likelihood(s: str | None, k: int = 2) -> float:
     """Stand-in for a mean log-probability: minus the logarithm of the distinct k-mers over all, 0 if there are none."""
-    x = C.kmers(seq, k)
-    return F.when(F.size(x) > 0, -F.log((F.size(F.array_distinct(x)) + 1.0) / (F.size(x) + 1.0))).otherwise(0.0)
+    x = _kmers(s, k)
+    return -math.log((len(set(x)) + 1.0) / (len(x) + 1.0)) if x else 0.0
+
+
+def sampled(s: str, k: int, seed: int) -> list[int]:
+    """``k`` positions, from 0, of a sequence in hash order, all if k is 0 or too large; the same for the same sequence."""
+    if k <= 0 or k >= len(s):
+        return list(range(len(s)))
+    base = hashlib.md5(f"{s}:{seed}".encode()).digest()
+    return sorted(np.random.default_rng(int.from_bytes(base[:8], "big")).choice(len(s), k, replace=False).tolist())
+
+
+def masked_drop(a: str | None, b: str | None, k: int = 8, seed: int = 0) -> float:
+    """Stand-in for perturbation: loss of shared k-mers when sampled positions of one side are masked, both sides averaged."""
+    a, b = a or "", b or ""
+
+    def masked(s: str) -> str:
+        chars = list(s)
+        for i in sampled(s, k, seed):
+            chars[i] = "X"
+        return "".join(chars)
+
+    full = kmer_coupling(a, b)
+    return (max(0.0, full - kmer_coupling(masked(a), b)) + max(0.0, full - kmer_coupling(a, masked(b)))) / 2
 
 
 def embed(df: DataFrame, id_col: str, seq: str, *, encoder: Callable[[list[str]], list[list[float]]] | None = None, win: int = 1022, stride: int = 768, normalize: bool = False) -> DataFrame:
@@ -56,36 +84,27 @@ def embed(df: DataFrame, id_col: str, seq: str, *, encoder: Callable[[list[str]]
 
 
 def score_pairs(pairs: DataFrame, seqs: DataFrame, scorer: Callable[[list[str], list[str]], list[float]] | None = None) -> DataFrame:
-    """(``u``, ``v``, ``c``): score of the sequences of each pair (both directions averaged by the scorer)."""
+    """(``u``, ``v``, ``c``): score of the sequences of each pair by ``scorer``, in Arrow batches; shared k-mers without one."""
     a, b = seqs.select(F.col("id").alias("ia"), F.col("seq").alias("sa")), seqs.select(F.col("id").alias("ib"), F.col("seq").alias("sb"))
     j = pairs.join(a, F.col("u") == F.col("ia")).join(b, F.col("v") == F.col("ib"))
-    if scorer is None:
-        return j.select("u", "v", kmer_coupling("sa", "sb").alias("c"))
-    run = F.pandas_udf(lambda x, y: pd.Series(scorer(x.tolist(), y.tolist()), dtype="float64"), DoubleType())
+    call = scorer or (lambda x, y: [kmer_coupling(s, t) for s, t in zip(x, y)])
+    run = F.pandas_udf(lambda x, y: pd.Series(call(x.tolist(), y.tolist()), dtype="float64"), DoubleType())
     return j.select("u", "v", run("sa", "sb").alias("c"))
 
 
-def likelihood_gain(pairs: DataFrame, seqs: DataFrame, *, linker: int = 10, likelihood: Callable[[Column], Column] = kmer_likelihood) -> DataFrame:
+def likelihood_gain(pairs: DataFrame, seqs: DataFrame, *, linker: int = 10, likelihood: Callable[[list[str]], list[float]] | None = None) -> DataFrame:
     """(``u``, ``v``, ``c``): likelihood of the linked pair minus those of its parts; each single sequence is scored once."""
-    single = seqs.select("id", "seq", likelihood(F.col("seq")).alias("l"))
+    call = likelihood or (lambda x: [kmer_likelihood(s) for s in x])
+    run = F.pandas_udf(lambda x: pd.Series(call(x.tolist()), dtype="float64"), DoubleType())
+    single = seqs.select("id", "seq", run("seq").alias("l"))
     a = single.select(F.col("id").alias("ia"), F.col("seq").alias("sa"), F.col("l").alias("la"))
     b = single.select(F.col("id").alias("ib"), F.col("seq").alias("sb"), F.col("l").alias("lb"))
     j = pairs.join(a, F.col("u") == F.col("ia")).join(b, F.col("v") == F.col("ib"))
-    return j.select("u", "v", (likelihood(C.linked("sa", "sb", linker)) - F.col("la") - F.col("lb")).alias("c"))
+    return j.select("u", "v", (run(C.linked("sa", "sb", linker)) - F.col("la") - F.col("lb")).alias("c"))
 
 
 def masked_coupling(pairs: DataFrame, seqs: DataFrame, *, k: int = 8, seed: int = 0) -> DataFrame:
-    """(``u``, ``v``, ``c``): stand-in for perturbation: loss of shared k-mers when sampled positions of one side are masked, both sides averaged."""
-    a, b = seqs.select(F.col("id").alias("ia"), F.col("seq").alias("sa")), seqs.select(F.col("id").alias("ib"), F.col("seq").alias("sb"))
-    j = pairs.join(a, F.col("u") == F.col("ia")).join(b, F.col("v") == F.col("ib"))
-
-    def masked(s: str) -> Column:
-        at = C.sampled_positions(s, k, seed)
-        return F.array_join(F.transform(F.split(F.col(s), ""), lambda c, i: F.when(F.array_contains(at, i + 1), "X").otherwise(c)), "")
-
-    full = kmer_coupling("sa", "sb")
-    drop = lambda x: F.greatest(F.lit(0.0), full - x)
-    return j.select("u", "v", ((drop(kmer_coupling(masked("sa"), F.col("sb"))) + drop(kmer_coupling(F.col("sa"), masked("sb")))) / 2).alias("c"))
+    return score_pairs(pairs, seqs, lambda x, y: [masked_drop(s, t, k, seed) for s, t in zip(x, y)])
 
 
 def loaded_once(factory: Callable[[], Callable]) -> Callable:

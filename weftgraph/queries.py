@@ -262,9 +262,9 @@ def graph_summary_stats(spark, d):
     return g.select("num_nodes", "num_edges", *parts, F.col(f"{cc}.count").alias("components"), F.col(f"{cc}.largest_size").alias("largest"), F.array_join(F.col(f"{cc}.sizes_top_10"), ",").alias("top_10"))
 
 
-def _scores(spark, d, iterations=20, **kw):
+def _scores(spark, d, iterations=20, digits=10, **kw):
     s = pagerank(_clean(spark, d), _seeds(spark, d), tol=None, max_iter=iterations, **kw).scores
-    return s.select("run_id", "id", F.round("score", 10).alias("score"))
+    return s.select("run_id", "id", F.round("score", digits).alias("score"))
 
 
 _SC = "SELECT run_id, id, round(score, 10) AS score FROM scores"
@@ -273,7 +273,7 @@ _RANKED = f"rk AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY sco
 
 @query(f"WITH {_ppr_sql(20)} SELECT run_id, id, round(score, 8) AS score FROM scores")
 def ppr_multi_seed(spark, d):
-    return _scores(spark, d).select("run_id", "id", F.round("score", 8).alias("score"))
+    return _scores(spark, d, digits=8)
 
 
 @query(f"WITH {_ppr_sql(20)} SELECT id, round(score, 8) AS score FROM scores WHERE run_id = 'isomerase'")
@@ -293,7 +293,7 @@ _UNIFORM = "SELECT r.run_id, d.id, 1.0::DOUBLE / (SELECT count(*) FROM deg) AS s
 
 @query(f"WITH {_ppr_sql(10, _UNIFORM)} SELECT run_id, id, round(score, 8) AS score FROM scores")
 def ppr_uniform_start(spark, d):
-    return _scores(spark, d, 10, start="uniform").select("run_id", "id", F.round("score", 8).alias("score"))
+    return _scores(spark, d, 10, 8, start="uniform")
 
 
 # Ranking and evaluation: proteins of other kinds as positives
