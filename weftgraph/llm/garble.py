@@ -54,7 +54,7 @@ def _weak(garbled: str, codec: str) -> bool:
     a, b = garbled[0], garbled[-1]
     if codec in ("cp1251", "koi8-r", "cp866"):
         return b.isalpha() or b in CLOSING + "°№\xa0"
-    return a.isalpha() and (b in CLOSING or (b.isalpha() and b not in "ªºµƒ" and a not in "ÃÂĂ"))
+    return a.isalpha() and a not in "ÃÂ" and (b in CLOSING or (b.isalpha() and b not in "ªºµƒ" and a != "Ă"))
 
 
 @lru_cache(1)
@@ -167,7 +167,7 @@ def _utf8_pass(text: str) -> tuple[str, int]:
         elif b - a == 2 and text[a] in "├┬" and 0x2500 <= ord(text[b - 1]) < 0x2580:
             if not ((a and text[a - 1].isalpha()) or (b < len(text) and text[b].isalpha())):
                 continue  # it may be a drawn frame
-        elif text[a] == "Ã" and text[b - 1] in CLOSING and b - a == 2 and a and text[a - 1].isupper() and text[a - 1].isascii():
+        elif text[a] in "ÃÂ" and text[b - 1] in CLOSING and b - a == 2 and a and text[a - 1].isupper() and text[a - 1].isascii():
             continue
         out += [text[at:a], char]
         at, n = b, n + 1
