@@ -21,27 +21,33 @@ def degrees(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(``id``, ``component``): the smallest id that each node is connected with.
 
-    Each round a node takes the smallest label among its own, its neighbours' and its label's label (pointer
-    jumping), so the rounds grow with the logarithm of the diameter. Each round is cut off by a table in the
-    shared folder. Ends when no label changes; an error after ``max_rounds``.
+    Alternates two rewritings of the edges until they change nothing: each node links its larger
+    neighbours with the smallest node around it, then its smaller ones. Both keep what is connected and
+    end in stars, after a number of rounds that grows with the logarithm of the size. Minima are combined
+    before the shuffle. Each round is cut off by a table in the shared folder; an error after ``max_rounds``.
     """
     scratch = Scratch(edges.sparkSession)
-    adj = scratch.write(edges.where("u <> v").select(F.inline(F.array(F.struct(F.col("u").alias("src"), F.col("v").alias("dst")), F.struct(F.col("v").alias("src"), F.col("u").alias("dst"))))).distinct())
-    alone = edges.select(F.explode(F.array("u", "v")).alias("id"))
-    labels = scratch.write(alone.groupBy("id").agg(F.first("id").alias("label")))
+    nodes = edges.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+    pairs = scratch.write(edges.where("u <> v").select(F.greatest("u", "v").alias("x"), F.least("u", "v").alias("y")).distinct())
+
+    def state(p: DataFrame) -> tuple:
+        return tuple(p.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("x", "y"))).first())
+
+    now = state(pairs)
     for _ in range(max_rounds):
-        around = adj.join(labels.withColumnRenamed("id", "d"), F.col("dst") == F.col("d")).select(F.col("src").alias("id"), "label")
-        near = around.unionByName(labels).groupBy("id").agg(F.min("label").alias("near"))
-        # The node's old label must follow too, so that a whole tree moves at once.
-        up = labels.join(near.withColumnRenamed("id", "n"), F.col("id") == F.col("n")).select("id", "label", "near")
-        root = up.groupBy("label").agg(F.min("near").alias("to"))
-        jumped = scratch.write(up.join(root.withColumnRenamed("label", "l"), F.col("label") == F.col("l")).select("id", F.least("near", "to").alias("label"), (F.least("near", "to") != F.col("label")).alias("moved")))
-        done = jumped.where("moved").limit(1).count() == 0
-        scratch.drop(labels)
-        labels = jumped.select("id", "label")
-        if done:
-            scratch.drop(adj)
-            return labels.select("id", F.col("label").alias("component"))
+        both = pairs.unionByName(pairs.select(F.col("y").alias("x"), F.col("x").alias("y")))
+        low = both.groupBy(F.col("x").alias("c")).agg(F.least(F.min("y"), F.first("x")).alias("m"))
+        large = both.where("y > x").join(low, F.col("x") == F.col("c")).select(F.col("y").alias("x"), F.col("m").alias("y")).distinct()
+        low = large.groupBy(F.col("x").alias("c")).agg(F.min("y").alias("m"))
+        j = large.join(low, F.col("x") == F.col("c"))
+        small = j.where("y <> m").select(F.col("y").alias("x"), F.col("m").alias("y")).unionByName(low.select(F.col("c").alias("x"), F.col("m").alias("y"))).distinct()
+        new = scratch.write(small)
+        after = state(new)
+        scratch.drop(pairs)
+        pairs = new
+        if after == now:
+            return nodes.join(pairs, F.col("id") == F.col("x"), "left").select("id", F.coalesce("y", "id").alias("component"))
+        now = after
     raise RuntimeError("components did not settle")
 
 

@@ -40,7 +40,7 @@ def _probe(refs: pa.Table, parents: pa.Table, names: Sequence[tuple[str, str]])
             same = seg[step:] == seg[:-step]
             alive[step:] = np.where(same, np.maximum(alive[step:], alive[:-step]), alive[step:])
             step *= 2
-        t = micros(refs["t"]).fill_null(NEVER - 1).to_numpy(zero_copy_only=False)
+        t = micros(refs["t"]).to_numpy(zero_copy_only=False)
         rh, rk, sh = refs["h"].to_numpy(), refs["k"].combine_chunks(), h[start]
         at = np.searchsorted(sh, rh)
         found = np.full(n, -1)
@@ -101,7 +101,7 @@ def orphan_references(
     spark = parents.sparkSession
     refs = None
     for i, (_, _, df, key, row_id, time) in enumerate(references):
-        one = once(df, row_id=F.col(row_id).cast("long"), t=F.col(time).cast("timestamp_ntz"), k=key).where("k is not null").select(F.lit(i).alias("source"), "row_id", "t", "k")
+        one = once(df, row_id=F.col(row_id).cast("long"), t=F.coalesce(F.col(time).cast("timestamp_ntz"), F.lit("9999-12-30").cast("timestamp_ntz")), k=key).where("k is not null").select(F.lit(i).alias("source"), "row_id", "t", "k")
         refs = one if refs is None else refs.unionByName(one)
     assert refs is not None
     hashed = lambda df, *keep: once(df, *keep, h=F.xxhash64("k"))

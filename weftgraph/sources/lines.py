@@ -31,13 +31,13 @@ REASONS = ("broken_quote", "column_count", "missing_id", "missing_score", "inval
 
 
 def _structure(line: Column, sep: str) -> tuple[Column, Column]:
-    """(quotes are sound, fields) of a line.
+    """(quotes are sound, fields) of a line, given also as the column ``pieces``, cut at its quotes.
 
-    Cut at its quotes, a line alternates between outside and inside.  An even piece between two quotes
+    The pieces are a column of their own, since a lambda would cut the line again for each of them. They
+    alternate between outside and inside.  An even piece between two quotes
     is either empty (a doubled quote) or starts and ends with a separator.
     """
-    pieces = F.split(line, '"', -1)
-    last = F.size(pieces) - 1
+    pieces, last = F.col("pieces"), F.col("last")
     edge = lambda p, i: (p == "") | (((i == 0) | F.startswith(p, F.lit(sep))) & ((i == last) | F.endswith(p, F.lit(sep))))
     sound = (last % 2 == 0) & F.forall(F.transform(pieces, lambda p, i: (i % 2 == 1) | edge(p, i)), lambda x: x)
     # Separators inside quotes are kept from the split as \t, the escape itself as \b.
@@ -94,6 +94,9 @@ def parse_lines(
     rank = list(reasons).index
     shape = F.when(~sound, rank("broken_quote")).when(F.coalesce(F.size(cells), F.lit(0)) != len(fields), rank("column_count"))
     shape = F.when(F.col("line").isNull(), rank("column_count")).otherwise(shape)
+    pieces = F.split("line", '"', -1)
+    named = named.select("line_id", "line", F.inline(F.array(F.struct(pieces.alias("pieces")))))
+    named = named.select("line_id", "line", "pieces", F.inline(F.array(F.struct((F.size("pieces") - 1).alias("last")))))
     split = named.select("line_id", F.inline(F.array(F.struct(shape.alias("shape"), cells.alias("cells")))))
 
     text_cols = [i for i, f in enumerate(fields) if f.kind == "text"]
