@@ -159,13 +159,15 @@ def _utf8_pass(text: str) -> tuple[str, int]:
         return text, 0
     beside = [i > 0 and found[i - 1][1] == x[0] and found[i - 1][4] == x[4] for i, x in enumerate(found)] + [False]
     sure = {x[4] for i, x in enumerate(found) if x[3] and beside[i] and x[4].split(">")[0] in JAPANESE}
+    frame = lambda a, b: b - a == 2 and text[a] in "├┬" and 0x2500 <= ord(text[b - 1]) < 0x2580
+    plain = {x[4] for x in found if not x[3] and not frame(x[0], x[1])}
     out, at, n = [], 0, 0
     for i, (a, b, char, weak, pair) in enumerate(found):
         if weak:
             if not (beside[i] or beside[i + 1] or pair in sure):
                 continue
-        elif b - a == 2 and text[a] in "├┬" and 0x2500 <= ord(text[b - 1]) < 0x2580:
-            if not ((a and text[a - 1].isalpha()) or (b < len(text) and text[b].isalpha())):
+        elif frame(a, b):
+            if not (pair in plain or (a and text[a - 1].isalpha()) or (b < len(text) and text[b].isalpha())):
                 continue  # it may be a drawn frame
         elif text[a] in "ÃÂ" and text[b - 1] in CLOSING and b - a == 2 and a and text[a - 1].isupper() and text[a - 1].isascii():
             continue
