@@ -38,12 +38,10 @@ def _plain_chars() -> str:
     ranges = [(0xA0, 0x100), (0x131, 0x132), (0x141, 0x145), (0x152, 0x154), (0x15A, 0x162), (0x178, 0x17F), (0x104, 0x108), (0x10C, 0x112), (0x118, 0x11C), (0x11E, 0x120), (0x150, 0x152), (0x386, 0x3CF), (0x401, 0x402), (0x410, 0x452), (0x5D0, 0x5EB), (0x621, 0x64B)]
     ranges += [(0x2010, 0x2028), (0x202F, 0x2040), (0x2070, 0x208F), (0x20AC, 0x20AD), (0x2122, 0x2123), (0x2190, 0x2196), (0x2200, 0x2266), (0x2460, 0x2474), (0x3000, 0x3030), (0x3041, 0x3097), (0x30A0, 0x3100), (0xE01, 0xE5C), (0xFB00, 0xFB05), (0xFF01, 0xFF5F), (0x1F300, 0x1F650), (0x1F900, 0x1F9FF)]
     chars = [chr(c) for a, b in ranges for c in range(a, b)] + ["�", "﻿", "​", "‍"]
-    for c in map(chr, range(0x4E00, 0xA000)):  # the ideographs of the first level of JIS
-        try:
-            if c.encode("shift_jis")[0] <= 0x97:
-                chars.append(c)
-        except UnicodeEncodeError:
-            pass
+    # The common ideographs: the first levels of the Japanese and the Chinese standard.
+    for c in map(chr, range(0x4E00, 0xA000)):
+        if any((b := c.encode(codec, "ignore")) and b[0] <= last for codec, last in (("shift_jis", 0x97), ("gb2312", 0xD7))):
+            chars.append(c)
     return "".join(chars)
 
 
@@ -157,7 +155,9 @@ def _utf8_pass(text: str) -> tuple[str, int]:
         found.append((end - n + 1, end + 1, char, weak, pair))
     if not found:
         return text, 0
-    beside = [i > 0 and found[i - 1][1] == x[0] and found[i - 1][4] == x[4] for i, x in enumerate(found)] + [False]
+    # Encodings share sequences, so for UTF-8 any neighbour from UTF-8 will do.
+    kin = lambda x, y: x == y or (x[:6] == y[:6] == "utf-8>")
+    beside = [i > 0 and found[i - 1][1] == x[0] and kin(found[i - 1][4], x[4]) for i, x in enumerate(found)] + [False]
     sure = {x[4] for i, x in enumerate(found) if x[3] and beside[i] and x[4].split(">")[0] in JAPANESE}
     frame = lambda a, b: b - a == 2 and text[a] in "├┬" and 0x2500 <= ord(text[b - 1]) < 0x2580
     plain = {x[4] for x in found if not x[3] and not frame(x[0], x[1])}
