@@ -187,8 +187,11 @@ def _western_pass(text: str) -> tuple[str, int]:
         return text, 0
     pair = max(hits, key=lambda p: (len(hits[p]), -list(maps).index(p)))
     # In the words that hold a hit, all characters of that pair are put back.
-    to, chars = maps[pair], list(text)
-    for at in hits[pair]:
+    to, chars, places = maps[pair], list(text), set(hits[pair])
+    if len(places) > 1:  # sure of the pair: then also where garbled letters stand side by side
+        low = lambda i: 0 <= i < len(text) and "a" <= text[i] <= "z"
+        places |= {i for i, c in enumerate(text) if c in to and c not in LETTERS and (low(i - 1) or low(i + 1))}
+    for at in places:
         a = b = at
         while a and not text[a - 1].isspace():
             a -= 1
