@@ -14,12 +14,11 @@ def _vertices(pairs: DataFrame, scratch: Scratch, seed: int) -> tuple[DataFrame,
     """(v, key, n) for each node, v its 64-bit handle; another seed is tried if two keys ever share a handle."""
     while True:
         ends = pairs.select(F.explode(F.array("a", "b")).alias("key"))
-        v = scratch.write(
-            ends.groupBy(F.xxhash64("key", F.lit(seed)).alias("v"))
-            .agg(F.min("key").alias("key"), F.max("key").alias("other"), F.count(F.lit(1)).alias("n"))
-        )
-        if v.where("key <> other").limit(1).count() == 0:
-            return v.select("v", "key", "n"), seed
+        keyed = ends.groupBy("key").agg(F.count(F.lit(1)).alias("n"))  # a hash aggregate, unlike the minimum of a string
+        v = scratch.write(keyed.select(F.xxhash64("key", F.lit(seed)).alias("v"), "key", "n"))
+        if v.groupBy("v").agg(F.count(F.lit(1)).alias("keys")).where("keys > 1").limit(1).count() == 0:
+            return v, seed
+        scratch.drop(v)
         seed += 1
 
 
@@ -38,8 +37,8 @@ def link_groups(
     a: str,
     b: str,
     *,
-    beta: float = 0.5,
-    steps: int = 3,
+    beta: float = 0.3,
+    steps: int = 4,
     max_levels: int = 200,
     seed: int = 17,
 ) -> DataFrame:
