@@ -79,10 +79,11 @@ def link_groups(
             ids = ids.unionByName(hot.select(F.col("src").alias("v")).distinct())
         state = ids.select("v", (F.log(unit_hash(F.col("v"), len(levels))) / F.lit(beta)).alias("val"), F.col("v").alias("lab"))
         kept = [x for x in (cold, hot) if x is not None]
-        for _ in range(steps):
-            state = state.unionByName(_hop(cold, hot, state, hot_ids)).groupBy("v").agg(F.min_by("lab", "val").alias("lab"), F.min("val").alias("val")).persist(StorageLevel.MEMORY_AND_DISK)
-            kept.append(state)
-        level = scratch.write(state.select("v", "lab"))
+        for _ in range(steps):  # a table each, so that plans stay small
+            after = scratch.write(state.unionByName(_hop(cold, hot, state, hot_ids)).groupBy("v").agg(F.min_by("lab", "val").alias("lab"), F.min("val").alias("val")))
+            scratch.drop(state)
+            state = after
+        level = state.select("v", "lab")
         levels.append(level)
 
         # Contract. An edge with a hot end is taken from that end, so the join on the other end meets no hot key.
