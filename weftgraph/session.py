@@ -55,7 +55,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{scratch_root(spark)}/{uuid.uuid4().hex}"
         self._n = 0
-        self._path: dict[int, str] = {}
+        self._path: dict[int, tuple[str, DataFrame]] = {}  # holding the table keeps its id from being given again
 
     def write(self, df: DataFrame) -> DataFrame:
         """Write ``df`` as Parquet and read it back: a cut of the lineage that survives executors."""
@@ -63,12 +63,12 @@ class Scratch:
         self._n += 1
         df.write.option("compression", "zstd").parquet(path)
         back = self.spark.read.schema(df.schema).parquet(path)
-        self._path[id(back)] = path
+        self._path[id(back)] = (path, back)
         return back
 
     def drop(self, df: DataFrame) -> None:
         """Delete a table made by ``write`` that nothing reads any more."""
-        path = self._path.pop(id(df), None)
+        path, _ = self._path.pop(id(df), (None, None))
         if path:
             _delete(self.spark, path)
 
