@@ -201,6 +201,20 @@ def test_garbled(spark):
     assert garbled_texts(df.limit(0), "doc_id", "text").count() == 0
 
 
+def test_garbled_japanese_is_decoded_whole():
+    text = "肾臓の試料でESTKA79が23回検出された。".replace("肾", "腎")
+    more = "グラフ「A」の辺は250本、次数（平均）は50だった。カバー率は９割。"
+    for written in ("shift_jis", "euc_jp"):
+        for read in ("cp1252", "latin-1", "mac_roman"):
+            for t in (text, more):
+                assert garble.restore(f"Sound été à côté. {garble._read(t.encode(written), read)} Ça va, élève.") == (True, f"Sound été à côté. {t} Ça va, élève.")
+    for read in ("cp1252", "latin-1"):
+        assert garble.restore(garble._read("蛋白質結合".encode("euc_jp"), read)) == (True, "蛋白質結合")
+    assert garble.restore(garble._read("検出回数".encode("shift_jis"), "latin-1")) == (True, "検出回数")
+    for t in [*SOUND, "RELAÇÃO “été” ‘à’ ±§¶¿±§ «…»", "Ⅷ £5 ¥9 ÇÉ ‚a‘ ƒ(x)"]:
+        assert garble.restore(t or "") == (False, t or "")
+
+
 def test_nothing_else_imports_llm():
     import pathlib
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -57,7 +59,7 @@ def _weak(garbled: str, codec: str) -> bool:
 
 @lru_cache(1)
 def _automaton():
-    """Garbled sequences of all plain characters for all encoding pairs: what stood there, whether it is weak, and the pair."""
+    """Garbled sequences of all plain characters in UTF-8 for all readings: what stood there, whether it is weak, and the pair."""
     import ahocorasick
 
     table: dict[str, tuple[str, bool, str]] = {}
@@ -65,11 +67,6 @@ def _automaton():
         for char in _plain_chars():
             seen = _read(char.encode(), codec)
             table.setdefault(seen, (char, _weak(seen, codec), f"utf-8>{codec}"))
-    for written in JAPANESE:
-        for c in [*range(0x3001, 0x3003), *range(0x3041, 0x3094), *range(0x30A1, 0x30F7)]:
-            data = chr(c).encode(written)
-            for codec in ("cp1252", "latin-1", "mac_roman"):
-                table.setdefault(_read(data, codec), (chr(c), True, f"{written}>{codec}"))
     automaton = ahocorasick.Automaton()
     for seen, (char, weak, pair) in table.items():
         if not seen.isascii() and seen != char:
@@ -128,6 +125,24 @@ _RUN = re.compile("(?<![A-Za-z])[À-ÿ¨¸¥³²´¿¯ºª¹¡¢]{3,}(?![A-Za-z]
 _CYRILLIC_WORD = re.compile("[Ѐ-ҁҐґ─-╿°·√■\xa0№¤§©«»¬®±µ¶€Ѐ-џ]*[А-яЁё][Ѐ-ҁҐґ─-╿°·√■№¤§©¬®±µ¶€]*")
 
 
+#: Stretches without plain white space: no-break space and next line may be halves of characters.
+_TOKEN = re.compile(r"[^ \t\r\n\f\v]+")
+#: What a stretch of Japanese read as Western text holds at least: leading bytes of kana, or of kanji in a row.
+_LEADS = re.compile("[‚ƒ\x81-\x83\x88-\x97]|[¤¥][¡-þ]|[ÇÉ][^ ]*[ÇÉ]|[§•][^ ]+[§•]|(?:[°-Ï][¡-þ]){2}|(?:[ˆ‰Š‹ŒŽ‘’“”•–—].){2}|(?:[∞±≤≥¥µ∂∑∏π∫ªºΩæø¿¡¬√ƒ≈∆«»…\xa0ÀÃÕŒœ].){3}")
+_HIGH_RUN = re.compile(b"[\x80-\xff]+")
+_UTF8 = re.compile(b"[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
+_TWICE = re.compile(b"[\xc2\xc3]{1,2}[\x80-\xbf]")
+#: Encodings with the characters that vendors added.
+_VENDOR = {"shift_jis": "cp932", "euc_jp": "euc_jis_2004"}
+_WIDE_MARKS = frozenset(map(chr, [*range(0x3000, 0x3040), *range(0x30FB, 0x3100), *range(0xFF01, 0xFF5F), *range(0x2460, 0x2474)])) | set("—‐―…‥‘’“”×÷±°′″℃→←↑↓○●◎△▲□■☆★※〒−∥")
+
+
+@lru_cache(1)
+def _common_kanji() -> frozenset[str]:
+    """Kanji of the first level of the Japanese standard."""
+    return frozenset(c for c in map(chr, range(0x4E00, 0xA000)) if (b := c.encode("euc_jp", "ignore")) and len(b) == 2 and b[0] <= 0xCF)
+
+
 def _russian(s: str) -> float:
     """Mean logarithmic score of a string as Russian; wrong case and other characters count against it."""
 
@@ -155,16 +170,14 @@ def _utf8_pass(text: str) -> tuple[str, int]:
         found.append((end - n + 1, end + 1, char, weak, pair))
     if not found:
         return text, 0
-    # Encodings share sequences, so for UTF-8 any neighbour from UTF-8 will do.
-    kin = lambda x, y: x == y or (x[:6] == y[:6] == "utf-8>")
-    beside = [i > 0 and found[i - 1][1] == x[0] and kin(found[i - 1][4], x[4]) for i, x in enumerate(found)] + [False]
-    sure = {x[4] for i, x in enumerate(found) if x[3] and beside[i] and x[4].split(">")[0] in JAPANESE}
+    # Encodings share sequences, so any neighbour will do.
+    beside = [i > 0 and found[i - 1][1] == x[0] for i, x in enumerate(found)] + [False]
     frame = lambda a, b: b - a == 2 and text[a] in "├┬" and 0x2500 <= ord(text[b - 1]) < 0x2580
     plain = {x[4] for x in found if not x[3] and not frame(x[0], x[1])}
     out, at, n = [], 0, 0
     for i, (a, b, char, weak, pair) in enumerate(found):
         if weak:
-            if not (beside[i] or beside[i + 1] or pair in sure):
+            if not (beside[i] or beside[i + 1]):
                 continue
         elif frame(a, b):
             if not (pair in plain or (a and text[a - 1].isalpha()) or (b < len(text) and text[b].isalpha())):
@@ -176,6 +189,100 @@ def _utf8_pass(text: str) -> tuple[str, int]:
     return "".join([*out, text[at:]]), n
 
 
+@lru_cache(None)
+def _bytes_of(read: str) -> dict[str, int]:
+    """The byte that each character was read from; of two bytes with one character the first."""
+    return {_read(bytes([b]), read): b for b in range(255, -1, -1)}
+
+
+def _characters(data: bytes, written: str) -> list[tuple[int, str]]:
+    """(length, character) of data written in a Japanese encoding; an empty character where no character begins."""
+    out, at = [], 0
+    while at < len(data):
+        if data[at] < 0x80:
+            out.append((1, chr(data[at])))
+            at += 1
+            continue
+        for n, codec in ((2, written), (2, _VENDOR[written]), (1, written), (3, written)):
+            try:
+                char = data[at : at + n].decode(codec)
+            except UnicodeDecodeError:
+                continue
+            if len(char) == 1:
+                break
+        else:
+            n, char = 1, ""
+        out.append((n, char))
+        at += n
+    return out
+
+
+def _utf8_like(s: str) -> bool:
+    """Whether the characters beyond ASCII look like UTF-8 in one of its readings, once or twice over."""
+    for read in READ_AS:
+        of = _bytes_of(read)
+        data = bytes(of.get(c) or (ord(c) if c < "\xa0" else 0) for c in s)
+        high = sum(c > "\x7f" for c in s)
+        if sum(map(len, _UTF8.findall(data))) > 0.85 * high or sum(map(len, _TWICE.findall(data))) >= 0.5 * high:
+            return True
+    return False
+
+
+def _japanese_pass(text: str) -> tuple[str, int]:
+    """Decode whole stretches of Japanese text read in a Western encoding; also how many were decoded."""
+    if not _LEADS.search(text):
+        return text, 0
+    tokens = [m for m in _TOKEN.finditer(text) if _LEADS.search(m.group())]
+    spans: dict[tuple[int, int], list] = {}
+    for read in ("cp1252", "latin-1", "mac_roman"):
+        of = _bytes_of(read)
+        for token in tokens:
+            # A stretch ends at characters that no byte was read as, so sound Japanese stays outside.
+            at = token.start()
+            for held, part in groupby(token.group(), key=lambda c: c in of):
+                n = len(list(part))
+                data = bytes(of[c] for c in text[at : at + n]) if held else b""
+                at += n
+                if data.isascii():
+                    continue
+                for written in JAPANESE:
+                    chars = _characters(data, written)
+                    wide = [c for _, c in chars if not c.isascii() and not "｡" <= c <= "ﾟ"]
+                    other = sum(not c or "｡" <= c <= "ﾟ" for _, c in chars)
+                    if not wide or other * 4 > len(wide):
+                        continue
+                    kana = sum("ぁ" <= c <= "ー" for c in wide)
+                    common = sum(c in _common_kanji() for c in wide)
+                    rare = len(wide) - kana - common - sum(c in _WIDE_MARKS for c in wide)
+                    # Letters of Western words seldom follow one another, those of kanji always do.
+                    joined = max((len(m) for m in _HIGH_RUN.findall(data)), default=0)
+                    sure = kana >= 2 and rare * 4 <= len(wide)
+                    if written == "euc_jp":
+                        letters = sum(c in "×÷" or c.isalpha() for c in text[at - n : at] if c > "\x7f")
+                        runs = _RUN.findall(text, at - n, at)
+                        russian = any(sum(len(r) for r in runs if (x := _rewritten(r, read, c)) and _russian(x) >= 2.2) * 4 >= 3 * (len(data) - sum(b < 0x80 for b in data)) for c in ("cp1251", "koi8-r"))
+                        sure = sure or (not rare and not other and common >= (2 if read != "mac_roman" else 3) and joined >= 4 and 2 * letters >= joined and not russian)
+                    elif read != "mac_roman":
+                        controls = len(_CONTROL.findall(text, at - n, at))
+                        sure = sure or (not rare and not other and common >= (2 if controls else 3) and (controls or joined >= 3))
+                    kin = not rare and not other and (kana or (common >= 1 and read != "mac_roman"))
+                    if (sure or kin) and not _utf8_like(text[at - n : at]):
+                        spans.setdefault((at - n, at), []).append((sure, kana + common - 2 * rare - 2 * other, f"{written}>{read}", chars))
+    pairs = Counter(pair for found in spans.values() for sure, _, pair, _ in found if sure)
+    out, last, n = [], 0, 0
+    for (a, b), found in sorted(spans.items()):
+        found = [x for x in found if x[2] in pairs]
+        if a < last or not found:
+            continue
+        chars, back, at = max(found, key=lambda x: (x[0], x[1], pairs[x[2]]))[3], [], a
+        for size, char in chars:
+            back.append(char or text[at : at + size])
+            at += size
+        out += [text[last:a], "".join(back)]
+        last, n = b, n + 1
+    return "".join([*out, text[last:]]), n
+
+
 def _western_pass(text: str) -> tuple[str, int]:
     automaton, maps = _western()
     shadow = " " + text.translate(_SHADOW) + " "
@@ -242,8 +349,9 @@ def restore(text: str) -> tuple[bool, str]:
         return False, text
     garbled = bool(_CONTROL.search(text))
     for _ in range(5):  # text may have been garbled more than once
-        text, a = _utf8_pass(text)
-        if not a:
+        text, a = _japanese_pass(text)
+        text, b = _utf8_pass(text)
+        if not a and not b:
             break
         garbled = True
     if not text.isascii():
