@@ -215,6 +215,21 @@ def test_garbled_japanese_is_decoded_whole():
         assert garble.restore(t or "") == (False, t or "")
 
 
+def test_garbled_western_symbols():
+    whole = ["La protéine « LIMUB-12 » fut notée à côté. À 69 °C, l’activité monte de 5 µM.", "Für 37 °C wurden große Kanten gezählt, während die Länge 5 µM beträgt."]
+    alone = ["It was held at 37 °C overnight.", "Then 5 µM was added.", "See 21’s peak."]
+    for read in ("cp437", "cp850", "mac_roman"):
+        for t in [*whole, *alone[: 2 if read == "mac_roman" else 3]]:
+            seen = garble._read(t.encode("cp1252"), read)
+            if seen != t:
+                assert garble.restore(seen) == (True, t)
+    assert garble.restore(garble._read("He said “now” twice.".encode("cp1252"), "cp437")) == (True, "He said “now” twice.")
+    sound = "Der Größe nach: «élan», à 5 °C. "
+    assert garble.restore(sound + garble._read(whole[0].encode("cp1252"), "cp437")) == (True, sound + whole[0])
+    for t in ["├── a │ b ░ C", "at 5 °C, 3 µM, 21’s", "Æ and Õ, El país más, 5 Å", "ôter, être à côté", "Ça fait 2 × 3 ± 1"]:
+        assert garble.restore(t) == (False, t)
+
+
 def test_nothing_else_imports_llm():
     import pathlib
 

@@ -77,16 +77,15 @@ def _automaton():
 
 @lru_cache(1)
 def _western():
-    """(automaton, maps): letters of Western text read in another single-byte encoding, in the contexts in which only a letter can stand.
+    """(automaton, pairs): letters of Western text read in another single-byte encoding, in the contexts in which only a letter can stand.
 
     It works on a shadow of the text: small letters are a, capitals A, digits 9, white space and
     punctuation a space; all other characters stand for themselves.
     """
     import ahocorasick
 
-    automaton, maps, contexts = ahocorasick.Automaton(), {}, {}
+    automaton, contexts = ahocorasick.Automaton(), {}
     for written, read in WESTERN:
-        pair = maps[f"{written}>{read}"] = {}
         for letter in LETTERS:
             try:
                 seen = _read(letter.encode(written), read)
@@ -94,7 +93,6 @@ def _western():
                 continue
             if seen == letter:
                 continue
-            pair[seen] = letter
             around = []
             if seen in "…–—’‘'" or seen.isspace():
                 continue
@@ -113,7 +111,7 @@ def _western():
     for c, found in contexts.items():
         automaton.add_word(c, (len(c), found))
     automaton.make_automaton()
-    return automaton, maps
+    return automaton, [f"{written}>{read}" for written, read in WESTERN]
 
 
 _SHADOW = {**{ord(c): "a" for c in "abcdefghijklmnopqrstuvwxyz"}, **{ord(c): "A" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}, **{ord(c): "9" for c in "0123456789"}}
@@ -283,27 +281,121 @@ def _japanese_pass(text: str) -> tuple[str, int]:
     return "".join([*out, text[last:]]), n
 
 
+@lru_cache(None)
+def _western_map(pair: str) -> dict[str, str]:
+    """All characters that the written encoding holds, by what they were read as."""
+    written, read = pair.split(">")
+    chars = [(_read(bytes([b]), read), _read(bytes([b]), written)) for b in range(0x80, 0x100)]
+    return {seen: char for seen, char in chars if seen != char and not "\x80" <= char < "\xa0"}
+
+
+@lru_cache(1)
+def _symbols() -> list[tuple[re.Pattern, dict[str, set[str]]]]:
+    """Symbols of Western text in contexts of their own: a pattern, and the pairs in which its character stands for that symbol."""
+    out = []
+    for char, before, after in (("°", r"(?<=\d)[ \xa0]?", r"(?=C(?!\w))"), ("µ", r"(?<=\d)[ \xa0]", r"(?=[MLlgms](?!\w))"), ("’", r"(?<=[A-Za-z0-9])", r"(?=s(?!\w))")):
+        seen: dict[str, set[str]] = {}
+        for pair in (f"{w}>{r}" for w, r in WESTERN):
+            for x, c in _western_map(pair).items():
+                # What sound text has there: other marks of degree, micro and apostrophe, and small letters within words.
+                if c == char and x not in "°º˚µμ’‘'´\xa0" and not (char == "’" and (x.islower() or not x.isprintable())):
+                    seen.setdefault(x, set()).add(pair)
+        out.append((re.compile(f"{before}([{re.escape(''.join(seen))}]){after}"), seen))
+    return out
+
+
+@lru_cache(1)
+def _quotes() -> list[tuple[re.Pattern, set[str]]]:
+    """Quotes around words that were read as letters."""
+    out: dict[str, set[str]] = {}
+    for pair in (f"{w}>{r}" for w, r in WESTERN):
+        seen = {c: x for x, c in _western_map(pair).items()}
+        a, b = seen.get("“", ""), seen.get("”", "")
+        if a.isalpha() and b.isalpha():
+            out.setdefault(rf"(?<!\w){a}(?=[A-Za-z0-9][^{a}{b}\n]{{0,80}}[a-z0-9.,!?]{b}(?!\w))", set()).add(pair)
+    return [(re.compile(k), v) for k, v in out.items()]
+
+
+def _sound(c: str, before: str, after: str) -> float:
+    """How well a character stands between its neighbours in Western text."""
+    low = before.islower() or after.islower()
+    within = before.isalpha() and after.isalpha()
+    if c in LETTERS:
+        if c.islower():
+            if before.isupper() and after.isupper():
+                return -1.0
+            return 1.3 if c in "éèàçêüäößñóáíã" else 1.1 if c in "âôîûùëïúõåøæœì" else 0.5
+        return -2.0 if before.islower() else 0.7 if c in "ÉÀÇÄÖÜÂÊÃÓÁÍÚÕ" else 0.4
+    if c in "’'":
+        return 1.0 if within else 0.3
+    if c in "°º":
+        return 1.0 if not within and (before.isdigit() or before.isspace()) else -1.0
+    if c == "µ":
+        return 1.0 if not before.isalpha() and after.isalpha() else -0.5
+    if c in "«“‘„¿¡":
+        return 1.0 if not before.isalnum() else -2.0
+    if c in "»”":
+        return 1.0 if not after.isalnum() else -2.0
+    if c in "\xa0–—…·":
+        return 0.3 if not within else -0.5
+    if c in "±×²³§©®™€£½¼¾ªº•¹÷":
+        return 0.5 if not low else -1.0
+    return -1.0 if within or "\x80" <= c < "\xa0" else -0.4
+
+
+#: Parts of a text that were read in one way or another: sentences and lines.
+_SENTENCE = re.compile(r"[^\n]*?(?:[.!?;]+(?=\s)|\n|$)")
+
+
+def _gain(part: str, to: dict[str, str]) -> float:
+    """How much better a part gets by a pair of encodings."""
+    padded = f" {part} "
+    gain = 0.0
+    back = "".join(to.get(c, c) for c in padded)
+    for i in range(1, len(padded) - 1):
+        if padded[i] in to:
+            gain += _sound(back[i], back[i - 1], back[i + 1]) - _sound(padded[i], padded[i - 1], padded[i + 1])
+    return gain
+
+
 def _western_pass(text: str) -> tuple[str, int]:
-    automaton, maps = _western()
+    automaton, order = _western()
     shadow = " " + text.translate(_SHADOW) + " "
     hits: dict[str, set[int]] = {}
     for end, (n, found) in automaton.iter(shadow):
         for at, pair, _ in found:
             hits.setdefault(pair, set()).add(end - n + 1 + at - 1)
+    for pattern, seen in _symbols():
+        for m in pattern.finditer(text):
+            for pair in seen[m.group(1)]:
+                hits.setdefault(pair, set()).add(m.start(1))
+    for pattern, pairs in _quotes():
+        for m in pattern.finditer(text):
+            for pair in pairs:
+                hits.setdefault(pair, set()).add(m.start())
     if not hits:
         return text, 0
-    pair = max(hits, key=lambda p: (len(hits[p]), -list(maps).index(p)))
-    # In the words that hold a hit, all characters of that pair are put back.
-    to, chars, places = maps[pair], list(text), set(hits[pair])
-    if len(places) > 1:  # sure of the pair: then also where garbled letters stand side by side
-        low = lambda i: 0 <= i < len(text) and "a" <= text[i] <= "z"
-        places |= {i for i, c in enumerate(text) if c in to and c not in LETTERS and (low(i - 1) or low(i + 1))}
-    for at in places:
+    parts = [m for m in _SENTENCE.finditer(text) if not m.group().isascii()]
+    most = max(map(len, hits.values()))
+    # Pairs share hits, so of those with about as many the one counts by which the text gets best.
+    likely = [p for p in hits if 2 * len(hits[p]) >= most]
+    gains = {p: [_gain(m.group(), _western_map(p)) for m in parts] for p in likely}
+    pair = max(likely, key=lambda p: (sum(g for g in gains[p] if g > 0), len(hits[p]), -order.index(p)))
+    # All characters of a part that gets better by the pair are put back; elsewhere those of the words that hold a hit.
+    to, chars = _western_map(pair), list(text)
+    better = [m.span() for m, g in zip(parts, gains[pair]) if g > 0]
+    words, a = [], 0
+    for at in sorted(hits[pair]):
+        if at < a:
+            continue
         a = b = at
         while a and not text[a - 1].isspace():
             a -= 1
         while b < len(text) and not text[b].isspace():
             b += 1
+        words.append((a, b))
+        a = b
+    for a, b in better + words:
         for i in range(a, b):
             if text[i] in to:
                 chars[i] = to[text[i]]
