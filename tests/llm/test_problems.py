@@ -230,6 +230,14 @@ def test_garbled_western_symbols():
         assert garble.restore(t) == (False, t)
 
 
+def test_garbled_short_cyrillic_words():
+    text = "В сети у узла TANQ-61 найдено 8 соседей. Белок связывается с TANK-92, а длина OMA7 короче и ещё меньше."
+    for read in ("cp1252", "latin-1"):
+        seen = text.encode("cp1251").decode(read)
+        assert garble.restore(seen) == (True, text)
+        assert garble.restore(f"Il va à côté. ½² {seen} Être à Rome.") == (True, f"Il va à côté. ½² {text} Être à Rome.")
+
+
 def test_nothing_else_imports_llm():
     import pathlib
 

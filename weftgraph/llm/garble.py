@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -120,6 +121,8 @@ _CONTROL = re.compile("[\x80-\x84\x86-\x9f�]")
 _NOT_ASCII = re.compile(r"[^\s\x00-\x7f]+")
 #: Runs of accented letters without plain ones: Cyrillic read as Western text.
 _RUN = re.compile("(?<![A-Za-z])[À-ÿ¨¸¥³²´¿¯ºª¹¡¢]{3,}(?![A-Za-z])")
+#: Letters of such runs that stand as a word of any length.
+_SHORT_RUN = re.compile(r"(?<![^\s(«\"“—–-])[À-ÿ¨¸]+(?![^\s.,;:!?)»\"”—–-])")
 _CYRILLIC_WORD = re.compile("[Ѐ-ҁҐґ─-╿°·√■\xa0№¤§©«»¬®±µ¶€Ѐ-џ]*[А-яЁё][Ѐ-ҁҐґ─-╿°·√■№¤§©¬®±µ¶€]*")
 
 
@@ -420,12 +423,36 @@ def _best_pair(words: list[str], reads: tuple[str, ...], least: float, gain: flo
     return best, pair
 
 
+def _short_runs(text: str, to: dict[str, str], read: str, written: str) -> str:
+    """Rewrite the long runs of ``to``, and by its pair the other runs of the sentences that hold one, or between two rewritten runs."""
+    ends = [m.end() for m in _SENTENCE.finditer(text)]
+    long = {m.start(): (m.end(), to[m.group()]) for m in _RUN.finditer(text) if m.group() in to}
+    held = {bisect_right(ends, a) for a in long}
+    # Words beyond ASCII in order: sound ones keep a short run between them from being rewritten.
+    words = [m.start() for m in _NOT_ASCII.finditer(text)]
+    good = [w in long for w in words]
+    for m in _SHORT_RUN.finditer(text):
+        if m.start() in long:
+            continue
+        i = bisect_right(words, m.start()) - 1
+        between = any(good[max(0, i - 3) : i]) and any(good[i + 1 : i + 4])
+        if bisect_right(ends, m.start()) in held or between:
+            x = _rewritten(m.group(), read, written)
+            if x and all(c.lower() in RUSSIAN for c in x):
+                long[m.start()] = (m.end(), x)
+    out, at = [], 0
+    for a, (b, back) in sorted(long.items()):
+        out += [text[at:a], back]
+        at = b
+    return "".join([*out, text[at:]])
+
+
 def _cyrillic_pass(text: str) -> tuple[str, int]:
     runs = _RUN.findall(text)
-    to, _ = _best_pair(runs, ("cp1252", "latin-1"), 2.2, 0)
+    to, pair = _best_pair(runs, ("cp1252", "latin-1"), 2.2, 0)
     n = len(to)
     if to:
-        text = _RUN.sub(lambda m: to.get(m.group(), m.group()), text)
+        text = _short_runs(text, to, *pair)
     words = list(dict.fromkeys(w for w in _NOT_ASCII.findall(text) if _CYRILLIC_WORD.fullmatch(w)))
     to, pair = _best_pair([w for w in words if len(w) >= 4], CYRILLIC, 2.6, 0.9) if words else ({}, ("", ""))
     if sum(map(len, to)) >= 8:  # then shorter and rarer words of that pair count too
