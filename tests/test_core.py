@@ -10,6 +10,7 @@ from weftgraph.functions import columns as C
 from weftgraph.functions.keys import id_key
 from weftgraph.operators import edges as E
 from weftgraph.operators import graph as G
+from weftgraph.operators import learn
 from weftgraph.operators import ranking as R
 from weftgraph.operators import sampling as L
 from weftgraph.operators import vectors as V
@@ -148,6 +149,17 @@ def test_splits_cover_and_dont_overlap(spark):
     assert n.join(e, ["u", "v"]).count() == 0 and n.distinct().count() == n.count() and n.where("u = v").count() == 0
 
 
+def test_negative_pairs_of_a_hub_are_as_many_as_asked(spark):
+    hub = spark.createDataFrame([("hub", f"n{i:02d}") for i in range(30)], "u string, v string")
+    known = spark.createDataFrame([(f"n{i:02d}", "n00") for i in range(1, 30)], "u string, v string")
+    n = L.negative_pairs(hub, 30, known=known)
+    assert n.count() == 30 == n.distinct().count() and n.where("u = 'hub' or v = 'hub' or u = 'n00' or v = 'n00' or u >= v").count() == 0
+    dense = spark.createDataFrame([(f"n{i}", f"n{j}") for i in range(6) for j in range(i + 1, 6) if (i, j) != (2, 4)], "u string, v string")
+    assert rows(L.negative_pairs(dense, 3), "u", "v") == [("n2", "n4")]
+    assert learn.labelled(hub, known=known).where("label = 0").count() == 30
+    assert L.negative_pairs(hub.limit(0), 3).count() == 0 == L.negative_pairs(hub, 0).count()
+
+
 def test_holdout_workflow(spark):
     e = spark.createDataFrame([(f"n{i}", f"n{(i * 7 + j) % 30}", 0.2 + (i % 5) / 10) for i in range(30) for j in (1, 3)], "u string, v string, w double").where("u <> v")
     e = E.undirected_max(e)

@@ -23,10 +23,7 @@ def with_features(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
 def labelled(edges: DataFrame, *, neg_ratio: float = 1.0, seed: int = 0, known: DataFrame | None = None) -> DataFrame:
     """(``u``, ``v``, ``label``): edges, and degree-proportional negatives, none of which is in ``edges`` or ``known``."""
     n = int(edges.count() * neg_ratio)
-    neg = negative_pairs(edges, n, seed=seed)
-    if known is not None:
-        k = known.select(C.smaller("u", "v").alias("a"), C.larger("u", "v").alias("b")).distinct()
-        neg = neg.join(k, (F.col("u") == F.col("a")) & (F.col("v") == F.col("b")), "left_anti")
+    neg = negative_pairs(edges, n, seed=seed, known=known)
     return edges.select("u", "v", F.lit(1.0).alias("label")).unionByName(neg.select("u", "v", F.lit(0.0).alias("label")))
 
 

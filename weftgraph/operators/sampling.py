@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from weftgraph.functions import columns as C
 from weftgraph.operators.ranking import number_rows
+from weftgraph.session import Scratch
 
 
 def _positions(df: DataFrame, seed: int, *cols: str) -> DataFrame:
@@ -83,24 +84,29 @@ def draw_matched(pools: list[tuple[str, list[str]]], seed: int) -> list[str]:
     return used
 
 
-def negative_pairs(edges: DataFrame, n: int, *, seed: int = 0, rounds: int = 20) -> DataFrame:
-    """(``u``, ``v``): about degree-proportional random pairs that aren't edges, distinct, at most ``n``.
+def negative_pairs(edges: DataFrame, n: int, *, seed: int = 0, known: DataFrame | None = None) -> DataFrame:
+    """(``u``, ``v``): about degree-proportional random pairs that are neither edges nor ``known``, distinct, at most ``n``.
 
     All edge ends are numbered in two hash orders and paired by number, so a node comes up as often as it has
-    edges; each round pairs them anew, and loops, edges and repeats drop out.
+    edges; loops, edges and repeats drop out. Rounds pair them anew, each by more shifts of the numbers, until ``n``
+    pairs are there, 50 times ``n`` (at least 1,000) have been tried or all ends have been paired with all.
     """
     e = edges.select(C.smaller("u", "v").alias("u"), C.larger("u", "v").alias("v")).distinct()
     ends = e.select(F.inline(F.array(F.struct(F.col("u").alias("x"), F.col("v").alias("o")), F.struct(F.col("v").alias("x"), F.col("u").alias("o")))))
     total = max(1, ends.count())
-    out = None
-    for r in range(max(1, min(rounds, -(-3 * n // (2 * total))))):
+    taken = e if known is None else e.unionByName(known.select(C.smaller("u", "v").alias("u"), C.larger("u", "v").alias("v"))).distinct()
+    taken = taken.select(F.col("u").alias("a"), F.col("v").alias("b"))
+    scratch = Scratch(edges.sparkSession)
+    out, missing, left, r = None, n, max(50 * n, 1000), 0
+    while out is None or (missing > 0 and left > 0 and shifts < total):
+        shifts = min(total, max(1, min(-(-3 * missing // (2 * total)) << r, -(-left // total))))
         a = _positions(ends, seed + 2 * r, "x", "o").select(F.col("x").alias("p"), "at")
-        b = _positions(ends, seed + 2 * r + 1, "x", "o").select(F.col("x").alias("q"), "at")
-        pairs = a.join(b, "at").where("p <> q").select(F.least("p", "q").alias("u"), F.greatest("p", "q").alias("v"))
-        out = pairs if out is None else out.unionByName(pairs)
-    known = e.select(F.col("u").alias("a"), F.col("v").alias("b"))
-    fresh = out.distinct().join(known, (F.col("u") == F.col("a")) & (F.col("v") == F.col("b")), "left_anti")
-    return fresh.orderBy(C.ordered_hash("u", "v", seed=seed), "u", "v").limit(n)
+        b = _positions(ends, seed + 2 * r + 1, "x", "o").select(F.col("x").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(shifts - 1))).alias("shift"), "at")
+        pairs = a.join(b.select("q", ((F.col("at") + F.col("shift")) % total).alias("at")), "at").where("p <> q").select(F.least("p", "q").alias("u"), F.greatest("p", "q").alias("v"))
+        fresh = pairs.distinct().join(taken, (F.col("u") == F.col("a")) & (F.col("v") == F.col("b")), "left_anti")
+        out = scratch.write(fresh if out is None else fresh.unionByName(out).distinct())
+        missing, left, r = n - out.count(), left - shifts * total, r + 1
+    return out.orderBy(C.ordered_hash("u", "v", seed=seed), "u", "v").limit(n)
 
 
 def sample_rows(df: DataFrame, id_col: str, k: int, seed: int = 0) -> DataFrame:
