@@ -148,11 +148,29 @@ def test_pieces(spark):
     all_ = split_oversized(df, "row_id", "seq")
     assert rows(all_.where("row_id > 1")) == [(5, 1, 1, 1022), (5, 2, 769, 1023)] and all_.where("row_id is null").count() == 2
     assert split_oversized(df.limit(0), "row_id", "seq").count() == 0
-    got = pieces.merge_by_strength(3000, [(400, 1), (900, 5), (1500, 1), (2500, 2)], 1022, 254)
+    got = pieces.agglomerate(3000, [(400, 1), (900, 5), (1500, 1), (2500, 2)], 1022, 254)
     assert got[0][0] == 1 and got[-1][1] == 3000 and all(b - a < 1022 for a, b in got)
     assert all(y[0] == x[1] - 253 for x, y in zip(got, got[1:])) and 900 in [b for _, b in got]
 
 
+def test_merged_pieces_end_where_stated():
+    """Against a walk from the left that takes the last boundary in reach."""
+    rng = random.Random(6)
+    for _ in range(400):
+        length, limit = rng.randrange(1, 400), rng.randrange(20, 60)
+        overlap, least = rng.randrange(0, limit // 2), rng.randrange(limit // 2 + 1, limit + 1)
+        cuts = sorted(rng.sample(range(1, length + 1), min(length, rng.randrange(0, 30))))
+        want, start = [], 1
+        while length - start + 1 > limit:
+            end = max([c for c in cuts if start + least - 1 <= c <= start + limit - 1], default=start + limit - 1)
+            want.append((start, end))
+            start = end - overlap + 1
+        want.append((start, length))
+        assert pieces.agglomerate(length, [(c, 1.0) for c in cuts], limit, overlap, least, "position") == want
+        got = pieces.agglomerate(length, [(c, rng.random()) for c in cuts], limit, overlap)
+        assert got[0][0] == 1 and got[-1][1] == length and all(0 <= b - a < limit for a, b in got) and all(y[0] == x[1] + 1 - overlap for x, y in zip(got, got[1:]))
+
+
 def test_tokens(spark):
     tokenizers = pytest.importorskip("tokenizers")
     public = pytest.importorskip("public_tokenizers")
@@ -176,14 +194,35 @@ def test_leaks(spark):
     docs = [(1, "x " + ", ".join(words[6:18]).upper() + " y"), (2, " ".join(words[6:17])), (3, " ".join(words[:6] + ["no"] + words[6:17])), (4, None), (5, ""), (6, "q " * 50_000 + " ".join(words[8:20])), (7, " ".join(words[6:18]))]
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("item_id", F.lit(1))
     got = leaked_passages(df, "doc_id", "text", items, "item_id", "text")
-    assert rows(got) == [(1, 1), (1, 2), (6, 1), (6, 2), (7, 1), (7, 2)]
+    exact = [(1, 1), (1, 2), (6, 1), (6, 2), (7, 1), (7, 2)]
+    assert rows(got.where("edits = 0"), "doc_id", "item_id") == exact
+    assert rows(leaked_passages(df, "doc_id", "text", items, "item_id", "text", edits=0), "doc_id", "item_id") == exact
     assert rows(leaked_passages(df, "doc_id", "text", items, "item_id", "text", block_bytes=10)) == rows(got)
-    near = leaked_passages(df, "doc_id", "text", items, "item_id", "text", edits=1)
-    assert (3, 1) in rows(near) and set(rows(got)) <= set(rows(near))
+    assert {(2, 1, 1), (2, 2, 1), (3, 1, 1)} <= set(rows(got))
     assert leaked_passages(df.limit(0), "doc_id", "text", items, "item_id", "text").count() == 0
     assert leaked_passages(df, "doc_id", "text", items.limit(0), "item_id", "text").count() == 0
 
 
+@pytest.mark.parametrize("edits", [1, 2])
+def test_edited_passages_are_found(edits):
+    """Recall of each kind of edit, in passages of the size of the window, within other text."""
+    from weftgraph.llm.leaks import PassageIndex
+
+    rng = random.Random(8)
+    passages = [[f"w{rng.randrange(4000)}" for _ in range(12)] for _ in range(400)]
+    index = PassageIndex([(i, " ".join(p)) for i, p in enumerate(passages)], 12, edits, 0.99, 5)
+    for kind in ("replace", "insert", "delete"):
+        docs = []
+        for p in passages:
+            p = list(p)
+            for at in sorted(rng.sample(range(1, 12), edits), reverse=True):
+                p[at : at + (kind != "insert")] = [] if kind == "delete" else [f"w{rng.randrange(4000)}"]
+            text = [f"w{rng.randrange(4000)}" for _ in range(30)] + p + [f"w{rng.randrange(4000)}" for _ in range(30)]
+            docs.append(np.array([index.vocabulary.get(w, 0) for w in text], np.int32))
+        doc, item, d = index.probe(docs)
+        assert (d <= edits).all() and sum(doc == item) >= 0.95 * len(passages), (kind, sum(doc == item))
+
+
 SOUND = ["été à côté « noté »", "RELAÇÃO DO PULMÃO, CORAÇÃO", "Straßen für Ångström", "Белок связывается через узел", "肾臓の試料で検出", "±§¶¿¡ —…†‡‰ ½²①Ⅷﬁ", "37.7 ± 0.02 µM at 36 °C, p ≤ 0.05", "α-helix Mg²⁺ “x” ’s", "├── a │ b", None, "", "plain"]
 
 

@@ -16,56 +16,46 @@ from weftgraph.functions.text import BLANKS
 BOUNDARY = r"[Xx*\-]+"
 
 
-def merge_by_position(length: int, cuts: Sequence[int], limit: int, overlap: int, least: int) -> list[tuple[int, int]]:
-    """Pieces (start, end) from 1. Atoms between ``cuts`` merge, leftmost boundary first, while the piece stays within ``limit``.
-
-    A piece ends at the last boundary that it can reach once it has ``least`` characters, else at the
-    limit. Consecutive pieces share ``overlap`` characters.
+def agglomerate(length: int, cuts: Sequence[tuple[int, float]], limit: int, overlap: int, least: int = 0, order: str = "strength") -> list[tuple[int, int]]:
+    """Pieces (start, end) from 1 of a text of ``length``, merged from the atoms between ``cuts``, which are (position, strength).
+
+    A heap holds the boundaries between adjacent segments, weakest first: by strength, ties from the left,
+    or with ``order="position"`` by place alone. The two segments of the weakest boundary merge if their size and the
+    overlap with the piece before fit into ``limit``; else the boundary stays. A segment that doesn't fit by
+    itself is divided at the limit. If the left one has fewer than ``least`` characters, the
+    boundary moves on to the limit instead, so that the right one fills it up.
     """
-    heap, pieces, start = list(cuts), [], 1
+    ends = sorted({c for c, _ in cuts if 0 < c < length})
+    left = dict(zip([*ends, length], [0, *ends]))
+    right = {a: b for b, a in left.items()}
+    strength = dict(cuts)
+    heap = [(0.0 if order == "position" else strength[e], e) for e in ends] + [(float("inf"), length)]
     heapq.heapify(heap)
-    while length - start + 1 > limit:
-        full, end = start + limit - 1, 0
-        while heap and heap[0] <= full:
-            cut = heapq.heappop(heap)
-            if cut >= start + least - 1:
-                end = cut
-        end = end or full
-        pieces.append((start, end))
-        start = end - overlap + 1
-    pieces.append((start, length))
-    return pieces
-
 
-def merge_by_strength(length: int, cuts: Sequence[tuple[int, float]], limit: int, overlap: int) -> list[tuple[int, int]]:
-    """Pieces (start, end) from 1. ``cuts`` are (position, strength); the weakest boundary merges first while the piece and its overlap fit.
+    def divide(a: int, e: int, at: int) -> None:
+        """Put a boundary between ``a`` and ``e`` that stays."""
+        left[at], right[a], left[e], right[at] = a, at, at, e
 
-    An atom that is too long by itself is cut every ``limit - overlap`` characters. Ties merge from the left.
-    """
-    room = limit - overlap
-    strength: dict[int, float] = {}
-    last = 0
-    for end, s in [*sorted(c for c in cuts if 0 < c[0] < length), (length, float("inf"))]:
-        while end - last > room:
-            last += room
-            strength[last] = float("inf")
-        strength[end], last = s, end
-    ends = sorted(strength)
-    left = dict(zip(ends, [0, *ends]))
-    right = dict(zip([0, *ends], ends))
-    heap = [(strength[e], e) for e in ends[:-1]]
-    heapq.heapify(heap)
-    gone = set()
     while heap:
-        s, e = heapq.heappop(heap)
-        if e == length:
-            continue
-        a, b = left[e], right[e]
-        if b - a + (overlap if a else 0) <= limit:
-            gone.add(e)
+        weight, e = heapq.heappop(heap)
+        a = left[e]
+        shared = overlap if a else 0
+        full = a - shared + limit  # the last place that the left segment can reach
+        if e > full:
+            divide(a, e, full)
+            heapq.heappush(heap, (weight, e))
+        elif e < length:
+            b = right[e]
+            if b > full and e - a + shared >= least:
+                continue
             right[a], left[b] = b, a
-    kept = [e for e in ends if e not in gone]
-    return [(max(1, a - overlap + 1), b) for a, b in zip([0, *kept], kept)]
+            if b > full:
+                divide(a, b, full)
+    pieces, a = [], 0
+    while a < length:
+        pieces.append((a - overlap + 1 if a else 1, right[a]))
+        a = right[a]
+    return pieces
 
 
 def split_oversized(
@@ -82,9 +72,10 @@ def split_oversized(
     """(``row_id``, ``piece_no``, ``start_pos``, ``end_pos``) of the pieces of each text of more than ``limit`` characters.
 
     Positions count the characters without white space, from 1, both ends included. The atoms between
-    boundaries (the ends of longest runs of ``boundary``) merge with a heap of adjacent pairs:
-    ``order="position"`` merges the leftmost first, so each piece takes all it can; ``order="strength"``
-    merges at the shortest runs first, so that pieces end at the longest ones.
+    boundaries (the ends of longest runs of ``boundary``) merge by a heap of adjacent pairs (see ``agglomerate``):
+    ``order="position"`` takes the leftmost boundary for the weakest, so each piece takes all it can and
+    ends at a boundary once it has ``least`` characters; ``order="strength"`` merges at the shortest
+    runs first, so that pieces end at the longest ones.
 
     NULL, blank and short texts have no pieces. Repeated rows each have theirs. Whole texts are read,
     of any length; columns that aren't named aren't.
@@ -100,7 +91,7 @@ def split_oversized(
             out: tuple[list, list, list, list] = ([], [], [], [])
             for rid, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 runs = [(m.end(), m.end() - m.start()) for m in run.finditer(t)]
-                got = merge_by_position(len(t), [e for e, _ in runs], limit, overlap, least) if order == "position" else merge_by_strength(len(t), runs, limit, overlap)
+                got = agglomerate(len(t), runs, limit, overlap, least if order == "position" else 0, order)
                 for i, (a, b) in enumerate(got, 1):
                     for column, x in zip(out, (rid, i, a, b)):
                         column.append(x)
