@@ -69,10 +69,15 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_corpus(_table(spark, d, "documents"), "doc_id", "text")
 
 
-def p9_found(spark: SparkSession, d: str) -> DataFrame:
+def p9_near(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with 12 consecutive words of a passage, or with one of them replaced, dropped or one more between."""
     return leaked_passages(_table(spark, d, "documents"), "doc_id", "text", _table(spark, d, "eval_passages"), "item_id", "text")
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_near(spark, d).where("edits = 0").select("doc_id", "item_id")
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return p10_restored(spark, d).select("doc_id")
 
