@@ -180,8 +180,8 @@ def _overlaps(t: pa.Table, elsewhere: set[str]) -> Iterator[pa.RecordBatch]:
         own = rows[own]
         chars, start = _circular(flat, at[own], n[own], place)
         size = n[own] + 1
-        # Suffixes alike but for one character share one of these beginnings: even lengths just below theirs.
-        for length, some in ((2 * ((size - 1) // 2), np.arange(len(own))), (size, np.flatnonzero(size % 2 == 0))):
+        # Suffixes alike but for one character share one of these beginnings: multiples of three just below their sizes.
+        for length, some in ((size - 1 - (size - 1) % 3, np.arange(len(own))), (size, np.flatnonzero(size % 3 == 0))):
             if len(some):
                 h = _beginnings(chars, start[some], length[some])
                 o = pa.array(own[some])
@@ -295,7 +295,7 @@ def split_overlaps(df: DataFrame, row_id: str, first: Column, second: Column, he
 
     ends = F.array(F.struct(F.col("k1").alias("a"), F.col("k2").alias("b")), F.struct(F.col("k2").alias("a"), F.col("k1").alias("b")))
     entries = reps.select("rep", F.col("out").alias("held_out"), F.inline(F.when(F.col("k1") == F.col("k2"), F.slice(ends, 1, 1)).otherwise(ends))).select("a", "b", "rep", "held_out")
-    marks = entries.repartitionByRange(parts, "a", "b").sortWithinPartitions("a", "b").mapInArrow(_scan, MARKS)
+    marks = entries.repartitionByRange(4 * parts, "a", "b").sortWithinPartitions("a", "b").mapInArrow(_scan, MARKS)
     found = scratch.write(marks.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(_exchanged, PAIRS).distinct())
 
     # Unfold the copies of the matched records.
