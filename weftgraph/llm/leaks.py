@@ -77,7 +77,7 @@ class PassageIndex:
     """
 
     def __init__(self, passages: list[tuple[int, str]], size: int, edits: int, recall: float, seed: int):
-        self.size, self.edits, self.steps, self.sample = size, edits, 3 * size, max(2, size // 4)
+        self.size, self.edits, self.steps, self.sample = size, edits, 3 * size // 2, max(2, 5 * size // 12)  # few walks get past the end in so many steps
         self.times = repetitions(edits, size, self.steps, self.sample, recall)
         texts = [(i, words(t or "")) for i, t in passages]
         self.vocabulary: dict[str, int] = {}
@@ -114,7 +114,12 @@ class PassageIndex:
         out = np.full(n, size, np.int64)
         equal = ((stretches[:, :size] == windows) & (windows > 0)).all(axis=1)
         out[equal] = 0
-        rest = np.flatnonzero(~equal)
+        # Words that stand at most ``edits`` places apart in both: all but ``edits`` of them, or the distance is larger.
+        padded = np.pad(stretches, ((0, 0), (self.edits, 0)))
+        near = (windows == padded[:, :size]) & (windows > 0)
+        for shift in range(1, 2 * self.edits + 1):
+            near |= windows == padded[:, shift : shift + size]
+        rest = np.flatnonzero(~equal & (near.sum(axis=1) >= size - self.edits))
         if self.edits and len(rest):
             a, b = windows[rest], stretches[rest]
             row = np.tile(np.arange(b.shape[1] + 1), (len(rest), 1))
