@@ -134,12 +134,41 @@ def test_neighbours(spark):
     want = {tuple(sorted((int(ids[a]), int(ids[b])))) for a in range(len(ids)) for b in np.lexsort((ids, -s[a]))[:5]}
     rows_ = latest_usable(df, "row_id", id_key("ids"), "emb", 128)
     got = set(map(tuple, similar_pairs(nearest(rows_)).collect()))
-    assert got == want
+    assert len(got & want) >= 0.99 * len(want) and len(got) <= 5 * len(ids)
     some = set(map(tuple, similar_pairs(nearest(rows_, rows_per_range=100, window=16)).collect()))
     assert len(some & want) >= 0.9 * len(want)
     assert nearest(latest_usable(df.limit(0), "row_id", id_key("ids"), "emb", 128)).count() == 0
 
 
+def test_equal_vectors_beyond_any_share(spark):
+    rng = np.random.default_rng(7)
+    v = rng.normal(size=(60, 8)).astype(np.float32)
+    v[20:50] = v[20]
+    v[50:60] = v[50]
+    df = spark.createDataFrame([(i, v[i].tolist()) for i in range(60)], "r long, v array<float>")
+    got = {}
+    for r in nearest(df, size=8, k=3).collect():
+        got.setdefault(r.row, {})[r["rank"]] = (r.other, r.sim)
+    for i in range(20, 60):
+        group = range(20, 50) if i < 50 else range(50, 60)
+        assert got[i] == dict(enumerate([(j, 1_000_000) for j in group if j != i][:3], 1))
+
+
+@pytest.mark.parametrize("ranges", [5, 20])
+def test_neighbours_across_ranges(spark, ranges):
+    """Recall with many ranges, which overlap, and the curves that go with their number."""
+    rng = np.random.default_rng(9)
+    centers = rng.normal(size=(60, 128))
+    v = (centers[rng.integers(0, 60, 3000)] + 0.5 * rng.normal(size=(3000, 128))).astype(np.float32)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "r long, v array<float>")
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    got = set(nearest(df, rows_per_range=3000 // ranges, window=24).select("row", "other").collect())
+    want = {(i, int(j)) for i in range(3000) for j in np.argsort(-s[i])[:5]}
+    assert len(got & want) >= 0.9 * len(want)
+
+
 def test_pieces(spark):
     long = "A" * 600 + "XX" + "B" * 800 + "*" + "C" * 700
     df = spark.createDataFrame([(1, long), (2, "A" * 1022), (3, None), (4, ""), (5, "A" * 1023), (6, " \n" + "A" * 1022 + "\t"), (None, "A" * 1030)], "row_id long, seq string").withColumn("text", F.lit("x"))

@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from weftgraph.functions.keys import once
-from weftgraph.session import fits_broadcast
+from weftgraph.operators.ranking import number_rows
+from weftgraph.session import HOT_KEYS, Scratch, fits_broadcast
 
-#: Dimensions of the projection that a curve runs through, and bits of each.
+#: Dimensions of the projection that a curve runs through, and bits of each: 60 bits, which leave three to break ties.
 AXES, BITS = 12, 5
 
 
@@ -65,42 +66,59 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
     return wide / np.sqrt((wide * wide).sum(axis=1, keepdims=True))
 
 
+def _largest(s: np.ndarray, keep: int) -> np.ndarray:
+    """Columns of the ``keep`` largest values of each row, in no order: those of the columns' groups with the largest maxima, then of these."""
+    n, width = s.shape
+    groups = width // 8
+    if groups <= keep or width % 8:
+        return np.argpartition(s, width - keep, axis=1)[:, width - keep :]
+    top = s.reshape(n, 8, groups).max(axis=1)
+    best = np.argpartition(top, groups - keep, axis=1)[:, groups - keep :]
+    columns = (best[:, None, :] + groups * np.arange(8)[None, :, None]).reshape(n, 8 * keep)
+    values = np.take_along_axis(s, columns, axis=1)
+    return np.take_along_axis(columns, np.argpartition(values, 7 * keep, axis=1)[:, 7 * keep :], axis=1)
+
+
 def _best_in_range(ids: np.ndarray, vectors: np.ndarray, k: int, orders: int, window: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, other, similarity in millionths): up to k best of each row among the windows of several orders of a range."""
     n = len(ids)
     unit = _unit(vectors)
     small = unit.astype(np.float32)
-    keep = min(2 * k + 2, n - 1)
-    if keep < 1:
+    keep = 2 * k + 2
+    if n < 2:
         return (np.empty(0, np.int64),) * 3
     mean = small.mean(axis=0)
     spread = float((small - mean).std()) or 1.0
-    rows, others = [], []
-    for r in range(orders if n > 4 * window else 1):
+    step, width = 256, 256 + 2 * window
+    others, sims = np.zeros((n, orders * keep), np.int64), np.full((n, orders * keep), -3, np.float32)
+    for r in range(orders):
         order = np.argsort(curve_keys(small, seed + r, mean, spread), kind="stable")
         sorted_ = small[order]
-        reach = window if n > 4 * window else n
-        step = 256 if n > 4 * window else 1024
         for a in range(0, n, step):
             b = min(a + step, n)
-            lo, hi = max(0, a - reach), min(n, b + reach)
-            s = sorted_[a:b] @ sorted_[lo:hi].T
-            s[np.arange(b - a), np.arange(a - lo, b - lo)] = -2
-            take = min(keep, hi - lo - 1)
-            best = np.argpartition(-s, take - 1, axis=1)[:, :take] if take < hi - lo else np.tile(np.arange(hi - lo), (b - a, 1))
-            rows.append(np.repeat(order[a:b], take))
-            others.append(order[lo + best].ravel())
-    code = np.unique(np.concatenate(rows) * n + np.concatenate(others))
-    row, other = code // n, code % n
-    sim = np.empty(len(row), np.int64)
-    for a in range(0, len(row), 1 << 16):
-        i, j = row[a : a + (1 << 16)], other[a : a + (1 << 16)]
-        sim[a : a + (1 << 16)] = np.rint(np.einsum("ij,ij->i", unit[i], unit[j]) * 1e6)
-    rank = np.lexsort((ids[other], -sim, row))
-    row, other, sim = row[rank], other[rank], sim[rank]
-    first = np.searchsorted(row, row, "left")
-    good = (np.arange(len(row)) - first < k) & (row != other)
-    return ids[row[good]], ids[other[good]], sim[good]
+            lo, hi = max(0, a - window), min(n, b + window)
+            s = np.full((b - a, max(width, keep)), -3, np.float32)
+            np.matmul(sorted_[a:b], sorted_[lo:hi].T, out=s[:, : hi - lo])
+            s[np.arange(b - a), np.arange(a - lo, b - lo)] = -3
+            best = _largest(s, keep)
+            others[order[a:b], r * keep : (r + 1) * keep] = order[np.minimum(lo + best, n - 1)]
+            sims[order[a:b], r * keep : (r + 1) * keep] = np.take_along_axis(s, best, axis=1)
+    out: list[tuple[np.ndarray, ...]] = []
+    for a in range(0, n, 1 << 12):
+        # Each candidate once, then the best by single precision, then those in double.
+        c, s = others[a : a + (1 << 12)], sims[a : a + (1 << 12)]
+        by = np.argsort(np.where(s > -3, c, n), axis=1)
+        c, s = np.take_along_axis(c, by, axis=1), np.take_along_axis(s, by, axis=1)
+        s[:, 1:][c[:, 1:] == c[:, :-1]] = -3
+        best = np.argpartition(s, s.shape[1] - keep, axis=1)[:, s.shape[1] - keep :]
+        c, s = np.take_along_axis(c, best, axis=1), np.take_along_axis(s, best, axis=1)
+        exact = np.rint(np.einsum("rd,rkd->rk", unit[a : a + (1 << 12)], unit[c]) * 1e6).astype(np.int64)
+        exact[s <= -3] = -(10**9)
+        rank = np.lexsort((ids[c], -exact), axis=1)[:, :k]
+        c, exact = np.take_along_axis(c, rank, axis=1), np.take_along_axis(exact, rank, axis=1)
+        row, place = np.nonzero(exact > -(10**9))
+        out.append((ids[a + row], ids[c[row, place]], exact[row, place]))
+    return tuple(np.concatenate(x) for x in zip(*out))
 
 
 def _pack(ids: np.ndarray, vectors: np.ndarray) -> bytes:
@@ -134,12 +152,20 @@ def latest_usable(df: DataFrame, row_id: str, key: Column, vector: str, size: in
     return rows.select("r", "v").join(F.broadcast(old) if small else old, F.col("r") == F.col("old"), "left_anti")
 
 
+def curves_for(ranges: int) -> int:
+    """Curves with which at least 95 of 100 neighbours share a range on some curve: four up to 16 ranges, one and a half more for each doubling.
+
+    Measured on 80,000 vectors of the test data, cut into 5 to 500 ranges; see the README.
+    """
+    return 4 + math.ceil(1.5 * math.log2(max(1.0, ranges / 16)))
+
+
 def nearest(
     rows: DataFrame,
     *,
     k: int = 5,
     size: int = 128,
-    curves: int = 4,
+    curves: int | None = None,
     orders: int = 4,
     window: int = 384,
     rows_per_range: int = 16_384,
@@ -147,30 +173,42 @@ def nearest(
 ) -> DataFrame:
     """(``row``, ``other``, ``sim``, ``rank``): the ``k`` most similar rows of each row of (``r``, ``v``), found approximately.
 
-    ``curves`` Hilbert curves, each through another random projection with another shift, order all
-    vectors. Each order is cut into ranges of about ``rows_per_range`` rows; within a range, ``orders``
-    further curves of its own bring near vectors together, and windows of ``window`` rows to either side are
-    compared. The best of all windows of all curves merge by similarity: the cosine in double precision,
-    in millionths; of equal ones the smaller row comes first. Mean and spread for the projections and the quantiles at
-    which ranges are cut come from all vectors. Vectors move once for each curve, in compressed blocks,
-    to a task of their range; a range has a bounded size, however the vectors are spread.
+    Several Hilbert curves, each through another random projection with another shift, order all
+    vectors. Each order is cut into ranges of about ``rows_per_range`` rows, which overlap by ``window`` rows on either
+    side; within a range, ``orders`` further curves of its own bring near vectors together, and windows of ``window`` rows to
+    either side are compared. The best of all windows of all curves merge by similarity: the cosine in double precision,
+    in millionths; of equal ones the smaller row comes first. Mean and spread for the projections and the places at
+    which ranges are cut come from all vectors; ranks are counted over range partitions. Vectors move once for each
+    curve, in compressed blocks, to a task of their range; a range has a bounded size, however the vectors are spread.
+
+    The more ranges, the more neighbours lie across a cut, so the number of curves grows with the logarithm of the
+    number of ranges (see ``curves_for``) unless it is given.
 
     Of equal vectors only the ``k`` + 1 smallest rows take part in the search: no row can have another of
-    them among its best. The others get their ``k`` equal ones. Rows must be unique and usable; empty input gives
-    an empty result.
+    them among its best. The others get their ``k`` equal ones. Groups of equal vectors with more than 1/HOT_KEYS of such
+    rows are joined by broadcast. Rows must be unique and usable; empty input gives an empty result.
     """
     spark = rows.sparkSession
     schema = "row bigint, other bigint, sim bigint"
     marked = once(rows, "r", h1=F.xxhash64("v"), h2=F.xxhash64("v", F.lit(seed)))
-    groups = marked.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > k + 1).select(F.col("h1").alias("g1"), F.col("h2").alias("g2"))
-    crowd = marked.join(groups, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2"))).select("r", "g1", "g2")
+    groups = Scratch(spark).write(marked.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > k + 1).select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), "n"))
+    crowded = groups.agg(F.sum("n")).first()[0] or 0
     extra = None
-    if crowd.limit(1).count():
-        heads = crowd.withColumn("i", F.row_number().over(Window.partitionBy("g1", "g2").orderBy("r"))).where(F.col("i") <= k + 1)
+    if crowded:
+        hot = F.col("n") > F.lit(crowded // HOT_KEYS)
+
+        def by_group(left: DataFrame, right: DataFrame) -> DataFrame:
+            """``left(h1, h2)`` with ``right(g1, g2, n)``, which has one row per group."""
+            on = (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2"))
+            return left.join(right.where(~hot), on).unionByName(left.join(F.broadcast(right.where(hot)), on))
+
+        crowd = by_group(marked, groups).select("r", "g1", "g2")
+        heads = crowd.withColumn("i", F.row_number().over(Window.partitionBy("g1", "g2").orderBy("r"))).where(F.col("i") <= k + 1)  # cut off before the shuffle, too
         head = heads.select(F.col("r").alias("hr"))
-        rest = crowd.join(head, F.col("r") == F.col("hr"), "left_anti").select("r", "g1", "g2")
-        firsts = heads.where(F.col("i") <= k).groupBy("g1", "g2").agg(F.sort_array(F.collect_list("r")).alias("firsts")).select(F.col("g1").alias("q1"), F.col("g2").alias("q2"), "firsts")
-        extra = rest.join(firsts, (F.col("g1") == F.col("q1")) & (F.col("g2") == F.col("q2"))).select(F.col("r").alias("row"), F.explode("firsts").alias("other"), F.lit(1_000_000).cast("long").alias("sim"))
+        rest = crowd.join(head, F.col("r") == F.col("hr"), "left_anti").select("r", F.col("g1").alias("h1"), F.col("g2").alias("h2"))
+        firsts = heads.where(F.col("i") <= k).groupBy("g1", "g2").agg(F.sort_array(F.collect_list("r")).alias("firsts"))
+        firsts = firsts.join(groups.withColumnsRenamed({"g1": "q1", "g2": "q2"}), (F.col("g1") == F.col("q1")) & (F.col("g2") == F.col("q2"))).select("g1", "g2", "n", "firsts")
+        extra = by_group(rest, firsts).select(F.col("r").alias("row"), F.explode("firsts").alias("other"), F.lit(1_000_000).cast("long").alias("sim"))
         gone = rest.select(F.col("r").alias("gone"))
         rows = rows.join(F.broadcast(gone) if fits_broadcast(gone) else gone, F.col("r") == F.col("gone"), "left_anti")
 
@@ -191,23 +229,34 @@ def nearest(
     mean = np.array([sums[i] for i in range(size)]) / n
     spread = math.sqrt(max(sums[size] / n - float(mean @ mean), 0) / size) or 1.0
     mean = mean.astype(np.float32)
-    names = [f"k{c}" for c in range(curves)]
+    ranges = max(1, math.ceil(n / rows_per_range))
+    curves = curves or curves_for(ranges)
 
     def keys(v: np.ndarray) -> list[np.ndarray]:
         u = _unit(v).astype(np.float32)
-        return [curve_keys(u, seed * 1000 + c, mean, spread) for c in range(curves)]
+        tie = (v.view(np.uint32).sum(axis=1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(61)).astype(np.int64)  # cells with more rows than a range are cut by it
+        return [(curve_keys(u, seed * 1000 + c, mean, spread) << 3) | tie for c in range(curves)]
 
     def only_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in keys(_vectors(b.column(0), size))], names)
+                got = keys(_vectors(b.column(0), size))
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(curves, dtype=np.int32), b.num_rows)), pa.array(np.concatenate(got))], ["curve", "key"])
 
-    seen = rows.select("v").mapInArrow(only_keys, ", ".join(f"{n} bigint" for n in names))
-    ranges = max(1, math.ceil(n / rows_per_range))
-    cuts = [np.empty(0, np.int64)] * curves
+    # A range goes from the place ``window`` rows before its cut to that behind the next one: (ends behind the cuts, ends before the cuts) of each curve.
+    none = np.empty(0, np.int64)
+    behind, before = [none] * curves, [none] * curves
     if ranges > 1:
-        wanted = [i / ranges for i in range(1, ranges)]
-        cuts = [np.array(x, np.int64) for x in seen.agg(*[F.percentile_approx(c, wanted, max(2000, 20 * ranges)) for c in names]).first()]
+        share = n // ranges
+        reach = min(window, share // 2)
+        at = F.col("at") - F.col("curve").cast("long") * n
+        placed = number_rows(rows.select("v").mapInArrow(only_keys, "curve int, key bigint"), "curve", "key").select("curve", "key", at.alias("at"))
+        ends = placed.where((F.col("at") >= share - reach) & (F.col("at") < (ranges - 1) * share + reach + 1)).withColumn("off", F.pmod(F.col("at") + reach, F.lit(share))).where(F.col("off").isin(0, 2 * reach))
+        got: dict[tuple[int, bool], list[int]] = {}
+        for c, key, off in ends.select("curve", "key", "off").collect():  # two numbers for each range and curve
+            got.setdefault((c, off > 0), []).append(key)
+        behind = [np.sort(np.array(got.get((c, True), []), np.int64)) for c in range(curves)]
+        before = [np.sort(np.array(got.get((c, False), []), np.int64)) for c in range(curves)]
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -216,12 +265,15 @@ def nearest(
             ids, v = (np.concatenate(x) for x in zip(*held))
             out: tuple[list, list, list, list] = ([], [], [], [])
             for c, key in enumerate(keys(v)):
-                place = np.searchsorted(cuts[c], key, "right")
+                first, last = np.searchsorted(behind[c], key, "left"), np.searchsorted(before[c], key, "right")
+                both = np.flatnonzero(last > first)
+                own, place = np.concatenate([np.arange(len(ids)), both]), np.concatenate([first, last[both]])
                 order = np.argsort(place, kind="stable")
-                edges = np.flatnonzero(np.diff(place[order], prepend=-1, append=-1))
+                own, place = own[order], place[order]
+                edges = np.flatnonzero(np.diff(place, prepend=-1, append=-1))
                 for a, b in zip(edges[:-1], edges[1:]):
-                    part = order[a:b]
-                    for column, x in zip(out, (c, int(place[part[0]]), len(part), _pack(ids[part], v[part]))):
+                    part = own[a:b]
+                    for column, x in zip(out, (c, int(place[a]), len(part), _pack(ids[part], v[part]))):
                         column.append(x)
             return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.binary())], ["curve", "place", "n", "block"])
 
