@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 import re
+import string
+import unicodedata
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
@@ -15,9 +17,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Single-byte encodings in which UTF-8 bytes may have been read.
-READ_AS = ("latin-1", "cp1252", "iso8859-15", "cp1250", "iso8859-2", "cp1251", "cp1254", "koi8-r", "cp866", "cp437", "cp850", "mac_roman")
-#: Pairs (written in, read as) of single-byte encodings of Western text.
+READ_AS = ("latin-1", "cp1252", "iso8859-15", "cp1250", "iso8859-2", "cp1251", "cp1254", "koi8-r", "cp866", "cp437", "cp850", "mac_roman", "iso8859-7", "cp1253", "cp1255", "cp1256", "cp1257", "mac_cyrillic")
+#: Multi-byte encodings in which UTF-8 bytes of Western text may have been read.
+READ_WIDE = ("gbk", "cp932", "euc_kr", "big5")
+#: Readings in which texts of this kind are seldom written, so a weak sequence counts beside a sure one anywhere in the text.
+RARELY = ("iso8859-7", "cp1253", "cp1255", "cp1256")
+#: Pairs (written in, read as) of single-byte encodings of Western and Central European text.
 WESTERN = [(a, b) for a in ("cp1252", "cp437", "cp850", "mac_roman") for b in ("cp1252", "latin-1", "cp437", "cp850", "mac_roman") if a != b and {a, b} != {"cp1252", "latin-1"}]
+WESTERN += [("cp1252", b) for b in ("cp1251", "koi8-r", "cp866", "mac_cyrillic", "iso8859-5", "cp1253", "iso8859-7", "cp1255", "cp1256")]
+WESTERN += [(a, b) for a in ("iso8859-2", "cp1250") for b in ("cp1252", "latin-1", "cp437", "cp850", "cp1251")]
 #: Encodings of Cyrillic text, written or read.
 CYRILLIC = ("cp1251", "koi8-r", "cp866", "iso8859-5", "mac_cyrillic")
 #: Multi-byte encodings that may have been read as Western text.
@@ -27,6 +35,14 @@ JAPANESE = ("shift_jis", "euc_jp")
 LETTERS = "àáâãäåæçèéêëìíîïñòóôõöøùúûüýÿßœÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝŒ"
 #: Russian letters, from frequent to rare, with their share in a thousand letters.
 RUSSIAN = dict(zip("оеаинтсрвлкмдпуяыьгзбчйхжшюцщэфъё", (110, 85, 80, 74, 67, 63, 55, 47, 45, 44, 35, 32, 30, 28, 26, 20, 19, 17, 17, 17, 16, 14, 12, 10, 9, 7, 6, 5, 4, 3, 3, 1, 1)))
+#: Greek, Hebrew and Arabic letters, from frequent to rare, with their share in a thousand letters.
+GREEK = dict(zip("αοιετσνηυρπκμλςωδγήίόάχθφέβώύξζψϊϋΐΰ", (98, 90, 77, 75, 77, 48, 62, 45, 40, 40, 40, 38, 33, 26, 38, 18, 16, 16, 18, 24, 20, 22, 12, 12, 8, 17, 7, 8, 10, 4, 3, 2, 1, 1, 1, 1)))
+HEBREW = dict(zip("יוהלארתבשמנםכעדקחפןגסטזצךץף", (110, 103, 108, 74, 64, 60, 51, 47, 44, 46, 29, 27, 24, 33, 26, 22, 25, 17, 13, 13, 15, 13, 14, 13, 9, 2, 3)))
+ARABIC = dict(zip("اليمنرتوبعدسفهكحقجأةشصطىخذثزضغءئإؤظآ", (125, 118, 68, 61, 58, 42, 45, 56, 35, 35, 28, 26, 26, 26, 22, 22, 22, 13, 17, 15, 10, 9, 10, 8, 8, 6, 6, 5, 5, 4, 3, 3, 6, 1, 2, 3)))
+#: Encodings of each script with the letters by which its texts are told.
+SCRIPTS = [(written, letters) for some, letters in ((CYRILLIC, RUSSIAN), (("cp1253", "iso8859-7"), GREEK), (("cp1255", "iso8859-8"), HEBREW), (("cp1256", "iso8859-6"), ARABIC)) for written in some]
+#: Marks that may rightly stand between letters, as in units and formulas.
+BETWEEN = "·×°®™©²³¹±/µ§"
 #: Quotes, dashes and closing marks that may rightly follow a capital letter.
 CLOSING = "“”‘’»«›‹–—…"
 
@@ -38,7 +54,7 @@ def _read(data: bytes, codec: str) -> str:
 
 def _plain_chars() -> str:
     """Characters that texts are expected to hold, by range."""
-    ranges = [(0xA0, 0x100), (0x131, 0x132), (0x141, 0x145), (0x152, 0x154), (0x15A, 0x162), (0x178, 0x17F), (0x104, 0x108), (0x10C, 0x112), (0x118, 0x11C), (0x11E, 0x120), (0x150, 0x152), (0x386, 0x3CF), (0x401, 0x402), (0x410, 0x452), (0x5D0, 0x5EB), (0x621, 0x64B)]
+    ranges = [(0xA0, 0x180), (0x192, 0x193), (0x2C6, 0x2C7), (0x2DC, 0x2DD), (0x386, 0x3CF), (0x401, 0x402), (0x410, 0x452), (0x5D0, 0x5EB), (0x621, 0x64B)]
     ranges += [(0x2010, 0x2028), (0x202F, 0x2040), (0x2070, 0x208F), (0x20AC, 0x20AD), (0x2122, 0x2123), (0x2190, 0x2196), (0x2200, 0x2266), (0x2460, 0x2474), (0x3000, 0x3030), (0x3041, 0x3097), (0x30A0, 0x3100), (0xE01, 0xE5C), (0xFB00, 0xFB05), (0xFF01, 0xFF5F), (0x1F300, 0x1F650), (0x1F900, 0x1F9FF)]
     chars = [chr(c) for a, b in ranges for c in range(a, b)] + ["�", "﻿", "​", "‍"]
     # The common ideographs: the first levels of the Japanese and the Chinese standard.
@@ -53,7 +69,7 @@ def _weak(garbled: str, codec: str) -> bool:
     if len(garbled) > 2:
         return False
     a, b = garbled[0], garbled[-1]
-    if codec in ("cp1251", "koi8-r", "cp866"):
+    if codec in ("cp1251", "koi8-r", "cp866", "mac_cyrillic", "iso8859-7", "cp1253", "cp1255", "cp1256", "cp1257"):
         return b.isalpha() or b in CLOSING + "°№\xa0"
     return a.isalpha() and a not in "ÃÂ" and (b in CLOSING or (b.isalpha() and b not in "ªºµƒ" and a != "Ă"))
 
@@ -63,11 +79,25 @@ def _automaton():
     """Garbled sequences of all plain characters in UTF-8 for all readings: what stood there, whether it is weak, and the pair."""
     import ahocorasick
 
-    table: dict[str, tuple[str, bool, str]] = {}
+    table: dict[str, tuple[str, bool | None, str]] = {}
     for codec in READ_AS:
         for char in _plain_chars():
             seen = _read(char.encode(), codec)
             table.setdefault(seen, (char, _weak(seen, codec), f"utf-8>{codec}"))
+    for codec in ("cp1252", "latin-1"):
+        for char in map(chr, range(0x80, 0xA0)):  # halves of characters that were garbled before
+            seen = _read(char.encode(), codec)
+            table.setdefault(seen, (char, False, f"utf-8>{codec}"))
+    for codec in READ_WIDE:
+        for char in LETTERS + "’“”–—…":
+            for after in ["", *string.ascii_lowercase, " "]:
+                try:
+                    seen = (char + after).encode().decode(codec)
+                except UnicodeDecodeError:
+                    continue
+                table.setdefault(seen, (char + after, None, f"utf-8>{codec}"))  # None: counts only within a word
+                if not after:
+                    break
     automaton = ahocorasick.Automaton()
     for seen, (char, weak, pair) in table.items():
         if not seen.isascii() and seen != char:
@@ -87,28 +117,33 @@ def _western():
 
     automaton, contexts = ahocorasick.Automaton(), {}
     for written, read in WESTERN:
-        for letter in LETTERS:
+        letters = LETTERS if written not in ("iso8859-2", "cp1250") else [c for b in range(0x80, 0x100) if (c := _read(bytes([b]), written)).isalpha()]
+        for letter in letters:
             try:
                 seen = _read(letter.encode(written), read)
             except UnicodeEncodeError:
                 continue
-            if seen == letter:
+            if seen == letter or seen in "…–—’‘'" or seen.isspace():
                 continue
             around = []
-            if seen in "…–—’‘'" or seen.isspace():
-                continue
             if not seen.isalpha() and seen not in "ªº²":  # a mark between letters, or at the end of a word
-                around = [f"a{seen}a"] + ([] if seen in "”“„»«·°™®©†‡±§²³¹¼½¾" and written == "cp1252" and read == "cp1252" else [])
+                around = [f"a{seen}a"]
                 if seen in "≤≥⌠⌡∩≡≈∞÷■▀▄█▌▐¾¶¦¤" or 0x2500 <= ord(seen) < 0x25A0:
                     around += [f"aa{seen} ", f" {seen}aa"]
-            elif seen not in LETTERS + "ªº²":  # a letter of another script inside a word
-                around = [f"a{seen}a", f"aa{seen} "] + ([f" {seen}aa"] if seen not in "αβγδεκλµ" else [])
+            elif seen.isalpha() and not unicodedata.name(seen, "").startswith("LATIN"):  # a letter of another script inside a word
+                around = [f"a{seen}a"]
+                if written != "cp1252" or read in ("cp437", "cp850", "mac_roman"):
+                    around += [f"aa{seen} "] + ([f" {seen}aa"] if seen not in "αβγδεκλµ" else [])
+            elif seen.isalpha() and seen not in LETTERS + "ªº²":  # Latin letters of other languages: they only follow a sure hit
+                around = [f"a{seen}a", f"aa{seen} ", f" {seen}aa"] if not (seen.isupper() and letter.islower()) else [f"a{seen}a"]
             elif seen.isupper() and letter.islower():
                 around = [f"a{seen}a"]
             elif seen == "ß":
                 around = [f" {seen}aa"]
+            foreign = seen.isalpha() and seen.islower() and seen not in LETTERS + "ªº²" and unicodedata.name(seen, "").startswith("LATIN")
+            weak = foreign or seen in BETWEEN
             for c in around:
-                contexts.setdefault(c, []).append((c.index(seen), f"{written}>{read}", letter))
+                contexts.setdefault(c, []).append((c.index(seen), f"{written}>{read}", letter, weak))
     for c, found in contexts.items():
         automaton.add_word(c, (len(c), found))
     automaton.make_automaton()
@@ -120,7 +155,7 @@ _SHADOW |= {c: " " for c in range(128) if c not in _SHADOW} | {0xA0: " "}
 _CONTROL = re.compile("[\x80-\x84\x86-\x9f�]")
 _NOT_ASCII = re.compile(r"[^\s\x00-\x7f]+")
 #: Runs of accented letters without plain ones: Cyrillic read as Western text.
-_RUN = re.compile("(?<![A-Za-z])[À-ÿ¨¸¥³²´¿¯ºª¹¡¢]{3,}(?![A-Za-z])")
+_RUN = re.compile("(?<![A-Za-z])[À-ÿ¨¸¥³²´¿¯ºª¹¡¢£]{3,}(?![A-Za-z])")
 #: Letters of such runs that stand as a word of any length.
 _SHORT_RUN = re.compile(r"(?<![^\s(«\"“—–-])[À-ÿ¨¸]+(?![^\s.,;:!?)»\"”—–-])")
 _CYRILLIC_WORD = re.compile("[Ѐ-ҁҐґ─-╿°·√■\xa0№¤§©«»¬®±µ¶€Ѐ-џ]*[А-яЁё][Ѐ-ҁҐґ─-╿°·√■№¤§©¬®±µ¶€]*")
@@ -144,12 +179,11 @@ def _common_kanji() -> frozenset[str]:
     return frozenset(c for c in map(chr, range(0x4E00, 0xA000)) if (b := c.encode("euc_jp", "ignore")) and len(b) == 2 and b[0] <= 0xCF)
 
 
-def _russian(s: str) -> float:
-    """Mean logarithmic score of a string as Russian; wrong case and other characters count against it."""
-
+def _russian(s: str, letters: dict[str, int] = RUSSIAN) -> float:
+    """Mean logarithmic score of a string by the shares of its letters, Russian if none are given; wrong case and other characters count against it."""
     total, n = 0.0, 0
     for i, c in enumerate(s):
-        share = RUSSIAN.get(c.lower())
+        share = letters.get(c.lower())
         n += 1
         total += math.log(share) if share else -4.0
         if i and c.isupper() and s[i - 1].islower():
@@ -174,11 +208,21 @@ def _utf8_pass(text: str) -> tuple[str, int]:
     # Encodings share sequences, so any neighbour will do.
     beside = [i > 0 and found[i - 1][1] == x[0] for i, x in enumerate(found)] + [False]
     frame = lambda a, b: b - a == 2 and text[a] in "├┬" and 0x2500 <= ord(text[b - 1]) < 0x2580
-    plain = {x[4] for x in found if not x[3] and not frame(x[0], x[1])}
+    plain = {x[4] for x in found if x[3] is False and not frame(x[0], x[1])}
+    small = lambda i: 0 <= i < len(text) and "a" <= text[i] <= "z"
+    inside = {x[4] for x in found if x[3] is None and small(x[0] - 1) and small(x[1])}
+    # Two scripts in a word, or a capital after a small letter and before a mark.
+    other = lambda c: c.isalpha() and not unicodedata.name(c, "").startswith("LATIN")
+    mixed = lambda a, b: (other(text[a]) and (small(a - 1) or small(b))) or (text[a].isupper() and small(a - 1) and text[b - 1] in CLOSING)
+    certain = plain | {x[4] for x in found if x[3] and mixed(x[0], x[1])}
     out, at, n = [], 0, 0
     for i, (a, b, char, weak, pair) in enumerate(found):
-        if weak:
-            if not (beside[i] or beside[i + 1]):
+        if weak is None:
+            if pair not in inside or not (small(a - 1) or small(b)):
+                continue
+        elif weak:
+            alone = text[a] in "ÐÑ" and not (a and text[a - 1].isalpha())
+            if not (beside[i] or beside[i + 1] or mixed(a, b) or (pair in certain and (alone or pair.endswith(RARELY)))):
                 continue
         elif frame(a, b):
             if not (pair in plain or (a and text[a - 1].isalpha()) or (b < len(text) and text[b].isalpha())):
@@ -361,13 +405,32 @@ def _gain(part: str, to: dict[str, str]) -> float:
     return gain
 
 
+def _readable(text: str, at: int, pair: str) -> bool:
+    """Whether the word around a place has only characters that the reading of the pair has."""
+    a = b = at
+    while a and text[a - 1].isalpha():
+        a -= 1
+    while b < len(text) and text[b].isalpha():
+        b += 1
+    of = _bytes_of(pair.split(">")[1])
+    return all(c in of for c in text[a:b])
+
+
 def _western_pass(text: str) -> tuple[str, int]:
     automaton, order = _western()
     shadow = " " + text.translate(_SHADOW) + " "
     hits: dict[str, set[int]] = {}
+    faint: dict[str, set[int]] = {}
     for end, (n, found) in automaton.iter(shadow):
-        for at, pair, _ in found:
-            hits.setdefault(pair, set()).add(end - n + 1 + at - 1)
+        for at, pair, _, weak in found:
+            (faint if weak else hits).setdefault(pair, set()).add(end - n + 1 + at - 1)
+    # A word that holds characters which the reading doesn't have wasn't read by it.
+    hits = {pair: kept for pair, some in hits.items() if (kept := {i for i in some if _readable(text, i, pair)})}
+    # Marks that sound text may hold count where several of them would make letters.
+    for pair, some in faint.items():
+        if pair in hits or (pair.startswith(("iso8859-2", "cp1250")) and len({text[i] for i in some if text[i] in "±³¹"}) > 1):
+            if kept := {i for i in some if _readable(text, i, pair)}:
+                hits.setdefault(pair, set()).update(kept)
     for pattern, seen in _symbols():
         for m in pattern.finditer(text):
             for pair in seen[m.group(1)]:
@@ -405,25 +468,25 @@ def _western_pass(text: str) -> tuple[str, int]:
     return "".join(chars), len(hits[pair])
 
 
-def _best_pair(words: list[str], reads: tuple[str, ...], least: float, gain: float) -> tuple[dict[str, str], tuple[str, str]]:
-    """What stands for each word in the pair of encodings that makes most of the words good Russian, ``gain`` better than they are."""
-    best, most, pair = {}, 0.0, ("", "")
+def _best_pair(words: list[str], reads: tuple[str, ...], least: float, gain: float, scripts: list = SCRIPTS) -> tuple[dict[str, str], tuple[str, str], dict[str, int]]:
+    """What stands for each word in the pair of encodings that makes most of the words good text of its script, ``gain`` better than they are."""
+    best, most, pair, told = {}, 0.0, ("", ""), RUSSIAN
     for read in reads:
-        for written in CYRILLIC:
+        for written, letters in scripts:
             if read == written:
                 continue
             to, total = {}, 0.0
             for w in words:
                 x = _rewritten(w, read, written)
-                if x and (score := _russian(x)) >= least and score - _russian(w) >= gain:
+                if x and (score := _russian(x, letters)) >= least and score - _russian(w) >= gain:
                     to[w] = x
                     total += len(w) * (score - (0.3 if x.isupper() else 0))
             if total > most:
-                best, most, pair = to, total, (read, written)
-    return best, pair
+                best, most, pair, told = to, total, (read, written), letters
+    return best, pair, told
 
 
-def _short_runs(text: str, to: dict[str, str], read: str, written: str) -> str:
+def _short_runs(text: str, to: dict[str, str], read: str, written: str, letters: dict[str, int]) -> str:
     """Rewrite the long runs of ``to``, and by its pair the other runs of the sentences that hold one, or between two rewritten runs."""
     ends = [m.end() for m in _SENTENCE.finditer(text)]
     long = {m.start(): (m.end(), to[m.group()]) for m in _RUN.finditer(text) if m.group() in to}
@@ -438,7 +501,7 @@ def _short_runs(text: str, to: dict[str, str], read: str, written: str) -> str:
         between = any(good[max(0, i - 3) : i]) and any(good[i + 1 : i + 4])
         if bisect_right(ends, m.start()) in held or between:
             x = _rewritten(m.group(), read, written)
-            if x and all(c.lower() in RUSSIAN for c in x):
+            if x and all(c.lower() in letters for c in x):
                 long[m.start()] = (m.end(), x)
     out, at = [], 0
     for a, (b, back) in sorted(long.items()):
@@ -449,12 +512,12 @@ def _short_runs(text: str, to: dict[str, str], read: str, written: str) -> str:
 
 def _cyrillic_pass(text: str) -> tuple[str, int]:
     runs = _RUN.findall(text)
-    to, pair = _best_pair(runs, ("cp1252", "latin-1"), 2.2, 0)
+    to, pair, letters = _best_pair(runs, ("cp1252", "latin-1"), 2.2, 0)
     n = len(to)
     if to:
-        text = _short_runs(text, to, *pair)
+        text = _short_runs(text, to, *pair, letters)
     words = list(dict.fromkeys(w for w in _NOT_ASCII.findall(text) if _CYRILLIC_WORD.fullmatch(w)))
-    to, pair = _best_pair([w for w in words if len(w) >= 4], CYRILLIC, 2.6, 0.9) if words else ({}, ("", ""))
+    to, pair, _ = _best_pair([w for w in words if len(w) >= 4], CYRILLIC, 2.6, 0.9, SCRIPTS[: len(CYRILLIC)]) if words else ({}, ("", ""), RUSSIAN)
     if sum(map(len, to)) >= 8:  # then shorter and rarer words of that pair count too
         to |= {w: x for w in words if w not in to and (x := _rewritten(w, *pair)) and _russian(x) >= max(2.0, _russian(w) + 0.2)}
         text = _NOT_ASCII.sub(lambda m: to.get(m.group(), m.group()), text)
@@ -467,12 +530,14 @@ def restore(text: str) -> tuple[bool, str]:
     if text.isascii():
         return False, text
     garbled = bool(_CONTROL.search(text))
-    for _ in range(5):  # text may have been garbled more than once
+    seen = {text}
+    while True:  # text may have been garbled more than once
         text, a = _japanese_pass(text)
         text, b = _utf8_pass(text)
-        if not a and not b:
+        garbled = garbled or bool(a or b)
+        if text in seen:
             break
-        garbled = True
+        seen.add(text)
     if not text.isascii():
         text, a = _cyrillic_pass(text)
         text, b = _western_pass(text)
