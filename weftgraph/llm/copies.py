@@ -92,3 +92,11 @@ def _round(rows: DataFrame, names: dict[str, list[str]], scratch: Scratch, seed:
 def collapsed(copies: DataFrame) -> DataFrame:
     """(``keep_row_id``, ``n_copies``): one row for each set of copies."""
     return copies.groupBy("keep_row_id").agg(F.count(F.lit(1)).alias("n_copies"))
+
+
+def collapse(df: DataFrame, row_id: str, copies: DataFrame) -> DataFrame:
+    """``df`` with one row for each set of ``copies`` (the kept one) and each row without any, and ``n_copies``, at least 1."""
+    gone = copies.where("row_id <> keep_row_id").select(F.col("row_id").alias("gone"))
+    n = copies.groupBy(F.col("keep_row_id").alias("kept")).agg(F.count(F.lit(1)).alias("n_copies"))
+    rest = df.join(gone, F.col(row_id) == F.col("gone"), "left_anti").join(n, F.col(row_id) == F.col("kept"), "left")
+    return rest.select(*[F.col(f"`{c}`") for c in df.columns if c != "n_copies"], F.coalesce("n_copies", F.lit(1)).alias("n_copies"))

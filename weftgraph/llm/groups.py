@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +12,10 @@ from weftgraph.functions.keys import unit_hash
 from weftgraph.session import HOT_KEYS, Scratch, hot_keys, shuffle_partitions
 
 
+#: Directed edges of a level for each task.
+EDGES_PER_TASK = 250_000
+
+
 def _vertices(pairs: DataFrame, scratch: Scratch, seed: int) -> tuple[DataFrame, int]:
     """(v, key, n) for each node, v its 64-bit handle; another seed is tried if two keys ever share a handle."""
     while True:
@@ -32,6 +38,15 @@ def _hop(cold: DataFrame, hot: DataFrame | None, state: DataFrame, hot_ids: list
     return offers.select(F.col("dst").alias("v"), (F.col("val") + 1).alias("val"), "lab")
 
 
+def _looked_up(left: DataFrame, key: str, right: DataFrame, by: str, hot: list, how: str = "inner") -> DataFrame:
+    """``left`` with the row of ``right`` that has its key; ``right`` has one row per key, those of ``hot`` keys (at most HOT_KEYS) go by broadcast."""
+    if not hot:
+        return left.join(right, F.col(key) == F.col(by), how)
+    few = right.where(F.col(by).isin(hot))
+    cold = left.where(~F.col(key).isin(hot)).join(right, F.col(key) == F.col(by), how)
+    return cold.unionByName(left.where(F.col(key).isin(hot)).join(F.broadcast(few), F.col(key) == F.col(by), how))
+
+
 def link_groups(
     pairs: DataFrame,
     a: str,
@@ -51,8 +66,9 @@ def link_groups(
     ``group_key`` is the smallest member in byte order.
 
     Vertices whose edges hold more than 1/HOT_KEYS of all are joined by broadcast (at most HOT_KEYS
-    rows), all others by key, so that no task gets the neighbourhood of a hub.  Each level is cut off
-    by a table in the shared folder.
+    rows), all others by key, so that no task gets the neighbourhood of a hub; clusters and groups that hold as
+    large a share are looked up the same way in the end.  Each level is cut off by a table in the shared
+    folder, and its number of tasks goes with its edges.
 
     Rows with a NULL in ``a`` or ``b`` link nothing; a row with ``a`` = ``b`` makes a group of its
     own.  Repeated rows don't matter.  An empty input gives an empty result.  Only the two named
@@ -72,7 +88,8 @@ def link_groups(
         hot_ids = hot_keys(counts, "src", "n", total)
         both = half.select(F.explode(F.array(F.struct(F.col("x").alias("src"), F.col("y").alias("dst")), F.struct(F.col("y").alias("src"), F.col("x").alias("dst")))).alias("e")).select("e.*")
         is_hot = F.col("src").isin(hot_ids)
-        cold = (both.where(~is_hot) if hot_ids else both).repartition(parts, "src").dropDuplicates(["src", "dst"]).sortWithinPartitions("src").persist(StorageLevel.MEMORY_AND_DISK)
+        tasks = min(parts, math.ceil(total / EDGES_PER_TASK))
+        cold = (both.where(~is_hot) if hot_ids else both).repartition(tasks, "src").dropDuplicates(["src", "dst"]).sortWithinPartitions("src").persist(StorageLevel.MEMORY_AND_DISK)
         hot = both.where(is_hot).dropDuplicates(["src", "dst"]).persist(StorageLevel.MEMORY_AND_DISK) if hot_ids else None
         ids = cold.select(F.col("src").alias("v")).distinct()
         if hot is not None:
@@ -116,18 +133,20 @@ def link_groups(
         return vertices.select(F.col("key").alias("node_key"), F.col("key").alias("group_key"))
     first = levels[0].select(F.col("v").alias("w"), F.col("lab").alias("l"))
     base = scratch.write(vertices.join(first, vertices.v == first.w, "left").select("key", F.coalesce("l", "v").alias("lab")))
-    least = base.groupBy("lab").agg(F.min("key").alias("least"))
+    least = base.groupBy("lab").agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("n"))
     if len(levels) == 1:
-        final = least.select(F.col("lab").alias("l"), F.col("least").alias("group_key"))
+        named = scratch.write(least.select("lab", F.col("least").alias("group_key"), "n"))
+        final = named.select(F.col("lab").alias("l"), "group_key")
     else:
         roots = levels[-1].select("v", F.col("lab").alias("root"))
         for level in reversed(levels[1:-1]):
+            sizes = level.groupBy("lab").agg(F.count(F.lit(1)).alias("n"))
             up = roots.select(F.col("v").alias("w"), F.col("root").alias("r"))
-            roots = level.join(up, level.lab == up.w, "left").select("v", F.coalesce("r", "lab").alias("root"))
-        named = scratch.write(least.join(roots, least.lab == roots.v, "left").select("lab", "least", F.coalesce("root", "lab").alias("root")))
-        group = named.groupBy("root").agg(F.min("least").alias("group_key")).withColumnRenamed("root", "r")
-        final = named.join(group, named.root == group.r).select(F.col("lab").alias("l"), "group_key")
-    return base.join(final, base.lab == final.l).select(F.col("key").alias("node_key"), "group_key")
+            roots = _looked_up(level, "lab", up, "w", hot_keys(sizes, "lab", "n", level.count()), "left").select("v", F.coalesce("r", "lab").alias("root"))
+        named = scratch.write(least.join(roots, least.lab == roots.v, "left").select("lab", "least", F.coalesce("root", "lab").alias("root"), "n"))
+        group = named.groupBy("root").agg(F.min("least").alias("group_key"), F.count(F.lit(1)).alias("labels")).withColumnRenamed("root", "r")
+        final = _looked_up(named.select("lab", "root"), "root", group.select("r", "group_key"), "r", hot_keys(group, "r", "labels", named.count())).select(F.col("lab").alias("l"), "group_key")
+    return _looked_up(base, "lab", final, "l", hot_keys(named, "lab", "n", base.count())).select(F.col("key").alias("node_key"), "group_key")
 
 
 __all__ = ["HOT_KEYS", "link_groups"]

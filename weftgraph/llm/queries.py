@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.functions.keys import id_key, once
-from weftgraph.llm.copies import collapsed, hidden_copies
+from weftgraph.llm.copies import collapse, collapsed, hidden_copies
 from weftgraph.llm.garble import garbled_texts
 from weftgraph.llm.groups import link_groups
 from weftgraph.llm.leaks import leaked_passages
@@ -48,6 +48,12 @@ def p4_copies(spark: SparkSession, d: str) -> DataFrame:
     return collapsed(_copies(spark, d))
 
 
+def p4_collapsed(spark: SparkSession, d: str) -> DataFrame:
+    """Each edge once, with the number of its copies, by the row that stands for it."""
+    edges = _table(spark, d, "string_edges_head").where(id_key("node_a").isNotNull() & id_key("node_b").isNotNull())
+    return collapse(edges.select("row_id", *SCORES), "row_id", _copies(spark, d))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     held_out = F.when(F.col("split").isin("val", "test"), True).when(F.col("split") == "train", False)
     return split_overlaps(_table(spark, d, "string_edges_head"), "row_id", id_key("node_a"), id_key("node_b"), held_out)
@@ -143,5 +149,6 @@ def oracle_sql() -> dict[str, str]:
         "p1_group_sizes": f"SELECT size, count(*) AS groups FROM (SELECT count(*) AS size FROM ({_P1}) GROUP BY group_key) GROUP BY size",
         "p4_found": _P4 + "SELECT keep_row_id, row_id FROM k WHERE row_id <> keep_row_id",
         "p4_copies": _P4 + "SELECT keep_row_id, count(*) AS n_copies FROM k WHERE n > 1 GROUP BY keep_row_id",
+        "p4_collapsed": _P4 + f"SELECT row_id, {', '.join(SCORES)}, n AS n_copies FROM k WHERE row_id = keep_row_id",
         "p7_found": _P7,
     }
