@@ -149,6 +149,6 @@ def oracle_sql() -> dict[str, str]:
         "p1_group_sizes": f"SELECT size, count(*) AS groups FROM (SELECT count(*) AS size FROM ({_P1}) GROUP BY group_key) GROUP BY size",
         "p4_found": _P4 + "SELECT keep_row_id, row_id FROM k WHERE row_id <> keep_row_id",
         "p4_copies": _P4 + "SELECT keep_row_id, count(*) AS n_copies FROM k WHERE n > 1 GROUP BY keep_row_id",
-        "p4_collapsed": _P4 + f"SELECT row_id, {', '.join(SCORES)}, n AS n_copies FROM k WHERE row_id = keep_row_id",
+        "p4_collapsed": _P4 + f"SELECT min(row_id) AS row_id, {', '.join(SCORES)}, count(*) AS n_copies FROM e GROUP BY x, y, {', '.join(SCORES)}",
         "p7_found": _P7,
     }
