@@ -104,7 +104,7 @@ def test_average_precision_and_curve(spark):
     m = R.ranking_metrics(ranked, [10]).first()
     assert abs(m.auprc - 5 / 6) < 1e-12 and (m.precision_at_10, m.recall_at_10, m.enrichment_at_10) == (0.4, 1.0, 1.0)
     assert abs(R.top_metrics(ranked, 10).first().auprc - 5 / 6) < 1e-12
-    near(rows(R.pr_curve(ranked), "rank", "recall", "precision")[:3], [(0, 0.0, 1.0), (1, 0.5, 1.0), (2, 0.5, 0.5)])
+    near(rows(R.pr_curve(ranked), "rank", "recall", "precision"), [(0, 0.0, 1.0), (1, 0.5, 1.0), (3, 1.0, 2 / 3)])
     none = R.rank_nodes(s.withColumn("p", F.lit(False)), hit=F.col("p"))
     assert math.isnan(R.ranking_metrics(none, [1]).first().auprc) and R.top_metrics(none, 1).first().enrichment_at_k is None
 

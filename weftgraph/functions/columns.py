@@ -68,11 +68,6 @@ def normalize_score(raw: Column | str, low: Column | str, high: Column | str) ->
     return clamp01(out)
 
 
-def score_method(low: Column | str, high: Column | str) -> Column:
-    low, high = _col(low), _col(high)
-    return F.when((low >= 0) & (high <= 1), "identity").when((low >= 0) & (high <= 1000), "divide_by_1000").when(high > low, "minmax").otherwise("constant")
-
-
 def minmax01(c: Column | str, low: Column | str, high: Column | str) -> Column:
     """Min-max to [0, 1]; 0 if the range is empty."""
     c, low, high = _col(c), _col(low), _col(high)
@@ -190,3 +185,19 @@ def significant(c: Column | str, digits: int = 6) -> Column:
 def ordered_hash(*cols: Column | str, seed: int = 0) -> Column:
     """md5 of columns and a seed: a repeatable random order, the same in other SQL engines."""
     return F.md5(F.concat_ws(":", *[_col(c).cast("string") for c in cols], F.lit(str(seed))))
+
+
+def mapped(c: Column | str, names: dict[str, str]) -> Column:
+    """A label by a small table of names; what isn't in it stays."""
+    c = _col(c)
+    if not names:
+        return c
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), c), c)
+
+
+def k_list(text: str) -> list[int]:
+    """Distinct positive numbers of a comma-separated list, sorted; an error if there is none or one isn't positive."""
+    ks = [int(x) for x in text.split(",") if x.strip()]
+    if not ks or min(ks) <= 0:
+        raise ValueError("positive numbers are needed")
+    return sorted(set(ks))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.session import Scratch
+from weftgraph.operators.ranking import exact_quantiles
+from weftgraph.session import Scratch, hot_keys, looked_up
 
 
 def adjacency(edges: DataFrame) -> DataFrame:
@@ -24,7 +25,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Alternates two rewritings of the edges until they change nothing: each node links its larger
     neighbours with the smallest node around it, then its smaller ones. Both keep what is connected and
     end in stars, after a number of rounds that grows with the logarithm of the size. Minima are combined
-    before the shuffle. Each round is cut off by a table in the shared folder; an error after ``max_rounds``.
+    before the shuffle; the neighbours of a node with more than 1/HOT_KEYS of all edges, such as the root of a star, are
+    joined by broadcast. Each round is cut off by a table in the shared folder; an error after ``max_rounds``.
     """
     scratch = Scratch(edges.sparkSession)
     nodes = edges.select(F.explode(F.array("u", "v")).alias("id")).distinct()
@@ -36,10 +38,11 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     now = state(pairs)
     for _ in range(max_rounds):
         both = pairs.unionByName(pairs.select(F.col("y").alias("x"), F.col("x").alias("y")))
+        hot = hot_keys(both.groupBy("x").agg(F.count(F.lit(1)).alias("n")), "x", "n", 2 * now[0])
         low = both.groupBy(F.col("x").alias("c")).agg(F.least(F.min("y"), F.first("x")).alias("m"))
-        large = both.where("y > x").join(low, F.col("x") == F.col("c")).select(F.col("y").alias("x"), F.col("m").alias("y")).distinct()
+        large = looked_up(both.where("y > x"), "x", low, "c", hot).select(F.col("y").alias("x"), F.col("m").alias("y")).distinct()
         low = large.groupBy(F.col("x").alias("c")).agg(F.min("y").alias("m"))
-        j = large.join(low, F.col("x") == F.col("c"))
+        j = looked_up(large, "x", low, "c", hot)  # no node has more edges here than before
         small = j.where("y <> m").select(F.col("y").alias("x"), F.col("m").alias("y")).unionByName(low.select(F.col("c").alias("x"), F.col("m").alias("y"))).distinct()
         new = scratch.write(small)
         after = state(new)
@@ -58,7 +61,8 @@ def component_sizes(parts: DataFrame) -> DataFrame:
 def summary(df: DataFrame, column: str) -> DataFrame:
     """One row: min, max, mean and median; zeros if there is no row."""
     z = lambda c: F.coalesce(c.cast("double"), F.lit(0.0))
-    return df.agg(z(F.min(column)).alias("min"), z(F.max(column)).alias("max"), z(F.avg(column)).alias("mean"), z(F.median(column)).alias("median"))
+    middle = exact_quantiles(df, column, [0.5]).select(z(F.col("value")).alias("median"))
+    return df.agg(z(F.min(column)).alias("min"), z(F.max(column)).alias("max"), z(F.avg(column)).alias("mean")).join(middle)  # one row each
 
 
 def graph_stats(edges: DataFrame, top: int = 10) -> DataFrame:

@@ -80,17 +80,20 @@ def pagerank(
     else:
         state = known.select("run_id", "id", F.col("p").alias("score"), "parts")
 
+    limit = None if tol is None else tol * (n_nodes if stop == "n_tol" else 1)
+
     def step(state: DataFrame) -> DataFrame:
         sent = state.select("run_id", F.col("id").alias("s"), "score", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("q"))
         moved = sent.join(steps, (F.col("s") == F.col("src")) & (F.col("q") == F.col("part"))).select("run_id", F.col("dst").alias("id"), (F.col("score") * F.col("share")).alias("new"), F.lit(0.0).alias("old"), F.col("dst_parts").alias("parts"))
         back = known.select("run_id", "id", (F.col("p") * (1 - alpha)).alias("new"), F.lit(0.0).alias("old"), "parts")
-        both = moved.unionByName(back).unionByName(state.select("run_id", "id", F.lit(0.0).alias("new"), F.col("score").alias("old"), "parts"))
+        both = moved.unionByName(back)
+        if limit is not None:  # only the residual needs the scores before
+            both = both.unionByName(state.select("run_id", "id", F.lit(0.0).alias("new"), F.col("score").alias("old"), "parts"))
         if some_idle:
             lost = state.join(idle, F.col("id") == F.col("idle"), "left_semi").groupBy(F.col("run_id").alias("r")).agg(F.sum("score").alias("lost"))
             both = both.unionByName(known.join(lost, F.col("run_id") == F.col("r")).select("run_id", "id", (F.col("p") * F.col("lost") * alpha).alias("new"), F.lit(0.0).alias("old"), "parts"))
         return both.groupBy("run_id", "id").agg(F.sum("new").alias("score"), F.sum("old").alias("old"), F.max("parts").alias("parts"))
 
-    limit = None if tol is None else tol * (n_nodes if stop == "n_tol" else 1)
     runs: dict[str, tuple[int, float, bool]] = {}
     finished: list[DataFrame] = []
     kept: list[DataFrame] = []
@@ -105,7 +108,7 @@ def pagerank(
             if table is not None and not finished:
                 scratch.drop(table)
             after = table = written
-        else:  # the next step reads it more than once
+        elif limit is not None or some_idle:  # the next step reads it more than once
             after = after.persist(StorageLevel.MEMORY_AND_DISK)
             kept.append(after)
         if limit is not None:

@@ -21,6 +21,42 @@ def number_rows(df: DataFrame, *order: Column | str) -> DataFrame:
     return place.withColumn("pid", pid).join(F.broadcast(lift), "pid").withColumn("at", F.col("at") - F.shiftleft("pid", 33) + F.col("n0")).drop("pid", "n0")
 
 
+def running_sum(df: DataFrame, order: str, value: str) -> DataFrame:
+    """``df`` with ``before``, the sum of ``value`` over all rows before it by ``order``: sums within range partitions, lifted by those before."""
+    spark = df.sparkSession
+    part = Scratch(spark).write(df.repartitionByRange(shuffle_partitions(spark), order).withColumn("pid", F.spark_partition_id()))
+    sums = part.groupBy("pid").agg(F.sum(value).alias("s"))
+    earlier = Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    lift = sums.select("pid", F.coalesce(F.sum("s").over(earlier), F.lit(0)).alias("s0"))
+    own = Window.partitionBy("pid").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return part.join(F.broadcast(lift), "pid").withColumn("before", F.coalesce(F.sum(value).over(own), F.lit(0)) + F.col("s0")).drop("pid", "s0")
+
+
+def number_within(df: DataFrame, group: str, *order: Column | str) -> DataFrame:
+    """``df`` with ``at``, the row's place in its group, from 0, and ``n``, the group's rows: groups of any size, of which there are few.
+
+    The global numbers of ``number_rows``, less the first one of the group.
+    """
+    placed = number_rows(df, group, *order)
+    spans = placed.groupBy(F.col(group).alias("span_of")).agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    return placed.join(F.broadcast(spans), F.col(group) == F.col("span_of")).withColumn("at", F.col("at") - F.col("first")).drop("span_of", "first")
+
+
+def exact_quantiles(df: DataFrame, column: str, qs: Sequence[float]) -> DataFrame:
+    """(``q``, ``value``): exact quantiles with linear interpolation, NULL and NaN left out; NULL values if nothing is left.
+
+    The values are numbered over range partitions, and only those on either side of a quantile are looked at.
+    """
+    x = F.col(column).cast("double")
+    placed = number_rows(df.select(x.alias("x")).where("x is not null and not isnan(x)"), "x")
+    last = placed.count() - 1
+    wanted = {q: (int(q * last), min(int(q * last) + 1, last), q * last - int(q * last)) for q in qs} if last >= 0 else {}
+    places = sorted({p for lo, hi, _ in wanted.values() for p in (lo, hi)})
+    found = {r[0]: r[1] for r in placed.where(F.col("at").isin(places)).select("at", "x").collect()} if places else {}  # two for each q
+    value = lambda q: found[wanted[q][0]] + (found[wanted[q][1]] - found[wanted[q][0]]) * wanted[q][2] if q in wanted else None
+    return df.sparkSession.createDataFrame([(float(q), value(q)) for q in qs], "q double, value double")
+
+
 def rank_nodes(scores: DataFrame, *, exclude: DataFrame | None = None, hit: Column | None = None) -> DataFrame:
     """(``run_id``, ``id``, ``score``, ``rank``, ``hit``, ``hits``): rank by falling score, ties by id, within each run; hits up to the rank.
 
@@ -46,10 +82,9 @@ def rank_nodes(scores: DataFrame, *, exclude: DataFrame | None = None, hit: Colu
 
 
 def pr_curve(ranked: DataFrame) -> DataFrame:
-    """(``run_id``, ``rank``, ``recall``, ``precision``) of each rank, from rank 0 with recall 0 and precision 1; NaN recall without positives."""
-    total = ranked.groupBy(F.col("run_id").alias("r")).agg(F.sum("hit").alias("p"))
-    recall = F.when(F.col("p") > 0, F.col("hits") / F.col("p")).otherwise(F.lit(float("nan")))
-    rows = ranked.join(total, F.col("run_id") == F.col("r")).select("run_id", "rank", recall.alias("recall"), (F.col("hits") / F.col("rank")).alias("precision"))
+    """(``run_id``, ``rank``, ``recall``, ``precision``) at each positive, after a first row of rank 0 with recall 0 and precision 1; no rows for runs without positives."""
+    total = ranked.groupBy(F.col("run_id").alias("r")).agg(F.sum("hit").alias("p")).where("p > 0")
+    rows = ranked.where("hit = 1").join(total, F.col("run_id") == F.col("r")).select("run_id", "rank", (F.col("hits") / F.col("p")).alias("recall"), (F.col("hits") / F.col("rank")).alias("precision"))
     zero = total.select(F.col("r").alias("run_id"), F.lit(0).cast("long").alias("rank"), F.lit(0.0).alias("recall"), F.lit(1.0).alias("precision"))
     return rows.unionByName(zero)
 
@@ -64,7 +99,7 @@ def ranking_metrics(ranked: DataFrame, ks: Sequence[int], *, undefined: str = "n
     at = lambda k: F.sum(F.when(F.col("rank") <= k, F.col("hit")).otherwise(0)).alias(f"h{k}")
     got = ranked.groupBy("run_id").agg(F.count(F.lit(1)).alias("num_candidates"), F.sum("hit").alias("num_positives"), F.sum(F.when(F.col("hit") == 1, F.col("hits") / F.col("rank")).otherwise(0.0)).alias("s"), *map(at, ks))
     n, p = F.col("num_candidates"), F.col("num_positives")
-    out = [F.when(p > 0, F.col("s") / p).otherwise(nope).alias("auprc"), F.when(n > 0, p / n).otherwise(nope).alias("positive_rate")]
+    out = [F.when(p > 0, F.col("s") / p).otherwise(nope).alias("auprc"), F.when((n > 0) & (p > 0), p / n).otherwise(nope).alias("positive_rate")]
     for k in ks:
         cut, h = F.least(F.lit(k), n), F.col(f"h{k}")
         out += [F.when(p > 0, h / p).otherwise(nope).alias(f"recall_at_{k}"), (h / cut).alias(f"precision_at_{k}"), F.when(p > 0, (h / cut) / (p / n)).otherwise(nope).alias(f"enrichment_at_{k}")]
@@ -79,13 +114,13 @@ def top_metrics(ranked: DataFrame, k: int) -> DataFrame:
 
 
 def aggregate_rows(rows: DataFrame, group: Sequence[str], exclude: Sequence[str] = ()) -> DataFrame:
-    """Mean and sample standard deviation of every numeric column by group, NaN left out; 0 deviation for one value, NaN if there is none."""
+    """Rows (``n_rows``), mean and sample standard deviation of every numeric column by group, NaN left out; 0 deviation for one value, NaN if there is none."""
     numeric = sorted(c for c, t in rows.dtypes if t in ("int", "bigint", "double", "float", "smallint", "tinyint") and c not in group and c not in exclude)
     out = []
     for c in numeric:
         x = F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
         out += [F.coalesce(F.avg(x), F.lit(float("nan"))).alias(f"{c}_mean"), F.when(F.count(x) == 0, float("nan")).otherwise(F.coalesce(F.stddev_samp(x), F.lit(0.0))).alias(f"{c}_std")]
-    return rows.groupBy(*group).agg(*out)
+    return rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n_rows"), *out)
 
 
 def repeat_means(rows: DataFrame, group: Sequence[str], columns: Sequence[str]) -> DataFrame:

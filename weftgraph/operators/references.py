@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.functions.keys import once
-from weftgraph.session import shuffle_partitions
+from weftgraph.session import Scratch, fits_broadcast, shuffle_partitions
 
-RESULT = "ref_table string, ref_column string, row_id bigint, reason string"
+RESULT = "ref_table string, ref_column string, row_id bigint, reason string, t timestamp_ntz"
 NEVER = np.iinfo(np.int64).max
 
 
@@ -70,6 +70,7 @@ def _probe(refs: pa.Table, parents: pa.Table, names: Sequence[tuple[str, str]])
         "ref_column": pick([x for _, x in names], source),
         "row_id": refs["row_id"].take(pa.array(miss)).cast(pa.int64()),
         "reason": pick(["missing", "late", "deleted"], reason[miss]),
+        "t": refs["t"].take(pa.array(miss)),
     })
 
 
@@ -82,13 +83,13 @@ def orphan_references(
     *,
     rows_per_range: int = 250_000,
 ) -> DataFrame:
-    """(``ref_table``, ``ref_column``, ``row_id``, ``reason``) of each reference without a live parent at its time.
+    """(``ref_table``, ``ref_column``, ``row_id``, ``reason``, ``t``) of each reference without a live parent at its time ``t``.
 
     ``references`` holds (table, column, rows, key, row id column, time column).  ``reason`` is
     ``missing`` if no parent has the key, else ``late`` if all begin after the reference's time, else
     ``deleted`` if all that have begun have ended by then.
 
-    The hash space of the keys is cut into ranges of about ``rows_per_range`` references; the parents of
+    The hash space of the keys is cut into ranges of about ``rows_per_range`` references and parents; the parents of
     a range become arrays sorted by key and time, which whole batches of references probe by binary
     search.  A hash only finds the place, keys are compared in full.  A range that holds more references
     than its share (a hot key) is split by row, and its parents go to each part.
@@ -107,26 +108,29 @@ def orphan_references(
     hashed = lambda df, *keep: once(df, *keep, h=F.xxhash64("k"))
     refs = hashed(refs, "source", "row_id", "t", "k")
 
-    # 2**12 fine slices are counted (one small aggregate) and gathered into ranges.
-    fine = F.shiftrightunsigned(F.col("h"), 52).cast("int")
-    counts = {r[0]: r[1] for r in refs.groupBy(fine.alias("f")).count().collect()}
-    total = sum(counts.values())
-    ranges = min(1 << 12, max(shuffle_partitions(spark), math.ceil(total / rows_per_range)))
-    width = (1 << 12) // ranges or 1
-    share = max(rows_per_range, 2 * total // ranges)
-    load: dict[int, int] = {}
-    for f, n in counts.items():
-        load[f // width] = load.get(f // width, 0) + n
-    parts = {r: math.ceil(n / share) for r, n in load.items() if n > share}
-    span = F.floor(fine / F.lit(width)).cast("int")
-    split = F.lit(1)
-    if parts:
-        split = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in parts.items() for x in kv]), span), F.lit(1))
-    refs = refs.withColumns({"span": span, "part": F.pmod(F.xxhash64("row_id", "source"), split).cast("int")})
     live = once(parents, k=parent_key, begin=F.col(begin).cast("timestamp_ntz"), end=F.col(end).cast("timestamp_ntz")).where("k is not null")
     # Of rows with one key and begin only the latest end matters.
     live = live.groupBy("k", "begin").agg(F.max(F.coalesce("end", F.lit("9999-12-31").cast("timestamp_ntz"))).alias("end"))
-    live = hashed(live, "k", "begin", "end").withColumn("span", span).select("*", F.explode(F.sequence(F.lit(0), split - 1)).alias("part"))
+    live = hashed(live, "k", "begin", "end")
+
+    # As many ranges of the hash as both sides need, a power of two of them; those with more references than their share are split by row.
+    total = refs.count()
+    ranges = max(shuffle_partitions(spark), math.ceil((total + parents.count()) / rows_per_range))
+    bits = max(1, (ranges - 1).bit_length())
+    span = F.shiftrightunsigned(F.col("h"), 64 - bits)
+    share = max(rows_per_range, 2 * total >> bits)
+    refs, live = refs.withColumn("span", span), live.withColumn("span", span)
+    # At most one of two ranges can have over twice the mean, so this table has a row for each hot range only.
+    heavy = refs.groupBy(F.col("span").alias("hot")).agg(F.ceil(F.count(F.lit(1)) / F.lit(share)).alias("parts")).where("parts > 1")
+    heavy = Scratch(spark).write(heavy)
+    if heavy.limit(1).count():
+        few = F.broadcast(heavy) if fits_broadcast(heavy) else heavy
+        split = lambda df: df.join(few, F.col("span") == F.col("hot"), "left").withColumn("parts", F.coalesce("parts", F.lit(1))).drop("hot")
+        refs, live = split(refs), split(live)
+    else:
+        refs, live = refs.withColumn("parts", F.lit(1)), live.withColumn("parts", F.lit(1))
+    refs = refs.withColumn("part", F.pmod(F.xxhash64("row_id", "source"), F.col("parts")).cast("int")).drop("parts")
+    live = live.select("h", "k", "begin", "end", "span", F.explode(F.sequence(F.lit(0), (F.col("parts") - 1).cast("int"))).alias("part"))
 
     def probe(left: pa.Table, right: pa.Table) -> pa.Table:
         return _probe(left, right, names)
@@ -134,12 +138,7 @@ def orphan_references(
     return refs.groupBy("span", "part").cogroup(live.groupBy("span", "part")).applyInArrow(probe, RESULT)
 
 
-def per_table_and_month(found: DataFrame, references: Sequence[tuple[str, str, DataFrame, Column, str, str]]) -> DataFrame:
-    """Count of orphans by table, column, month and reason; ``month`` is the first day of the month of the reference's time."""
-    times = None
-    for table, column, df, _, row_id, time in references:
-        one = df.select(F.lit(table).alias("t"), F.lit(column).alias("c"), F.col(row_id).cast("long").alias("r"), F.trunc(F.col(time).cast("date"), "month").alias("month"))
-        times = one if times is None else times.unionByName(one)
-    assert times is not None
-    j = found.join(times, (found.ref_table == times.t) & (found.ref_column == times.c) & (found.row_id == times.r))
-    return j.groupBy("ref_table", "ref_column", "month", "reason").agg(F.count(F.lit(1)).alias("n"))
+def per_table_and_month(found: DataFrame) -> DataFrame:
+    """Count of orphans by table, column, month and reason; ``month`` is the first day of the month of the reference's time, NULL without one."""
+    month = F.when(F.year("t") < 9999, F.trunc(F.col("t").cast("date"), "month"))
+    return found.groupBy("ref_table", "ref_column", month.alias("month"), "reason").agg(F.count(F.lit(1)).alias("n"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from weftgraph.functions import columns as C
-from weftgraph.operators.ranking import number_rows
+from weftgraph.operators.ranking import number_rows, number_within
 from weftgraph.session import Scratch
 
 
@@ -47,11 +47,10 @@ def holdout(hits: DataFrame, baits: DataFrame, repeats: int, *, fraction: float
     h = hits.select("id").distinct()
     fixed = h.join(baits.select(F.col("id").alias("b")).distinct(), F.col("id") == F.col("b"), "left_semi") if force else h.limit(0)
     free = h.join(fixed.select(F.col("id").alias("f")), F.col("id") == F.col("f"), "left_anti")
-    each = free.join(runs).withColumn("h", C.ordered_hash("id", (F.col("run_id") + seed).cast("string")))
-    w = Window.partitionBy("run_id")
-    n = F.count(F.lit(1)).over(w)
+    each = free.join(F.broadcast(runs)).withColumn("h", C.ordered_hash("id", (F.col("run_id") + seed).cast("string")))  # one row per repeat
+    n = F.col("n")
     train = F.when(n == 1, 1).otherwise(F.greatest(F.lit(1), F.least(n - 1, F.bround(n * F.lit(fraction)).cast("long"))))
-    split = each.select("run_id", "id", F.row_number().over(w.orderBy("h", "id")).alias("i"), train.alias("t")).select("run_id", "id", F.when(F.col("i") <= F.col("t"), "train_hit").otherwise("test_hit").alias("label"))
+    split = number_within(each, "run_id", "h", "id").select("run_id", "id", F.when(F.col("at") < train, "train_hit").otherwise("test_hit").alias("label"))
     split = split.unionByName(fixed.join(runs).select("run_id", "id", F.lit("train_hit").alias("label")))
     both = split.select("run_id", "id", "label", (F.col("label") == "train_hit").alias("is_seed"))
     if force:
@@ -62,15 +61,20 @@ def holdout(hits: DataFrame, baits: DataFrame, repeats: int, *, fraction: float
 def matched_pool(seeds: DataFrame, eligible: DataFrame, size: int = 25) -> DataFrame:
     """(``seed_id``, ``id``, ``place``): for each seed the ``size`` eligible nodes nearest in weighted degree, the smaller degree first on ties.
 
-    ``seeds(id, d)`` is a stated small set, ``eligible(id, d)`` may be all nodes. Eligible nodes are walked once
-    for each seed, partial top lists before the shuffle.
+    ``seeds(id, d)``, ``eligible(id, d)``. Eligible nodes are numbered by degree and id over range partitions; a seed's
+    pool lies in the band of ``size`` places on either side of its own, which is joined by place. Nobody
+    is compared with all nodes.
     """
-    s = seeds.select(F.col("id").alias("seed_id"), F.col("d").alias("target"))
-    j = eligible.join(F.broadcast(s) if seeds.count() <= 10_000 else s)
-    low = F.col("d") < F.col("target")
-    # Among equal degrees the walk goes down the sorted ids below the target and up above it.
-    walk = Window.partitionBy("seed_id").orderBy(F.abs(F.col("d") - F.col("target")), F.when(low, 0).otherwise(1), F.when(low, F.col("id")).desc(), F.col("id"))
-    return j.withColumn("place", F.row_number().over(walk)).where(F.col("place") <= size).select("seed_id", "id", "place")
+    e, s = eligible.select("d", "id"), seeds.select("d", "id")
+    band = number_rows(e, "d", "id").select(F.col("id").alias("near"), F.col("d").alias("nd"), F.col("at").alias("band_at"))
+    both = number_rows(s.withColumn("kind", F.lit(0)).unionByName(e.withColumn("kind", F.lit(1))), "d", "kind", "id").where("kind = 0").select("id", "d", "at")
+    own = number_rows(s, "d", "id").select(F.col("id").alias("own_id"), F.col("at").alias("own_at"))
+    # Eligible nodes below the seed: all before it, less the seeds before it.
+    at = both.join(own, F.col("id") == F.col("own_id")).select(F.col("id").alias("seed_id"), F.col("d").alias("target"), (F.col("at") - F.col("own_at")).alias("p"))
+    near = at.select("seed_id", "target", "p", F.explode(F.sequence(F.col("p") - size, F.col("p") + size - 1)).alias("q")).join(band, F.col("q") == F.col("band_at"))
+    # Below the target the walk goes down the band, above it up.
+    walk = Window.partitionBy("seed_id").orderBy(F.abs(F.col("nd") - F.col("target")), F.col("q") >= F.col("p"), F.when(F.col("q") < F.col("p"), -F.col("q")).otherwise(F.col("q")))
+    return near.withColumn("place", F.row_number().over(walk)).where(F.col("place") <= size).select("seed_id", F.col("near").alias("id"), "place")
 
 
 def draw_matched(pools: list[tuple[str, list[str]]], seed: int) -> list[str]:
@@ -85,28 +89,30 @@ def draw_matched(pools: list[tuple[str, list[str]]], seed: int) -> list[str]:
 
 
 def negative_pairs(edges: DataFrame, n: int, *, seed: int = 0, known: DataFrame | None = None) -> DataFrame:
-    """(``u``, ``v``): about degree-proportional random pairs that are neither edges nor ``known``, distinct, at most ``n``.
+    """(``u``, ``v``): about degree-proportional random pairs that are neither edges nor ``known``, distinct: ``n``, or all there are if fewer.
 
-    All edge ends are numbered in two hash orders and paired by number, so a node comes up as often as it has
-    edges; loops, edges and repeats drop out. Rounds pair them anew, each by more shifts of the numbers, until ``n``
-    pairs are there, 50 times ``n`` (at least 1,000) have been tried or all ends have been paired with all.
+    All edge ends are numbered once in hash order; ends a few places apart are a random pair, so a node comes up
+    as often as it has edges. Loops, edges and repeats drop out. Rounds take further distances until ``n`` pairs are
+    there or every end has met every other. The first ``n`` in hash order are kept, by numbers over range partitions.
     """
-    e = edges.select(C.smaller("u", "v").alias("u"), C.larger("u", "v").alias("v")).distinct()
-    ends = e.select(F.inline(F.array(F.struct(F.col("u").alias("x"), F.col("v").alias("o")), F.struct(F.col("v").alias("x"), F.col("u").alias("o")))))
-    total = max(1, ends.count())
+    scratch = Scratch(edges.sparkSession)
+    e = scratch.write(edges.select(C.smaller("u", "v").alias("u"), C.larger("u", "v").alias("v")).where("u <> v").distinct())
+    ends = scratch.write(_positions(e.select(F.explode(F.array("u", "v")).alias("x"), "u", "v"), seed, "x", "u", "v").select("x", "at"))
+    total = ends.count()
     taken = e if known is None else e.unionByName(known.select(C.smaller("u", "v").alias("u"), C.larger("u", "v").alias("v"))).distinct()
     taken = taken.select(F.col("u").alias("a"), F.col("v").alias("b"))
-    scratch = Scratch(edges.sparkSession)
-    out, missing, left, r = None, n, max(50 * n, 1000), 0
-    while out is None or (missing > 0 and left > 0 and shifts < total):
-        shifts = min(total, max(1, min(-(-3 * missing // (2 * total)) << r, -(-left // total))))
-        a = _positions(ends, seed + 2 * r, "x", "o").select(F.col("x").alias("p"), "at")
-        b = _positions(ends, seed + 2 * r + 1, "x", "o").select(F.col("x").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(shifts - 1))).alias("shift"), "at")
-        pairs = a.join(b.select("q", ((F.col("at") + F.col("shift")) % total).alias("at")), "at").where("p <> q").select(F.least("p", "q").alias("u"), F.greatest("p", "q").alias("v"))
+    out, missing, done, r = None, n, 0, 0
+    while out is None or (missing > 0 and done < total // 2):
+        shifts = max(1, min(total // 2 - done, -(-3 * missing // (2 * max(1, total))) << r))
+        far = ends.select(F.col("x").alias("q"), F.explode(F.sequence(F.lit(done + 1), F.lit(done + shifts))).alias("shift"), "at")
+        pairs = ends.join(far.select("q", ((F.col("at") + F.col("shift")) % total).alias("at")), "at").where("x <> q").select(F.least("x", "q").alias("u"), F.greatest("x", "q").alias("v"))
         fresh = pairs.distinct().join(taken, (F.col("u") == F.col("a")) & (F.col("v") == F.col("b")), "left_anti")
-        out = scratch.write(fresh if out is None else fresh.unionByName(out).distinct())
-        missing, left, r = n - out.count(), left - shifts * total, r + 1
-    return out.orderBy(C.ordered_hash("u", "v", seed=seed), "u", "v").limit(n)
+        new = scratch.write(fresh if out is None else fresh.unionByName(out).distinct())
+        if out is not None:
+            scratch.drop(out)
+        out = new
+        missing, done, r = n - out.count(), done + shifts, r + 1
+    return _positions(out, seed, "u", "v").where(F.col("at") < n).select("u", "v")
 
 
 def sample_rows(df: DataFrame, id_col: str, k: int, seed: int = 0) -> DataFrame:

@@ -6,12 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from weftgraph.functions import columns as C
 from weftgraph.operators.edges import undirected_max
+from weftgraph.operators.ranking import exact_quantiles, number_rows, running_sum
 
 
 def _rows(column: pa.Array) -> np.ndarray:
@@ -25,8 +27,8 @@ def top_candidates(anchors: DataFrame, vectors: DataFrame, m: int, *, block_byte
 
     ``anchors(id, emb)`` is a stated query set, ``vectors(id, emb)`` all rows, of one length and without NULL
     (see ``usable_vectors``). Anchors go out in blocks of at most ``block_bytes``; each block makes one pass
-    over the vectors with matrix products, and every batch keeps its best ``m`` per anchor, so what is
-    shuffled is a partial top list and not the pairs. The work is anchors times vectors by definition; where that is
+    over the vectors with matrix products, and every task keeps a running best ``m`` per anchor and gives them out
+    at its end, so what is shuffled is one top list for each task and not the pairs. The work is anchors times vectors by definition; where that is
     too much, an approximate index belongs in its place.
     """
     schema = "u string, v string, c double"
@@ -34,21 +36,43 @@ def top_candidates(anchors: DataFrame, vectors: DataFrame, m: int, *, block_byte
     def search(block: tuple[list[str], np.ndarray]):
         def run(batches: Iterator[pa.RecordBatch], shared=vectors.sparkSession.sparkContext.broadcast(block)) -> Iterator[pa.RecordBatch]:
             names, q = shared.value
+            held: list[pa.Table] = []
+            size, least = 0, np.full(len(names), -np.inf)
+
+            def best() -> pa.Table:
+                """The first m of each anchor by similarity, ties by id."""
+                t = pa.concat_tables(held)
+                order = pc.sort_indices(t, [("a", "ascending"), ("key", "descending"), ("v", "ascending")])
+                t = t.take(order)
+                a = t["a"].to_numpy()
+                t = t.filter(pa.array(np.arange(len(a)) - np.searchsorted(a, a, "left") < m))
+                a = t["a"].to_numpy()
+                full = np.flatnonzero(np.bincount(a, minlength=len(names)) >= m)
+                least[full] = t["key"].to_numpy()[np.searchsorted(a, full, "right") - 1]
+                return t
+
             for b in batches:
                 for lo in range(0, b.num_rows, 4096):
                     part = b.slice(lo, 4096)
-                    ids = np.array(part.column(0).to_pylist(), dtype=object)
+                    ids = part.column(0)
                     s = q @ _rows(part.column(1)).T
-                    u, v, c = [], [], []
-                    for name, row in zip(names, s):
-                        best = np.arange(len(row))
-                        if len(row) > m + 1:  # all that tie with the last place stay in
-                            best = np.flatnonzero(row >= np.partition(row, len(row) - m - 1)[len(row) - m - 1])
-                        best = best[ids[best] != name]
-                        u += [name] * len(best)
-                        v += ids[best].tolist()
-                        c += row[best].tolist()
-                    yield pa.RecordBatch.from_arrays([pa.array(u, pa.string()), pa.array(v, pa.string()), pa.array(c, pa.float64())], ["u", "v", "c"])
+                    key = np.round(s, 12)
+                    if s.shape[1] > m:  # all that tie with the last place stay in
+                        floor = np.maximum(least, np.partition(key, s.shape[1] - m - 1, axis=1)[:, s.shape[1] - m - 1])
+                    else:
+                        floor = least
+                    a, col = np.nonzero(key >= floor[:, None])
+                    v = ids.take(pa.array(col))
+                    other = pc.not_equal(v, pa.array(names, pa.string()).take(pa.array(a)))
+                    held.append(pa.table({"a": a, "v": v, "c": s[a, col], "key": key[a, col]}).filter(other))
+                    size += held[-1].num_rows
+                    if size > 4 * m * len(names) + 4096:
+                        held = [best()]
+                        size = held[0].num_rows
+            if size:
+                t = best().combine_chunks()
+                for x in pa.table({"u": pa.array(names, pa.string()).take(t["a"].combine_chunks()), "v": t["v"].cast(pa.string()), "c": t["c"]}).to_batches(1 << 14):
+                    yield x
 
         return run
 
@@ -75,9 +99,9 @@ def top_candidates(anchors: DataFrame, vectors: DataFrame, m: int, *, block_byte
     return found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= m).select("u", "v", "c")
 
 
-def usable_vectors(df: DataFrame, id_col: str, emb: str) -> DataFrame:
-    """(``id``, ``emb``): rows with an id and a finite vector, not all zero."""
-    ok = F.coalesce(C.all_finite(emb) & (F.size(emb) > 0) & F.exists(emb, lambda x: x != 0), F.lit(False))
+def usable_vectors(df: DataFrame, id_col: str, emb: str, size: int | None = None) -> DataFrame:
+    """(``id``, ``emb``): rows with an id and a finite vector, not all zero, of ``size`` numbers if that is given."""
+    ok = F.coalesce(C.all_finite(emb) & (F.size(emb) > 0 if size is None else F.size(emb) == size) & F.exists(emb, lambda x: x != 0), F.lit(False))
     return df.where(F.col(id_col).isNotNull() & ok).select(F.col(id_col).cast("string").alias("id"), F.col(emb).alias("emb"))
 
 
@@ -131,21 +155,18 @@ def finite_report(df: DataFrame, emb: str) -> DataFrame:
 
 def quantiles(df: DataFrame, column: str, qs: list[float]) -> DataFrame:
     """(``q``, ``value``): exact quantiles with linear interpolation."""
-    p = df.agg(F.percentile(column, F.array(*map(F.lit, qs))).alias("p"))
-    return p.select(F.inline(F.arrays_zip(F.array(*map(F.lit, qs)).alias("q"), F.col("p").alias("value"))))
+    return exact_quantiles(df, column, qs)
 
 
 def rank_correlation(df: DataFrame, x: str, y: str, tie: str, *, average: bool = False) -> DataFrame:
     """One row ``rho``: correlation of ordinal ranks (ties by ``tie``), or of average ranks. Ranks are counted over range partitions."""
-    from weftgraph.operators.ranking import number_rows
-
     df = df.select(x, y, tie)
     if average:
         def ranks(c: str) -> DataFrame:
             per = df.groupBy(F.col(c).alias(f"{c}_k")).agg(F.count(F.lit(1)).alias("n"))
             at = number_rows(per, f"{c}_k")
-            before = Window.orderBy("at").rowsBetween(Window.unboundedPreceding, -1)  # distinct values only
-            return at.select(f"{c}_k", (F.coalesce(F.sum("n").over(before), F.lit(0)) + (F.col("n") + 1) / 2).alias(f"{c}_r"))
+            ranked = running_sum(at, "at", "n")
+            return ranked.select(f"{c}_k", (F.col("before") + (F.col("n") + 1) / 2).alias(f"{c}_r"))
 
         j = df.join(ranks(x), F.col(x) == F.col(f"{x}_k")).join(ranks(y), F.col(y) == F.col(f"{y}_k"))
         return j.agg(F.corr(f"{x}_r", f"{y}_r").alias("rho"))

@@ -31,12 +31,16 @@ def _references(spark: SparkSession, d: str) -> list:
     return [(t, c, df, id_key(c), "row_id", "loaded_at") for t, c, df in uses]
 
 
-def p6_found(spark: SparkSession, d: str) -> DataFrame:
+def _orphans(spark: SparkSession, d: str) -> DataFrame:
     return orphan_references(_references(spark, d), _table(spark, d, "string_info_head"), id_key("string_id"), "loaded_at", "deleted_at")
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return _orphans(spark, d).drop("t")
+
+
 def p6_months(spark: SparkSession, d: str) -> DataFrame:
-    return per_table_and_month(p6_found(spark, d), _references(spark, d))
+    return per_table_and_month(_orphans(spark, d))
 
 
 _KEY = "nullif(upper(regexp_replace({0}, '[^A-Za-z0-9]', '', 'g')), '')"

@@ -2,7 +2,8 @@
 
 Iterative operators cut their lineage by writing a table below the folder that
 ``spark.checkpoint.dir`` names.  Such a table outlives any executor.  Only where
-the setting is absent (tests, a laptop) a local temporary folder stands in.
+the setting is absent and the master is local (tests, a laptop) a local temporary folder
+stands in; on a cluster the setting must be there.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ def scratch_root(spark: SparkSession) -> str:
     if app not in _made:
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
         if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
             base = "file://" + tempfile.mkdtemp(prefix="weft-")
         root = f"{base.rstrip('/')}/weft-{app}-{uuid.uuid4().hex[:8]}"
         _made[app] = root
@@ -87,6 +90,15 @@ def hot_keys(counts: DataFrame, key: str, count: str, total: int, floor: int = 2
     return [r[0] for r in counts.where(F.col(count) > F.lit(least)).select(key).collect()]
 
 
+def looked_up(left: DataFrame, key: str, right: DataFrame, by: str, hot: list, how: str = "inner") -> DataFrame:
+    """``left`` with the row of ``right`` that has its key; ``right`` has one row per key, those of ``hot`` keys (at most HOT_KEYS) go by broadcast."""
+    if not hot:
+        return left.join(right, F.col(key) == F.col(by), how)
+    few = right.where(F.col(by).isin(hot))
+    cold = left.where(~F.col(key).isin(hot)).join(right, F.col(key) == F.col(by), how)
+    return cold.unionByName(left.where(F.col(key).isin(hot)).join(F.broadcast(few), F.col(key) == F.col(by), how))
+
+
 def fits_broadcast(df: DataFrame, max_bytes: int = 8 << 20, row_overhead: int = 32) -> bool:
     """Whether a (cheap to scan) table is under ``max_bytes``, measured, not guessed."""
     size = F.lit(row_overhead)

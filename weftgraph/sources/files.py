@@ -7,9 +7,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from weftgraph.functions import columns as C
+from weftgraph.operators.ranking import number_rows
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
@@ -31,11 +31,14 @@ def read_fasta(spark: SparkSession, path: str, *, keep_empty: bool = False) -> D
     """(``id``, ``seq``): records by their first word after >, white space removed; of repeated ids the last of the last file.
 
     Records are split by the reader, so large files are read in parallel. Without ``keep_empty`` records without
-    a sequence drop out before the last is chosen.
+    a sequence drop out before the last is chosen. Text before the first > belongs to no record.
     """
     raw = spark.read.option("lineSep", "\n>").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")).withColumn("at", F.monotonically_increasing_id())
+    # The first record of a file is whatever comes before its first "\n>": a record only if the file begins with ">".
+    head = raw.where("block = 0").groupBy("file").agg(F.min("at").alias("head")).withColumnRenamed("file", "f")
+    raw = raw.join(F.broadcast(head), (F.col("file") == F.col("f")) & (F.col("at") == F.col("head")), "left")  # one row per file
     text = F.regexp_replace("value", "^>", "")
-    rec = raw.where(F.col("value").startswith(">") | (F.col("block") > 0) | (F.col("at") >= 0)).select("file", "block", "at", F.regexp_extract(text, r"^\s*(\S+)", 1).alias("id"), F.regexp_replace(F.regexp_replace(text, r"^[^\n]*\n?", ""), r"\s+", "").alias("seq"))
+    rec = raw.where(F.col("head").isNull() | F.ltrim("value").startswith(">")).select("file", "block", "at", F.regexp_extract(text, r"^\s*(\S+)", 1).alias("id"), F.regexp_replace(F.regexp_replace(text, r"^[^\n]*\n?", ""), r"\s+", "").alias("seq"))
     rec = rec.where("id <> ''")
     if not keep_empty:
         rec = rec.where("seq <> ''")
@@ -69,7 +72,7 @@ def _fields(spark: SparkSession, path: str) -> DataFrame:
 def read_edges2(spark: SparkSession, path: str, *, skip_header: bool = True) -> DataFrame:
     """(``u``, ``v``): tab-separated pairs; blank and short rows, self loops and header rows are left out."""
     e = _fields(spark, path).where(F.size("f") >= 2).select(C.strip(F.col("f")[0]).alias("u"), C.strip(F.col("f")[1]).alias("v")).where("u <> '' and v <> '' and u <> v")
-    return e.where(~F.startswith(F.lower("u"), F.lit("node"))) if skip_header else e
+    return e.where(~F.startswith("u", F.lit("node"))) if skip_header else e
 
 
 def read_edges3(spark: SparkSession, path: str, *, strict: bool = False) -> DataFrame:
@@ -98,16 +101,63 @@ def labels(rows: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
 
 
 def hit_table(df: DataFrame, id_col: str, *, conf: str | None = None, words: tuple[str, ...] = C.TRUTHY, bait: str | None = None, uppercase: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(hits ``id``, baits ``id``): distinct ids of confident rows, all rows if no column says so, and distinct ids in the bait lists."""
+    """(hits ``id``, baits ``id``): distinct ids of confident rows, all rows if no column says so, and distinct ids in the bait lists. Rows without an id give neither."""
     k = C.normalize_id(F.col(id_col).cast("string"), uppercase)
     ok = C.is_truthy(F.col(conf).cast("string"), words) if conf else F.lit(True)
     hits = df.where(ok).select(k.alias("id")).where("id is not null").distinct()
     if bait is None:
         return hits, hits.limit(0)
-    b = df.select(F.explode(C.split_multi(F.col(bait).cast("string"))).alias("b"))
+    b = df.where(k.isNotNull()).select(F.explode(C.split_multi(F.col(bait).cast("string"))).alias("b"))
     return hits, b.select(C.normalize_id("b", uppercase).alias("id")).where("id is not null").distinct()
 
 
+def hit_counts(df: DataFrame, id_col: str, hits: DataFrame, baits: DataFrame, *, uppercase: bool = False) -> DataFrame:
+    """One row: ``raw_rows``, ``rows_missing_protein``, ``high_conf_hit_count`` and ``bait_count`` of a hit table."""
+    missing = C.normalize_id(F.col(id_col).cast("string"), uppercase).isNull()
+    rows = df.agg(F.count(F.lit(1)).alias("raw_rows"), F.count_if(missing).alias("rows_missing_protein"))
+    return rows.join(hits.agg(F.count(F.lit(1)).alias("high_conf_hit_count"))).join(baits.agg(F.count(F.lit(1)).alias("bait_count")))  # one row each
+
+
+def read_numbers(spark: SparkSession, path: str) -> DataFrame:
+    """(``pos``, ``value``): one number per line, in order of ``pos``, from 0; an error where a line holds none."""
+    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("pos"), C.strip("value").alias("s"))
+    value = C.number("s")
+    bad = F.concat(F.lit("not a number: "), F.coalesce("s", F.lit("")))
+    numbers = lines.select("pos", F.when(value.isNull(), F.raise_error(bad).cast("double")).otherwise(value).alias("value"))
+    return number_rows(numbers, "pos").select(F.col("at").alias("pos"), "value")
+
+
+def read_summary(spark: SparkSession, path: str, sort_by: str, names: dict[str, str] | None = None) -> DataFrame:
+    """A summary table of graphs with numbers and ``label``, the graph's name by ``names``, else without .tsv; largest ``sort_by`` first if there is such a column."""
+    df = read_table(spark, path, ("graph", "auprc", "recall@k", "precision@k", "enrich_factor@k"), "\t")
+    df = df.select("graph", *[C.number(F.col(f"`{c}`")).alias(c) for c in df.columns if c != "graph"])
+    df = df.withColumn("label", C.mapped(F.replace("graph", F.lit(".tsv"), F.lit("")), names or {}))
+    return df.orderBy(F.col(f"`{sort_by}`").desc_nulls_last()) if sort_by in df.columns else df
+
+
+def shard(df: DataFrame, index: int, count: int, *order: str) -> DataFrame:
+    """Part ``index`` (from 0) of ``count`` contiguous parts of equal size, the last ones shorter, by ``order``."""
+    if count < 1 or not 0 <= index < count:
+        raise ValueError("0 <= index < count must hold")
+    placed = number_rows(df, *order)
+    size = max(1, -(-placed.count() // count))
+    return placed.where((F.col("at") >= index * size) & (F.col("at") < (index + 1) * size)).drop("at")
+
+
+def sequences_of(ids: DataFrame, seqs: DataFrame) -> DataFrame:
+    """(``pos``, ``id``, ``seq``): rows of ``ids(pos, id)`` whose id has a sequence in ``seqs(id, seq)`` that isn't empty; the order is kept in ``pos``."""
+    s = seqs.where(F.length("seq") > 0).select(F.col("id").alias("i"), "seq")
+    return ids.join(s, F.col("id") == F.col("i")).select("pos", "id", "seq")
+
+
+def required(ids: DataFrame, seqs: DataFrame) -> DataFrame:
+    """(``pos``, ``id``, ``seq``) of every row of ``ids(pos, id)``; an error where an id has no sequence."""
+    s = seqs.select(F.col("id").alias("i"), "seq")
+    j = ids.join(s, F.col("id") == F.col("i"), "left")
+    missing = F.raise_error(F.concat(F.lit("no sequence: "), F.col("id"))).cast("string")
+    return j.select("pos", "id", F.when(F.col("i").isNull(), missing).otherwise(F.col("seq")).alias("seq"))
+
+
 def read_npz(spark: SparkSession, path: str, ids: str = "ids", emb: str = "emb") -> DataFrame:
     """(``id``, ``emb``) from archives of vectors. Each archive is read whole by one task, so this is for conversion to Parquet."""
 
