@@ -7,8 +7,10 @@ from dataclasses import dataclass
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from weftgraph.operators.graph import adjacency
+from weftgraph.operators.ranking import number_rows
 from weftgraph.session import Scratch, shuffle_partitions
 
 #: Edges of one node that a task joins at once; nodes with more are split over several tasks.
@@ -57,44 +59,51 @@ def pagerank(
     """
     spark = edges.sparkSession
     scratch = Scratch(spark)
-    adj = adjacency(edges)
-    deg = scratch.write(adj.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("d"), F.count(F.lit(1)).alias("n")).select("id", "d", F.ceil(F.col("n") / EDGES_PER_PART).cast("int").alias("parts")))
+    width = shuffle_partitions(spark)
+    adj = adjacency(scratch.write(edges.select("u", "v", "w")))
+    seeds = scratch.write(seeds.select("run_id", "id", "p"))
+    # Nodes and runs become numbers, which are smaller to move and to compare than names.
+    deg = number_rows(adj.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("d"), F.count(F.lit(1)).alias("n")), "id")
+    deg = deg.select("id", F.col("at").alias("node"), "d", F.ceil(F.col("n") / EDGES_PER_PART).cast("int").alias("parts"))
     n_nodes = deg.count()
-    to = deg.select(F.col("id").alias("t"), F.col("parts").alias("dst_parts"))
-    of = deg.select(F.col("id").alias("f"), "d", "parts")
-    steps = adj.where("w > 0").join(of, F.col("src") == F.col("f")).where("d > 0").join(to, F.col("dst") == F.col("t"))
-    steps = steps.select("src", F.pmod(F.xxhash64("dst"), "parts").cast("int").alias("part"), "dst", "dst_parts", (F.col("w") / F.col("d") * alpha).alias("share"))
-    steps = steps.repartition(shuffle_partitions(spark), "src", "part").persist(StorageLevel.MEMORY_AND_DISK)
-    idle = deg.where("d <= 0").select(F.col("id").alias("idle"))
+    to = deg.select(F.col("id").alias("t"), F.col("node").alias("dst_node"), F.col("parts").alias("dst_parts"))
+    of = deg.where("d > 0").select(F.col("id").alias("f"), F.col("node").alias("src_node"), "d", "parts")
+    steps = adj.where("w > 0").join(of, F.col("src") == F.col("f")).join(to, F.col("dst") == F.col("t"))
+    steps = steps.select(F.col("src_node").alias("src"), F.pmod(F.xxhash64("dst_node"), "parts").cast("int").alias("part"), F.col("dst_node").alias("dst"), "dst_parts", (F.col("w") / F.col("d") * alpha).alias("share"))
+    steps = steps.repartition(width, "src", "part").sortWithinPartitions("src", "part").persist(StorageLevel.MEMORY_AND_DISK)
+    idle = deg.where("d <= 0").select(F.col("node").alias("idle"))
     some_idle = idle.limit(1).count() > 0
 
-    known = scratch.write(seeds.join(deg.select(F.col("id").alias("k"), "parts"), F.col("id") == F.col("k")).select("run_id", "id", "p", "parts"))
-    given = {r[0] for r in seeds.select("run_id").distinct().collect()}
-    totals = {r[0]: r[1] for r in known.groupBy("run_id").agg(F.sum("p")).collect()}
-    if given - totals.keys() or not given:
-        raise ValueError(f"no seeds in the graph: {sorted(map(str, given - totals.keys()))}")
-    share = known.groupBy(F.col("run_id").alias("r")).agg(F.sum("p").alias("total"))
-    known = scratch.write(known.join(share, F.col("run_id") == F.col("r")).select("run_id", "id", (F.col("p") / F.col("total")).alias("p"), "parts"))
+    given = [r[0] for r in seeds.select("run_id").distinct().orderBy("run_id").collect()]  # as many as the caller has runs
+    names = spark.createDataFrame([(x, i) for i, x in enumerate(given)], StructType([seeds.schema["run_id"], StructField("run", LongType())]))
+    known = seeds.join(names.select(F.col("run_id").alias("name"), "run"), F.col("run_id") == F.col("name"))
+    known = scratch.write(known.join(deg.select(F.col("id").alias("k"), "node", "parts"), F.col("id") == F.col("k")).select("run", F.col("node").alias("id"), "p", "parts"))
+    shares = known.groupBy(F.col("run").alias("r")).agg(F.sum("p").alias("total"))
+    lacking = set(range(len(given))) - {r[0] for r in shares.select("r").collect()}
+    lacking = [given[i] for i in lacking]
+    if lacking or not given:
+        raise ValueError(f"no seeds in the graph: {sorted(map(str, lacking))}")
+    known = scratch.write(known.join(shares, F.col("run") == F.col("r")).select("run", "id", (F.col("p") / F.col("total")).alias("p"), "parts"))
     if start == "uniform":
-        state = deg.select("id", "parts", F.lit(1.0 / max(n_nodes, 1)).alias("score")).join(share.select(F.col("r").alias("run_id"))).select("run_id", "id", "score", "parts")  # every node has a score in every run anyway
+        state = deg.select(F.col("node").alias("id"), "parts", F.lit(1.0 / max(n_nodes, 1)).alias("score")).join(names.select("run")).select("run", "id", "score", "parts")  # every node has a score in every run anyway
     else:
-        state = known.select("run_id", "id", F.col("p").alias("score"), "parts")
+        state = known.select("run", "id", F.col("p").alias("score"), "parts")
 
     limit = None if tol is None else tol * (n_nodes if stop == "n_tol" else 1)
 
     def step(state: DataFrame) -> DataFrame:
-        sent = state.select("run_id", F.col("id").alias("s"), "score", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("q"))
-        moved = sent.join(steps, (F.col("s") == F.col("src")) & (F.col("q") == F.col("part"))).select("run_id", F.col("dst").alias("id"), (F.col("score") * F.col("share")).alias("new"), F.lit(0.0).alias("old"), F.col("dst_parts").alias("parts"))
-        back = known.select("run_id", "id", (F.col("p") * (1 - alpha)).alias("new"), F.lit(0.0).alias("old"), "parts")
+        sent = state.select("run", F.col("id").alias("s"), "score", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("q"))
+        moved = sent.join(steps, (F.col("s") == F.col("src")) & (F.col("q") == F.col("part"))).select("run", F.col("dst").alias("id"), (F.col("score") * F.col("share")).alias("new"), F.lit(0.0).alias("old"), F.col("dst_parts").alias("parts"))
+        back = known.select("run", "id", (F.col("p") * (1 - alpha)).alias("new"), F.lit(0.0).alias("old"), "parts")
         both = moved.unionByName(back)
         if limit is not None:  # only the residual needs the scores before
-            both = both.unionByName(state.select("run_id", "id", F.lit(0.0).alias("new"), F.col("score").alias("old"), "parts"))
+            both = both.unionByName(state.select("run", "id", F.lit(0.0).alias("new"), F.col("score").alias("old"), "parts"))
         if some_idle:
-            lost = state.join(idle, F.col("id") == F.col("idle"), "left_semi").groupBy(F.col("run_id").alias("r")).agg(F.sum("score").alias("lost"))
-            both = both.unionByName(known.join(lost, F.col("run_id") == F.col("r")).select("run_id", "id", (F.col("p") * F.col("lost") * alpha).alias("new"), F.lit(0.0).alias("old"), "parts"))
-        return both.groupBy("run_id", "id").agg(F.sum("new").alias("score"), F.sum("old").alias("old"), F.max("parts").alias("parts"))
+            lost = state.join(idle, F.col("id") == F.col("idle"), "left_semi").groupBy(F.col("run").alias("r")).agg(F.sum("score").alias("lost"))
+            both = both.unionByName(known.join(lost, F.col("run") == F.col("r")).select("run", "id", (F.col("p") * F.col("lost") * alpha).alias("new"), F.lit(0.0).alias("old"), "parts"))
+        return both.groupBy("run", "id").agg(F.sum("new").alias("score"), F.sum("old").alias("old"), F.max("parts").alias("parts"))
 
-    runs: dict[str, tuple[int, float, bool]] = {}
+    runs: dict[int, tuple[int, float, bool]] = {}
     finished: list[DataFrame] = []
     kept: list[DataFrame] = []
     table = None
@@ -112,27 +121,29 @@ def pagerank(
             after = after.persist(StorageLevel.MEMORY_AND_DISK)
             kept.append(after)
         if limit is not None:
-            residual = {r[0]: r[1] for r in after.groupBy("run_id").agg(F.sum(F.abs(F.col("score") - F.col("old")))).collect()}
+            residual = {r[0]: r[1] for r in after.groupBy("run").agg(F.sum(F.abs(F.col("score") - F.col("old")))).collect()}
             done = [r for r, x in residual.items() if x <= limit]
             runs |= {r: (i, x, x <= limit) for r, x in residual.items()}
             if done:
-                finished.append(scratch.write(after.where(F.col("run_id").isin(done)).select("run_id", "id", "score")))
-                after = after.where(~F.col("run_id").isin(done))
-                known = known.where(~F.col("run_id").isin(done))
+                finished.append(scratch.write(after.where(F.col("run").isin(done)).select("run", "id", "score")))
+                after = after.where(~F.col("run").isin(done))
+                known = known.where(~F.col("run").isin(done))
             if len(done) == len(residual):
                 state = None
                 break
         else:
-            runs = dict.fromkeys(given, (i, float("nan"), False))
-        state = after.select("run_id", "id", "score", "parts")
+            runs = dict.fromkeys(range(len(given)), (i, float("nan"), False))
+        state = after.select("run", "id", "score", "parts")
     if state is not None and limit is not None and on_fail == "raise":
         raise RuntimeError(f"no convergence after {max_iter} iterations")
     if state is not None:
-        finished.append(state.select("run_id", "id", "score"))
+        finished.append(state.select("run", "id", "score"))
     out = finished[0]
     for x in finished[1:]:
         out = out.unionByName(x)
     # Nodes that no mass has reached have score 0.
-    every_run = share.select(F.col("r").alias("run_id"))
-    zero = deg.select("id").join(every_run).select("run_id", "id", F.lit(0.0).alias("score"))
-    return Ranked(out.unionByName(zero).groupBy("run_id", "id").agg(F.sum("score").alias("score")), runs)
+    zero = deg.select(F.col("node").alias("id")).join(names.select("run")).select("run", "id", F.lit(0.0).alias("score"))
+    full = out.unionByName(zero).groupBy("run", "id").agg(F.sum("score").alias("score"))
+    named = full.join(deg.select(F.col("id").alias("name"), "node"), F.col("id") == F.col("node")).select(F.col("run").alias("r"), F.col("name").alias("id"), "score")
+    named = named.join(names, F.col("r") == F.col("run")).select("run_id", "id", "score")
+    return Ranked(named, {given[r]: x for r, x in runs.items()})

@@ -99,10 +99,10 @@ def top_candidates(anchors: DataFrame, vectors: DataFrame, m: int, *, block_byte
     return found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= m).select("u", "v", "c")
 
 
-def usable_vectors(df: DataFrame, id_col: str, emb: str, size: int | None = None) -> DataFrame:
+def usable_vectors(df: DataFrame, id_col: str, emb: str, size: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """(``id``, ``emb``): rows with an id and a finite vector, not all zero, of ``size`` numbers if that is given."""
     ok = F.coalesce(C.all_finite(emb) & (F.size(emb) > 0 if size is None else F.size(emb) == size) & F.exists(emb, lambda x: x != 0), F.lit(False))
-    return df.where(F.col(id_col).isNotNull() & ok).select(F.col(id_col).cast("string").alias("id"), F.col(emb).alias("emb"))
+    return df.where(F.col(id_col).isNotNull() & ok).select(F.col(id_col).cast("string").alias("id"), F.col(emb).alias("emb"), *keep)
 
 
 def softmax_weight(cands: DataFrame, tau: float = 0.1) -> DataFrame:
@@ -158,6 +158,22 @@ def quantiles(df: DataFrame, column: str, qs: list[float]) -> DataFrame:
     return exact_quantiles(df, column, qs)
 
 
+def knn_sanity(vectors: DataFrame, k: int = 512, top: int = 5, seed: int = 0) -> DataFrame:
+    """(``kind``, ``q01``, ``q50``, ``q99``): quantiles of the cosine to the best, to the ``top``-th best and to any other vector within a sample of ``k``.
+
+    The sample is the feature: a glance at an embedding. It is taken in hash order.
+    """
+    some = vectors.orderBy(C.ordered_hash("id", seed=seed), "id").limit(k)
+    best = top_candidates(some, some, k)
+    ranked = best.withColumn("r", F.row_number().over(Window.partitionBy("u").orderBy(F.round("c", 12).desc(), "v")))
+    kinds = {"top1": ranked.where("r = 1"), f"top{top}": ranked.where(F.col("r") == top), "any": ranked.where("u < v")}
+    out = None
+    for kind, df in kinds.items():
+        q = exact_quantiles(df, "c", [0.01, 0.5, 0.99]).groupBy().pivot("q", [0.01, 0.5, 0.99]).agg(F.first("value")).toDF("q01", "q50", "q99").select(F.lit(kind).alias("kind"), "q01", "q50", "q99")
+        out = q if out is None else out.unionByName(q)
+    return out
+
+
 def rank_correlation(df: DataFrame, x: str, y: str, tie: str, *, average: bool = False) -> DataFrame:
     """One row ``rho``: correlation of ordinal ranks (ties by ``tie``), or of average ranks. Ranks are counted over range partitions."""
     df = df.select(x, y, tie)

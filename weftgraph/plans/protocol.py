@@ -38,6 +38,16 @@ def score_rows(scores: DataFrame, split: DataFrame, baits: DataFrame) -> DataFra
     return j.select("run_id", "id", "score", "rank", flag(F.col("is_seed")).alias("is_seed"), flag(F.col("label") == "train_hit").alias("is_train_seed"), flag(F.col("label") == "test_hit").alias("is_test_hit"), flag(F.col("b").isNotNull()).alias("is_bait"))
 
 
+def split_table(nodes: DataFrame, split: DataFrame, baits: DataFrame) -> DataFrame:
+    """(``run_id``, ``protein_id``, ``split_label``, ``is_bait``, ``is_seed``): every node in each run, ``other`` where the split doesn't name it."""
+    runs = split.select("run_id").distinct()
+    own = split.select(F.col("run_id").alias("r"), F.col("id").alias("i"), "label", "is_seed")
+    b = baits.select(F.col("id").alias("b")).distinct()
+    all_ = nodes.select("id").distinct().join(F.broadcast(runs))  # as many runs as the caller asks for
+    j = all_.join(own, (F.col("run_id") == F.col("r")) & (F.col("id") == F.col("i")), "left").join(b, F.col("id") == F.col("b"), "left")
+    return j.select("run_id", F.col("id").alias("protein_id"), F.coalesce("label", F.lit("other")).alias("split_label"), F.col("b").isNotNull().alias("is_bait"), F.coalesce("is_seed", F.lit(False)).alias("is_seed"))
+
+
 def evaluate(scores: DataFrame, split: DataFrame, ks: Sequence[int]) -> DataFrame:
     """Metrics of each run: seeds left out, test hits positive."""
     tests = split.where("label = 'test_hit'").select(F.col("run_id").alias("tr"), F.col("id").alias("ti"))

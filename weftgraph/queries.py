@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from weftgraph import problems
 from weftgraph.functions import columns as C
+from weftgraph.functions.keys import id_key
 from weftgraph.functions.text import BLANKS
 from weftgraph.operators import edges as E
 from weftgraph.operators import graph as G
@@ -19,7 +19,9 @@ from weftgraph.operators import scorers as M
 from weftgraph.operators import vectors as V
 from weftgraph.operators.ppr import pagerank, uniform_seeds
 from weftgraph.plans import protocol as P
+from weftgraph.session import Scratch
 from weftgraph.sources import files as S
+from weftgraph.sources import sinks as K
 
 _all: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _sql: dict[str, str] = {}
@@ -64,11 +66,16 @@ def _kind(spark: SparkSession, d: str, word: str) -> DataFrame:
     return _t(spark, d, "string_info_head").where(F.startswith("annotation", F.lit(word))).select(C.normalize_id("string_id").alias("id")).where("id is not null").distinct()
 
 
-def _seeds(spark: SparkSession, d: str) -> DataFrame:
+def _graph(spark: SparkSession, d: str) -> DataFrame:
+    """The cleaned edges as a table of their own, for queries that read them more than once."""
+    return Scratch(spark).write(_clean(spark, d))
+
+
+def _seeds(spark: SparkSession, d: str, edges: DataFrame) -> DataFrame:
     """Two runs: the isomerases and the scaffold proteins of the graph."""
-    nodes = E.endpoints(_clean(spark, d)).select(F.col("id").alias("n"))
+    nodes = E.endpoints(edges).select(F.col("id").alias("n"))
     both = _kind(spark, d, "Isomerase").withColumn("run_id", F.lit("isomerase")).unionByName(_kind(spark, d, "Scaffold").withColumn("run_id", F.lit("scaffold")))
-    return uniform_seeds(both.join(nodes, F.col("id") == F.col("n"), "left_semi"))
+    return Scratch(spark).write(uniform_seeds(both.join(nodes, F.col("id") == F.col("n"), "left_semi")))
 
 
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -81,6 +88,7 @@ def _seqs(spark: SparkSession, d: str) -> DataFrame:
     return s.groupBy("id").agg(F.max_by("seq", "row_id").alias("seq"))
 
 
+KEY = "nullif(upper(regexp_replace({0}, '[^A-Za-z0-9]', '', 'g')), '')"
 _BL = "'" + BLANKS + "'"
 _ID = f"nullif(trim({{0}}, {_BL}), '')"
 _U, _V = _ID.format("node_a"), _ID.format("node_b")
@@ -102,6 +110,25 @@ _SECOND = f"f AS (SELECT {_U} AS u, {_V} AS v, experimental / 1000.0::DOUBLE AS
 _BASE = f"b AS (SELECT {_U} AS u, {_V} AS v, combined_score::DOUBLE AS w FROM string_edges_head WHERE {_U} <> {_V} AND combined_score IS NOT NULL)"
 
 
+_KEYED = f"s AS (SELECT {KEY.format('string_id')} AS id, translate(seq, {_BL}, '') AS seq, row_id FROM seqs_parser), q AS MATERIALIZED (SELECT id, arg_max(seq, row_id) AS seq FROM s WHERE id IS NOT NULL AND seq <> '' GROUP BY id)"
+
+
+def _keyed(spark, d):
+    """One cleaned sequence per id key: the last row's."""
+    s = _t(spark, d, "seqs_parser").select(id_key("string_id").alias("id"), F.call_function("translate", "seq", F.lit(BLANKS), F.lit("")).alias("seq"), "row_id").where("id is not null and seq <> ''")
+    return s.groupBy("id").agg(F.max_by("seq", "row_id").alias("seq"))
+
+
+_USED = f"""vec AS (SELECT row_id, {KEY.format('ids')} AS id, emb::DOUBLE[] AS x FROM emb WHERE len(emb) = 128 AND len(list_filter(emb, lambda v: v IS NOT NULL AND isfinite(v))) = 128 AND len(list_filter(emb, lambda v: v <> 0)) > 0),
+used AS MATERIALIZED (SELECT id, arg_max(x, row_id) AS x FROM vec WHERE id IS NOT NULL GROUP BY id)"""
+
+
+def _proteins(spark, d):
+    """(``id``, ``emb``): of the usable vectors of a protein that of the last row."""
+    v = V.usable_vectors(_t(spark, d, "emb").withColumn("k", id_key("ids")), "k", "emb", 128, keep=("row_id",))
+    return v.groupBy("id").agg(F.max_by("emb", "row_id").alias("emb"))
+
+
 def _ppr_sql(iterations: int, start: str = "SELECT run_id, id, p AS score FROM seeds", alpha: float = 0.85, ctes: str = _SEEDS) -> str:
     out = ctes + f""",
 st AS MATERIALIZED (SELECT src, dst, w / weighted_degree * {alpha} AS share FROM adj JOIN deg ON src = id WHERE weighted_degree > 0 AND w > 0),
@@ -221,7 +248,7 @@ def truthy_hits(spark, d):
     return S.hit_table(df, "string_id", conf="conf")[0]
 
 
-@query(f"""WITH x AS (SELECT unnest(CASE WHEN contains(annotation, ';') THEN string_split(annotation, ';') WHEN contains(annotation, '|') THEN string_split(annotation, '|') ELSE string_split(annotation, ',') END) AS b FROM string_info_head)
+@query(f"""WITH x AS (SELECT unnest(CASE WHEN contains(annotation, ';') THEN string_split(annotation, ';') WHEN contains(annotation, '|') THEN string_split(annotation, '|') ELSE string_split(annotation, ',') END) AS b FROM string_info_head WHERE {_ID.format('string_id')} IS NOT NULL)
 SELECT DISTINCT trim(b, {_BL}) AS id FROM x WHERE trim(b, {_BL}) <> ''""")
 def multi_value_baits(spark, d):
     return S.hit_table(_t(spark, d, "string_info_head"), "string_id", bait="annotation")[1]
@@ -263,8 +290,11 @@ def graph_summary_stats(spark, d):
 
 
 def _scores(spark, d, iterations=20, digits=10, **kw):
-    s = pagerank(_clean(spark, d), _seeds(spark, d), tol=None, max_iter=iterations, **kw).scores
-    return s.select("run_id", "id", F.round("score", digits).alias("score"))
+    """(scores, seeds) of both runs."""
+    edges = _graph(spark, d)
+    seeds = _seeds(spark, d, edges)
+    s = pagerank(edges, seeds, tol=None, max_iter=iterations, **kw).scores
+    return s.select("run_id", "id", F.round("score", digits).alias("score")), seeds
 
 
 _SC = "SELECT run_id, id, round(score, 10) AS score FROM scores"
@@ -273,18 +303,20 @@ _RANKED = f"rk AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY sco
 
 @query(f"WITH {_ppr_sql(20)} SELECT run_id, id, round(score, 8) AS score FROM scores")
 def ppr_multi_seed(spark, d):
-    return _scores(spark, d, digits=8)
+    return _scores(spark, d, digits=8)[0]
 
 
 @query(f"WITH {_ppr_sql(20)} SELECT id, round(score, 8) AS score FROM scores WHERE run_id = 'isomerase'")
 def ppr_scores_20it(spark, d):
-    s = pagerank(_clean(spark, d), _seeds(spark, d).where("run_id = 'isomerase'"), tol=None, max_iter=20).scores
+    edges = _graph(spark, d)
+    s = pagerank(edges, _seeds(spark, d, edges).where("run_id = 'isomerase'"), tol=None, max_iter=20).scores
     return s.select("id", F.round("score", 8).alias("score"))
 
 
 @query(f"WITH {_ppr_sql(20)}, {_RANKED} SELECT run_id, id, round(score, 8) AS score, rank FROM rk WHERE rank <= 20")
 def ppr_top20(spark, d):
-    r = R.rank_nodes(_scores(spark, d), exclude=_seeds(spark, d))
+    scores, seeds = _scores(spark, d)
+    r = R.rank_nodes(scores, exclude=seeds)
     return r.where("rank <= 20").select("run_id", "id", F.round("score", 8).alias("score"), "rank")
 
 
@@ -293,7 +325,7 @@ _UNIFORM = "SELECT r.run_id, d.id, 1.0::DOUBLE / (SELECT count(*) FROM deg) AS s
 
 @query(f"WITH {_ppr_sql(10, _UNIFORM)} SELECT run_id, id, round(score, 8) AS score FROM scores")
 def ppr_uniform_start(spark, d):
-    return _scores(spark, d, 10, 8, start="uniform")
+    return _scores(spark, d, 10, 8, start="uniform")[0]
 
 
 # Ranking and evaluation: proteins of other kinds as positives
@@ -305,8 +337,9 @@ _EVAL = f"{_ppr_sql(20)}, {_RANKED}, pos AS {_POS}, h AS (SELECT rk.*, (id IN (S
 
 def _evaluated(spark, d):
     pos = _kind(spark, d, "Transporter").select(F.col("id").alias("q"))
-    s = _scores(spark, d).join(pos, F.col("id") == F.col("q"), "left").select("run_id", "id", "score", F.col("q").isNotNull().alias("pos"))
-    return R.rank_nodes(s, exclude=_seeds(spark, d), hit=F.col("pos"))
+    scores, seeds = _scores(spark, d)
+    s = scores.join(pos, F.col("id") == F.col("q"), "left").select("run_id", "id", "score", F.col("q").isNotNull().alias("pos"))
+    return R.rank_nodes(s, exclude=seeds, hit=F.col("pos"))
 
 
 _AT = ", ".join(f"round(sum(hit) FILTER (rank <= {k}) / any_value(p), 6) AS recall_at_{k}, round(sum(hit) FILTER (rank <= {k}) / least({k}, count(*)), 6) AS precision_at_{k}, round(sum(hit) FILTER (rank <= {k}) / least({k}, count(*)) / (any_value(p) / count(*)), 6) AS enrichment_at_{k}" for k in KS)
@@ -321,7 +354,7 @@ def rank_metrics_at_k(spark, d):
     return _rounded(R.ranking_metrics(_evaluated(spark, d), KS))
 
 
-@query(f"WITH {_EVAL} SELECT run_id, rank, round(hits / p, 6) AS recall, round(hits / rank, 6) AS precision FROM c UNION ALL SELECT DISTINCT run_id, 0, 0.0, 1.0 FROM c")
+@query(f"WITH {_EVAL} SELECT run_id, rank, round(hits / p, 6) AS recall, round(hits / rank, 6) AS precision FROM c WHERE hit = 1 UNION ALL SELECT DISTINCT run_id, 0, 0.0, 1.0 FROM c WHERE p > 0")
 def pr_curve(spark, d):
     return _rounded(R.pr_curve(_evaluated(spark, d)))
 
@@ -340,8 +373,8 @@ def degree_rank_baseline(spark, d):
 @query(f"WITH {_ADJ}, x AS (SELECT r AS run_id, id, md5(id || ':' || r || ':7') AS h FROM deg, range(3) t(r)) SELECT run_id, id, row_number() OVER (PARTITION BY run_id ORDER BY h, id) AS rank FROM x")
 def random_rank_baseline(spark, d):
     runs = spark.range(3).select(F.col("id").alias("run_id"))
-    s = E.endpoints(_clean(spark, d)).join(runs).select("run_id", "id", C.ordered_hash("id", F.col("run_id"), seed=7).alias("h"))
-    return s.select("run_id", "id", F.row_number().over(Window.partitionBy("run_id").orderBy("h", "id")).alias("rank"))
+    s = E.endpoints(_clean(spark, d)).join(F.broadcast(runs)).select("run_id", "id", C.ordered_hash("id", F.col("run_id"), seed=7).alias("h"))
+    return R.number_within(s, "run_id", "h", "id").select("run_id", "id", (F.col("at") + 1).alias("rank"))
 
 
 @query(f"""WITH {_ADJ}, s AS (SELECT id AS seed_id, weighted_degree AS t FROM deg WHERE id IN (SELECT id FROM {_KIND.format('Scaffold')})),
@@ -359,7 +392,7 @@ def matched_seed_pool(spark, d):
 _AGG = ", ".join(f"round(avg({c}), 6) AS {c}_mean, round(coalesce(stddev_samp({c}), 0), 6) AS {c}_std" for c in ("fusion", "neighborhood", "textmining"))
 
 
-@query(f"SELECT source, {_AGG} FROM string_edges_head GROUP BY source")
+@query(f"SELECT source, count(*) AS n_rows, {_AGG} FROM string_edges_head GROUP BY source")
 def metrics_aggregate(spark, d):
     return _rounded(R.aggregate_rows(_raw(spark, d).select("source", *[F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))).alias(c) for c in ("fusion", "neighborhood", "textmining")]), ["source"]), skip=("source",))
 
@@ -451,9 +484,9 @@ def row_sigmoid_z(spark, d):
     return _rounded(V.anchor_sigmoid_z(V.top_candidates(v, v, 20)).select("u", "v", "w"))
 
 
-@query("WITH q AS (SELECT [0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0]::DOUBLE[] AS q), n AS (SELECT sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * (1 + label) AS x FROM embeddings) SELECT unnest(q) AS q, round(unnest((SELECT quantile_cont(x, [0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0]) FROM n)), 6) AS value FROM q")
+@query(f"WITH {_USED}, q AS (SELECT [0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0]::DOUBLE[] AS q), n AS (SELECT sqrt(list_dot_product(x, x)) AS x FROM used) SELECT unnest(q) AS q, round(unnest((SELECT quantile_cont(x, [0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0]) FROM n)), 6) AS value FROM q")
 def embed_quantiles(spark, d):
-    n = _t(spark, d, "embeddings").select((C.norm("embedding") * (1 + F.col("label"))).alias("x"))
+    n = _proteins(spark, d).select(C.norm("emb").alias("x"))
     return _rounded(V.quantiles(n, "x", [0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0]), skip=("q",))
 
 
@@ -467,12 +500,21 @@ def embed_finite(spark, d):
 _SEQ = f"s AS (SELECT {_ID.format('string_id')} AS id, translate(seq, {_BL}, '') AS seq, row_id FROM seqs_parser), q AS MATERIALIZED (SELECT id, arg_max(seq, row_id) AS seq FROM s WHERE id IS NOT NULL AND seq <> '' GROUP BY id)"
 
 
-@query(f"WITH {_SEQ}, l AS (SELECT id, length(seq) AS n, length(replace(seq, 'L', '')) AS m FROM q) SELECT round(corr(a, b), 6) AS rho FROM (SELECT row_number() OVER (ORDER BY n, id) AS a, row_number() OVER (ORDER BY m, id) AS b FROM l)")
+@query(f"WITH {_USED}, {_KEYED}, l AS (SELECT q.id, length(seq) AS n, round(sqrt(list_dot_product(x, x)), 9) AS m FROM q JOIN used ON q.id = used.id) SELECT round(corr(a, b), 6) AS rho FROM (SELECT row_number() OVER (ORDER BY n, id) AS a, row_number() OVER (ORDER BY m, id) AS b FROM l)")
 def length_norm_spearman(spark, d):
-    s = _seqs(spark, d).select("id", F.length("seq").alias("n"), F.length(F.replace("seq", F.lit("L"))).alias("m"))
+    """Rank correlation of the length of a protein's sequence with the norm of its vector."""
+    v = _proteins(spark, d).select(F.col("id").alias("i"), F.round(C.norm("emb"), 9).alias("m"))
+    s = _keyed(spark, d).join(v, F.col("id") == F.col("i")).select("id", F.length("seq").alias("n"), "m")
     return _rounded(V.rank_correlation(s, "n", "m", "id"))
 
 
+@query(f"""WITH {_USED}, s AS (SELECT id, list_transform(x, lambda y: y / (sqrt(list_dot_product(x, x)) + 1e-12)) AS x FROM used ORDER BY md5(id || ':0'), id LIMIT 512), p AS MATERIALIZED (SELECT a.id AS u, b.id AS v, list_dot_product(a.x, b.x) AS c FROM s a JOIN s b ON a.id <> b.id),
+k AS (SELECT *, row_number() OVER (PARTITION BY u ORDER BY round(c, 12) DESC, v) AS r FROM p), w AS (SELECT 'top1' AS kind, c FROM k WHERE r = 1 UNION ALL SELECT 'top5', c FROM k WHERE r = 5 UNION ALL SELECT 'any', c FROM p WHERE u < v)
+SELECT kind, round(quantile_cont(c, 0.01), 4) AS q01, round(quantile_cont(c, 0.5), 4) AS q50, round(quantile_cont(c, 0.99), 4) AS q99 FROM w GROUP BY kind""")
+def embed_knn_sanity(spark, d):
+    return V.knn_sanity(_proteins(spark, d), 512).select("kind", *[F.round(c, 4).alias(c) for c in ("q01", "q50", "q99")])
+
+
 @query(f"WITH {_UNIT.replace('y ->', 'lambda y:')}, a AS (SELECT vec_id::VARCHAR AS u, (vec_id + 1)::VARCHAR AS v FROM embeddings) SELECT u, v, round(list_sum(list_transform(list_zip(x.x, y.x), lambda z: abs(z[1] - z[2]))), 6) AS diff, round(list_dot_product(x.x, y.x), 6) AS prod, 4 * len(x.x) AS size FROM a JOIN n x ON x.id = u JOIN n y ON y.id = v")
 def pair_features(spark, d):
     unit = _vectors(spark, d).select("id", C.l2_normalize("emb").alias("x"))
@@ -596,7 +638,8 @@ def _folder_sql() -> str:
 adj AS MATERIALIZED (SELECT u AS src, v AS dst, w FROM cl UNION ALL SELECT v, u, w FROM cl), deg AS MATERIALIZED (SELECT src AS id, sum(w) AS weighted_degree FROM adj GROUP BY src),
 seeds AS MATERIALIZED (SELECT '{name}' AS run_id, id, 1.0::DOUBLE / count(*) OVER () AS p FROM {_KIND.format('Scaffold')} WHERE id IN (SELECT id FROM deg))"""
         parts.append(f"""(WITH {_ppr_sql(10, _UNIFORM, ctes=ctes)}, {_RANKED}, h AS (SELECT rk.*, (id IN (SELECT id FROM {_POS}))::INT AS hit FROM rk)
-SELECT '{name}' AS graph, (SELECT count(*) FROM deg) AS n_nodes, (SELECT count(*) FROM seeds) AS n_seeds, sum(hit)::BIGINT AS n_pos_eval, round(sum(hit) FILTER (rank <= 200) / greatest(1, sum(hit)), 6) AS recall_at_k FROM h)""")
+SELECT '{name}' AS graph, (SELECT count(*) FROM deg) AS n_nodes, (SELECT count(*) FROM seeds) AS n_seeds, sum(hit)::BIGINT AS n_pos_eval, round(sum(CASE WHEN hit = 1 THEN hits / rank ELSE 0 END) / sum(hit), 6) AS auprc, round(sum(hit) FILTER (rank <= 200) / greatest(1, sum(hit)), 6) AS recall_at_k,
+round(sum(hit) FILTER (rank <= 200) / least(200, count(*)), 6) AS precision_at_k, round(sum(hit) FILTER (rank <= 200) / least(200, count(*)) / (sum(hit) / count(*)), 6) AS enrichment_at_k FROM (SELECT *, sum(hit) OVER (ORDER BY rank) AS hits FROM h))""")
     return " UNION ALL ".join(parts)
 
 
@@ -607,7 +650,7 @@ def folder_eval(spark, d):
     seeds = _kind(spark, d, "Scaffold").withColumn("weight", F.lit(1))
     pos = _kind(spark, d, "Transporter").withColumn("value", F.lit(1))
     out = P.evaluate_graphs({"combined": pick("combined_score"), "textmining": pick("textmining")}, seeds, pos, tol=None, max_iter=10, digits=10)
-    return _rounded(out.select("graph", "n_nodes", "n_seeds", "n_pos_eval", "recall_at_k"))
+    return _rounded(out.select("graph", "n_nodes", "n_seeds", "n_pos_eval", "auprc", "recall_at_k", "precision_at_k", "enrichment_at_k"))
 
 
 @query()
@@ -627,6 +670,191 @@ def pair_mlp_graph(spark, d):
     return learn.pair_graph(model, v, v, cand_m=20, topm=5)
 
 
+# Sources and sinks: written to the shared folder, read back
+
+
+def _folder(spark) -> str:
+    return Scratch(spark).root
+
+
+@query(f"WITH {_KEYED} SELECT id, seq FROM q")
+def fasta_written_and_read(spark, d):
+    path = f"{_folder(spark)}/fasta"
+    K.write_fasta(_keyed(spark, d), path)
+    return S.read_fasta(spark, path)
+
+
+@query(f"WITH {_KEYED} SELECT (row_number() OVER (ORDER BY id) - 1)::BIGINT AS pos, length(seq)::DOUBLE AS value FROM q")
+def lengths_written_and_read(spark, d):
+    path = f"{_folder(spark)}/lengths"
+    K.write_lengths(_keyed(spark, d), path)
+    return S.read_numbers(spark, path)
+
+
+@query(f"SELECT {_ID.format('ids')} AS id FROM emb WHERE {_ID.format('ids')} IS NOT NULL")
+def ids_written_and_read(spark, d):
+    path = f"{_folder(spark)}/ids"
+    K.write_ids(_t(spark, d, "emb").select(C.normalize_id("ids").alias("id")).where("id is not null"), path)
+    return S.read_ids(spark, path)
+
+
+@query(f"SELECT DISTINCT {KEY.format('ids')} AS id FROM emb WHERE {KEY.format('ids')} IS NOT NULL")
+def node_sets_read(spark, d):
+    path = f"{_folder(spark)}/ids"
+    K.write_ids(_t(spark, d, "emb").select(id_key("ids").alias("id")).where("id is not null"), path)
+    return S.read_id_set(spark, path).intersect(S.read_nodes(spark, path))
+
+
+@query(f"WITH {_CLEAN} SELECT u, v, round(w, 6) AS w FROM cl")
+def edges_written_and_read(spark, d):
+    path = f"{_folder(spark)}/edges"
+    K.write_edges(_clean(spark, d), path)
+    return _rounded(S.read_edges3(spark, path).select("u", "v", "w"))
+
+
+@query(f"""WITH c AS (SELECT least(u, v) AS u, greatest(u, v) AS v, max(w) AS w FROM (SELECT {_U} AS u, {_V} AS v, combined_score / 1000.0::DOUBLE AS w FROM string_edges_head) WHERE u <> v AND w > 0 GROUP BY ALL),
+t AS (SELECT least(u, v) AS u, greatest(u, v) AS v, max(w) AS w FROM (SELECT {_U} AS u, {_V} AS v, textmining / 1000.0::DOUBLE AS w FROM string_edges_head) WHERE u <> v AND w > 0 GROUP BY ALL)
+SELECT 'combined' AS graph, count(*) AS edges, round(sum(w), 3) AS weight FROM c UNION ALL SELECT 'textmining', count(*), round(sum(w), 3) FROM t""")
+def graph_folder_read(spark, d):
+    folder = _folder(spark)
+    for name, column in (("combined", "combined_score"), ("textmining", "textmining")):
+        K.write_edges(E.filtered_graph(E.channel(_raw(spark, d), "node_a", "node_b", column)), f"{folder}/graphs/{name}.tsv")
+    out = None
+    for name, g in S.read_graph_folder(spark, f"{folder}/graphs/*.tsv").items():
+        one = g.agg(F.count(F.lit(1)).alias("edges"), F.round(F.sum("w"), 3).alias("weight")).select(F.lit(name).alias("graph"), "edges", "weight")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+_SPLIT = f"{_BASE}, e AS (SELECT DISTINCT least(u, v) AS u, greatest(u, v) AS v FROM b), o AS (SELECT u, v, row_number() OVER (ORDER BY md5(u || ':' || v || ':0'), u, v) - 1 AS i, count(*) OVER () AS n FROM e), sp AS (SELECT u, v, CASE WHEN i < floor(n * 0.8::DOUBLE) THEN 'train' WHEN i < floor(n * 0.8::DOUBLE) + floor(n * 0.1::DOUBLE) THEN 'val' ELSE 'test' END AS split FROM o)"
+
+
+@query(f"WITH {_SPLIT} SELECT u, v, split FROM sp WHERE NOT starts_with(u, 'node')")
+def split_written_and_read(spark, d):
+    path = f"{_folder(spark)}/split"
+    K.write_split(L.edge_split(_base(spark, d)), path)
+    parts = [S.read_edges2(spark, f"{path}/split={s}").withColumn("split", F.lit(s)) for s in ("train", "val", "test")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query(f"WITH {_SPLIT} SELECT split, count(DISTINCT x) AS nodes FROM (SELECT split, u AS x FROM sp UNION ALL SELECT split, v FROM sp) GROUP BY split")
+def node_split_written_and_read(spark, d):
+    path = f"{_folder(spark)}/nodes"
+    K.write_node_split(L.edge_split(_base(spark, d)), path)
+    parts = [S.read_ids(spark, f"{path}/split={s}").agg(F.count(F.lit(1)).alias("nodes")).select(F.lit(s).alias("split"), "nodes") for s in ("train", "val", "test")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("""WITH x AS (SELECT emb, list_filter(emb, lambda v: v IS NOT NULL AND isfinite(v)) AS v, ids, row_id FROM emb)
+SELECT row_id::VARCHAR AS id, round(list_sum(list_transform(v, lambda y: y::DOUBLE)), 4) AS total FROM x WHERE len(emb) = 128 AND len(v) = 128 AND len(list_filter(v, lambda y: y <> 0)) > 0""")
+def vectors_written_and_read(spark, d):
+    path = f"{_folder(spark)}/vectors"
+    K.write_vectors(V.usable_vectors(_t(spark, d, "emb"), "row_id", "emb", 128), path)
+    total = F.aggregate("emb", F.lit(0.0), lambda s, x: s + x.cast("double"))
+    return spark.read.parquet(path).select("id", F.round(total, 4).alias("total"))
+
+
+@query("SELECT * FROM (VALUES ('alpha', '0.85'), ('folder', 'a b'), ('repeats', '20')) t(k, v)")
+def meta_written_and_read(spark, d):
+    path = f"{_folder(spark)}/meta"
+    K.write_meta(spark, {"repeats": 20, "alpha": 0.85, "folder": "a b"}, path)
+    return spark.read.option("sep", "\t").schema("k string, v string").csv(path)
+
+
+@query("SELECT report_id, batch_name, connected_components.count AS components, cleaning.raw_rows AS raw_rows FROM graph_stats")
+def json_written_and_read(spark, d):
+    path = f"{_folder(spark)}/json"
+    t = _t(spark, d, "graph_stats")
+    K.write_json(t.select("report_id", "batch_name", "connected_components", "cleaning"), path)
+    back = spark.read.schema(t.select("report_id", "batch_name", "connected_components", "cleaning").schema).json(path)
+    return back.select("report_id", "batch_name", F.col("connected_components.count").alias("components"), F.col("cleaning.raw_rows").alias("raw_rows"))
+
+
+@query("""SELECT row_id::VARCHAR AS row_id, fusion::VARCHAR AS fusion, CASE WHEN split = 'train' THEN '1' WHEN split IS NOT NULL THEN '0' END AS is_train, 'nan' AS rate, NULL::VARCHAR AS seq FROM string_edges_head
+UNION ALL SELECT row_id::VARCHAR, NULL, NULL, NULL, nullif(string_id, '') FROM seqs_parser WHERE string_id NOT LIKE '%"%'""")
+def ragged_rows_written_and_read(spark, d):
+    path = f"{_folder(spark)}/rows"
+    a = _raw(spark, d).select("row_id", "fusion", (F.col("split") == "train").alias("is_train"), F.lit(float("nan")).alias("rate"))
+    b = _t(spark, d, "seqs_parser").select("row_id", F.col("string_id").alias("seq")).where(~F.contains("seq", F.lit('"')))
+    K.write_rows(K.union_ragged(a, b), path)
+    got = S.read_table(spark, path, ("row_id", "fusion", "is_train", "rate", "seq"), "\t")
+    return got
+
+
+@query(f"WITH {_ADJ}, r AS (SELECT id, row_number() OVER (ORDER BY degree DESC, id) AS rank FROM deg) SELECT id FROM r WHERE rank <= 200")
+def top_written_and_read(spark, d):
+    path = f"{_folder(spark)}/top"
+    s = G.degrees(_clean(spark, d)).select(F.lit(0).alias("run_id"), "id", F.col("degree").cast("double").alias("score"))
+    K.write_top(R.rank_nodes(s), path, 200)
+    return S.read_ids(spark, path)
+
+
+@query(f"WITH h AS (SELECT {_ID.format('string_id')} AS id, preferred_name FROM string_info_head) SELECT count(*) AS raw_rows, count(*) FILTER (id IS NULL) AS rows_missing_protein, count(DISTINCT id) AS high_conf_hit_count, (SELECT count(DISTINCT trim(b, {_BL})) FROM (SELECT unnest(CASE WHEN contains(preferred_name, ';') THEN string_split(preferred_name, ';') WHEN contains(preferred_name, '|') THEN string_split(preferred_name, '|') ELSE string_split(preferred_name, ',') END) AS b FROM h WHERE id IS NOT NULL) WHERE trim(b, {_BL}) <> '') AS bait_count FROM h")
+def hit_table_counts(spark, d):
+    t = _t(spark, d, "string_info_head")
+    hits, baits = S.hit_table(t, "string_id", bait="preferred_name")
+    return S.hit_counts(t, "string_id", hits, baits)
+
+
+@query(f"WITH {_KEYED} SELECT row_id AS pos, {KEY.format('string_id')} AS id, seq FROM string_info_head JOIN q ON {KEY.format('string_id')} = id")
+def sequences_of_records(spark, d):
+    ids = _t(spark, d, "string_info_head").select(F.col("row_id").alias("pos"), id_key("string_id").alias("id"))
+    return S.sequences_of(ids, _keyed(spark, d))
+
+
+@query(f"WITH {_KEYED} SELECT row_id AS pos, id, length(q.seq) AS n FROM seqs_parser p JOIN q ON {KEY.format('p.string_id')} = id")
+def required_sequences(spark, d):
+    s = _keyed(spark, d)
+    ids = _t(spark, d, "seqs_parser").select(F.col("row_id").alias("pos"), id_key("string_id").alias("id"))
+    known = ids.join(s.select(F.col("id").alias("k")), F.col("id") == F.col("k"), "left_semi")
+    return S.required(known, s).select("pos", "id", F.length("seq").alias("n"))
+
+
+@query("WITH o AS (SELECT row_id, row_number() OVER (ORDER BY row_id) - 1 AS i, count(*) OVER () AS n FROM emb) SELECT row_id FROM o WHERE i // ceil(n / 7.0)::BIGINT = 3")
+def shard_of_rows(spark, d):
+    return S.shard(_t(spark, d, "emb").select("row_id"), 3, 7, "row_id")
+
+
+@query("SELECT CASE source WHEN 'a' THEN 'A' ELSE source END AS label, count(*) AS n FROM (SELECT coalesce(CASE split WHEN 'train' THEN 'Train' WHEN 'val' THEN 'Validation' ELSE split END, '') AS source FROM string_edges_head) GROUP BY label")
+def mapped_labels(spark, d):
+    return _raw(spark, d).groupBy(F.coalesce(C.mapped("split", {"train": "Train", "val": "Validation"}), F.lit("")).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH g AS (SELECT coalesce(source, 'none') || '.tsv' AS graph, coalesce(source, 'none') AS label, round(avg(fusion), 4) AS auprc, round(avg(database), 4) AS p, round(avg(textmining), 4) AS r FROM string_edges_head GROUP BY source)
+SELECT label, unnest(['auprc', 'precision@k', 'recall@k']) AS metric, unnest([auprc, p, r]) AS value FROM g""")
+def summary_read(spark, d):
+    path = f"{_folder(spark)}/summary"
+    g = _raw(spark, d).groupBy(F.concat(F.coalesce("source", F.lit("none")), F.lit(".tsv")).alias("graph")).agg(*[F.round(F.avg(c), 4).alias(n) for c, n in (("fusion", "auprc"), ("database", "precision@k"), ("textmining", "recall@k"), ("coexpression", "enrich_factor@k"))])
+    g.coalesce(1).write.option("header", True).option("sep", "\t").csv(path)
+    return K.summary_bars(S.read_summary(spark, path, "auprc"))
+
+
+@query(f"WITH {_ADJ}, h AS (SELECT id FROM {_KIND.format('Isomerase')}), b AS (SELECT id FROM {_KIND.format('Scaffold')}) SELECT r::INT AS run_id, count(*) AS nodes, count(*) FILTER (id IN (SELECT id FROM b)) AS baits FROM deg, range(3) t(r) GROUP BY r")
+def split_table_counts(spark, d):
+    nodes, baits = E.endpoints(_clean(spark, d)), _kind(spark, d, "Scaffold")
+    t = P.split_table(nodes, L.holdout(_kind(spark, d, "Isomerase"), baits, 3), baits)
+    return t.groupBy("run_id").agg(F.count(F.lit(1)).alias("nodes"), F.count_if("is_bait").alias("baits"))
+
+
+@query(f"WITH {_BASE}, e AS (SELECT DISTINCT least(u, v) AS u, greatest(u, v) AS v FROM b) SELECT count(*) AS pairs, count(*) AS distinct_pairs, 0::BIGINT AS loops, 0::BIGINT AS edges FROM e")
+def negative_pairs_hold(spark, d):
+    """As many negatives as edges, none twice, no loop and no edge."""
+    e = E.undirected_distinct(_base(spark, d))
+    n = L.negative_pairs(e, e.count())
+    hit = n.join(e.select(F.col("u").alias("a"), F.col("v").alias("b")), (F.col("u") == F.col("a")) & (F.col("v") == F.col("b")), "left")
+    return hit.agg(F.count(F.lit(1)).alias("pairs"), F.count_distinct("u", "v").alias("distinct_pairs"), F.count_if(F.col("u") == F.col("v")).alias("loops"), F.count("a").alias("edges"))
+
+
+@query(f"WITH {_SEEDS} SELECT DISTINCT run_id, true AS converged, 1.0::DOUBLE AS mass FROM seeds")
+def ppr_converged(spark, d):
+    """Until the residual is at most a millionth per node, from the uniform start."""
+    edges = _graph(spark, d)
+    got = pagerank(edges, _seeds(spark, d, edges), tol=1e-6, start="uniform", stop="n_tol", on_fail="raise")
+    mass = got.scores.groupBy("run_id").agg(F.round(F.sum("score"), 6).alias("mass"))
+    done = spark.createDataFrame([(r, x[2]) for r, x in got.runs.items()], "run_id string, converged boolean")
+    return done.join(mass, "run_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return _all | problems.queries()
 

@@ -84,12 +84,13 @@ def read_edges3(spark: SparkSession, path: str, *, strict: bool = False) -> Data
 
 
 def read_graph_folder(spark: SparkSession, pattern: str) -> dict[str, DataFrame]:
-    """Edge tables by file name; an error if there is none. The files are listed, not read."""
-    df = read_edges3(spark, pattern)
-    names = [r[0] for r in spark.read.format("binaryFile").load(pattern).select("path").distinct().orderBy("path").collect()]
+    """Edge tables by name of the file, or of the .tsv folder that holds its parts; an error if there is none. The files are listed, not read."""
+    name = lambda c: F.regexp_extract(c, r"([^/]*?)(?:\.[^./]*)?(?:/part-[^/]*)?$", 1)
+    df = read_edges3(spark, pattern).withColumn("graph", name("file"))
+    names = [r[0] for r in spark.read.format("binaryFile").load(pattern).select(name("path").alias("graph")).distinct().orderBy("graph").collect()]
     if not names:
         raise ValueError(f"no files: {pattern}")
-    return {n.rsplit("/", 1)[-1].rsplit(".", 1)[0]: df.where(F.col("file") == n).select("u", "v", "w") for n in names}
+    return {n: df.where(F.col("graph") == n).select("u", "v", "w") for n in names}
 
 
 def labels(rows: DataFrame, nodes: DataFrame | None = None) -> DataFrame:

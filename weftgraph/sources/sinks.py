@@ -36,7 +36,25 @@ def write_vectors(df: DataFrame, path: str) -> None:
 
 def write_split(df: DataFrame, path: str) -> None:
     """Edges in one folder per split."""
-    df.write.mode("overwrite").partitionBy("split").option("sep", "\t").csv(path)
+    df.select("u", "v", "split").write.mode("overwrite").partitionBy("split").option("sep", "\t").option("quote", "").csv(path)
+
+
+def write_node_split(df: DataFrame, path: str) -> None:
+    """The distinct nodes of ``df(u, v, split)`` in one folder per split."""
+    df.select(F.explode(F.array("u", "v")).alias("id"), "split").distinct().write.mode("overwrite").partitionBy("split").text(path)
+
+
+def write_model(model, path: str) -> None:
+    """A fitted model in the library's own format; ``type(model).load`` reads it."""
+    model.write().overwrite().save(path)
+
+
+def union_ragged(*tables: DataFrame) -> DataFrame:
+    """All rows; columns in the order in which they first occur, NULL where a table lacks one."""
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t, allowMissingColumns=True)
+    return out
 
 
 def write_meta(spark: SparkSession, values: Mapping[str, object], path: str) -> None:
@@ -58,7 +76,8 @@ def write_rows(df: DataFrame, path: str) -> None:
     out = df.select(*[F.col(c).cast("int").alias(c) if t == "boolean" else F.col(c) for c, t in df.dtypes])
     # The writer has no word for NaN of its own, so numbers become text here.
     out = out.select(*[F.when(F.isnan(c), F.lit("nan")).otherwise(F.col(c).cast("string")).alias(c) if t in ("double", "float") else F.col(c) for c, t in out.dtypes])
-    out.write.mode("overwrite").option("header", True).option("sep", "\t").option("nullValue", "").option("emptyValue", "").csv(path)
+    writer = out.write.mode("overwrite").option("header", True).option("sep", "\t").option("nullValue", "").option("emptyValue", "")
+    writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def write_top(ranked: DataFrame, path: str, k: int) -> None:
@@ -66,8 +85,14 @@ def write_top(ranked: DataFrame, path: str, k: int) -> None:
     ranked.where(F.col("rank") <= k).orderBy("rank").select(F.col("id").alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 
-def plot(df: DataFrame, path: str, x: str, y: str, title: str = "", by: str | None = None) -> str:
-    """Line plot of a small plot table (curves, bars' heights, histograms); ``skipped`` where the plotting library is absent."""
+def summary_bars(summary: DataFrame, metrics: tuple[str, ...] = ("auprc", "precision@k", "recall@k"), top: int | None = None) -> DataFrame:
+    """(``label``, ``metric``, ``value``): bars of a summary table, of its ``top`` first graphs if given. For plots."""
+    rows = summary if top is None else summary.limit(top)
+    return rows.select("label", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"`{m}`").alias("value")) for m in metrics])).alias("m")).select("label", "m.metric", "m.value")
+
+
+def plot(df: DataFrame, path: str, x: str, y: str, title: str = "", by: str | None = None, kind: str = "line") -> str:
+    """Plot of a small plot table: ``line`` for curves, ``bar`` and ``barh`` for summaries and histograms; ``skipped`` where the plotting library is absent."""
     try:
         import matplotlib
 
@@ -78,8 +103,9 @@ def plot(df: DataFrame, path: str, x: str, y: str, title: str = "", by: str | No
     pdf = df.toPandas()
     fig, ax = pyplot.subplots()
     for name, part in pdf.groupby(by) if by else [("", pdf)]:
-        part = part.sort_values(x)
-        ax.plot(part[x], part[y], label=str(name))
+        if kind == "line":
+            part = part.sort_values(x)
+        {"line": ax.plot, "bar": ax.bar, "barh": ax.barh}[kind](part[x], part[y], label=str(name))
     ax.set_xlabel(x)
     ax.set_ylabel(y)
     ax.set_title(title)
