@@ -158,13 +158,14 @@ def kmers(seq: Column | str, k: int) -> Column:
 
 
 def sampled_positions(seq: Column | str, k: int, seed: int) -> Column:
-    """``k`` positions, from 1, of a sequence in the order of their md5, all if k is 0 or too large; the same for the same sequence."""
+    """``k`` positions, from 1, of a sequence in the order of the md5 of its md5 and the position, all if k is 0 or too large; the same for the same sequence."""
     s = _col(seq)
     n = F.length(s)
     every = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
     if k <= 0:
         return every
-    keyed = F.array_sort(F.transform(every, lambda i: F.struct(F.md5(F.concat(s, F.lit(":"), i.cast("string"), F.lit(f":{seed}"))).alias("h"), i.alias("i"))))
+    own = F.array_repeat(F.md5(s), n)  # so that the sequence is hashed once
+    keyed = F.array_sort(F.zip_with(own, every, lambda h, i: F.struct(F.md5(F.concat(h, F.lit(":"), i.cast("string"), F.lit(f":{seed}"))).alias("h"), i.alias("i"))))
     return F.when(n <= k, every).otherwise(F.array_sort(F.transform(F.slice(keyed, 1, k), lambda x: x["i"])))
 
 

@@ -114,7 +114,7 @@ def orphan_references(
     live = hashed(live, "k", "begin", "end")
 
     # As many ranges of the hash as both sides need, a power of two of them; those with more references than their share are split by row.
-    total = refs.count()
+    total = sum(df.count() for _, _, df, *_ in references)  # those without a key included, which takes no reading of keys
     ranges = max(shuffle_partitions(spark), math.ceil((total + parents.count()) / rows_per_range))
     bits = max(1, (ranges - 1).bit_length())
     span = F.shiftrightunsigned(F.col("h"), 64 - bits)
@@ -132,6 +132,9 @@ def orphan_references(
     refs = refs.withColumn("part", F.pmod(F.xxhash64("row_id", "source"), F.col("parts")).cast("int")).drop("parts")
     live = live.select("h", "k", "begin", "end", "span", F.explode(F.sequence(F.lit(0), (F.col("parts") - 1).cast("int"))).alias("part"))
 
+    tasks = min(1 << bits, 1 << 16)
+    refs, live = refs.repartition(tasks, "span", "part"), live.repartition(tasks, "span", "part")
+
     def probe(left: pa.Table, right: pa.Table) -> pa.Table:
         return _probe(left, right, names)
 

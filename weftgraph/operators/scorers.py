@@ -7,17 +7,19 @@ they have the shape of the model scores and none of their meaning.
 
 from __future__ import annotations
 
-import hashlib
-import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from weftgraph.functions import columns as C
+from weftgraph.functions.keys import once
+from weftgraph.operators.edges import merge_max
+from weftgraph.operators.vectors import anchor_minmax, anchor_sigmoid_z, best_edges, top_candidates
 
 DIMENSIONS = 32
 
@@ -32,42 +34,41 @@ def kmer_counts(windows: DataFrame, k: int = 3, size: int = DIMENSIONS) -> DataF
     return j.select("id", "n", F.transform(F.sequence(F.lit(0), F.lit(size - 1)), value).alias("v"))
 
 
-def _kmers(s: str | None, k: int) -> list[str]:
-    return [s[i : i + k] for i in range(len(s) - k + 1)] if s else []
+# The stand-ins are expressions on columns, so they stay in the JVM; a model comes in as a Python function in their place.
 
 
-def kmer_coupling(a: str | None, b: str | None, k: int = 3) -> float:
-    """Stand-in pair score: shared over all distinct k-mers; 0 if there are none."""
-    x, y = set(_kmers(a, k)), set(_kmers(b, k))
-    return len(x & y) / len(x | y) if x or y else 0.0
-
+def _mers(chars: str, k: int) -> Column:
+    """Stretches of ``k`` characters of a column of characters, which must be a column of its own: a lambda would split the text again for each."""
+    n = F.size(chars)
+    at = F.sequence(F.lit(0), n - k)
+    return F.when(n >= k, F.transform(at, lambda i: F.concat(*[F.get(chars, i + j) for j in range(k)]))).otherwise(F.array().cast("array<string>"))
 
-def kmer_likelihood(s: str | None, k: int = 2) -> float:
-    """Stand-in for a mean log-probability: minus the logarithm of the distinct k-mers over all, 0 if there are none."""
-    x = _kmers(s, k)
-    return -math.log((len(set(x)) + 1.0) / (len(x) + 1.0)) if x else 0.0
 
+def _sets(seqs: DataFrame, k: int = 3) -> DataFrame:
+    """(``id``, ``x``): distinct k-mers of each sequence, once for each and not for each pair."""
+    chars = once(seqs.where("seq is not null"), "id", chars=F.split("seq", ""))
+    return chars.select("id", F.array_distinct(_mers("chars", k)).alias("x"))
 
-def sampled(s: str, k: int, seed: int) -> list[int]:
-    """``k`` positions, from 0, of a sequence in hash order, all if k is 0 or too large; the same for the same sequence."""
-    if k <= 0 or k >= len(s):
-        return list(range(len(s)))
-    base = hashlib.md5(f"{s}:{seed}".encode()).digest()
-    return sorted(np.random.default_rng(int.from_bytes(base[:8], "big")).choice(len(s), k, replace=False).tolist())
 
+def _overlap(x: str, y: str) -> Column:
+    """Stand-in pair score: shared over all distinct k-mers; 0 if there are none."""
+    both = F.size(F.array_intersect(x, y))
+    all_ = F.size(x) + F.size(y) - both
+    return F.when(all_ > 0, both / all_).otherwise(F.lit(0.0))
 
-def masked_drop(a: str | None, b: str | None, k: int = 8, seed: int = 0) -> float:
-    """Stand-in for perturbation: loss of shared k-mers when sampled positions of one side are masked, both sides averaged."""
-    a, b = a or "", b or ""
 
-    def masked(s: str) -> str:
-        chars = list(s)
-        for i in sampled(s, k, seed):
-            chars[i] = "X"
-        return "".join(chars)
+def kmer_likelihood(df: DataFrame, text: Column, *keep: str, k: int = 2, sample: int = 0, seed: int = 0) -> DataFrame:
+    """``keep`` and ``l``, a stand-in for a mean log-probability: minus the logarithm of the distinct k-mers (plus one) over the length; 0 for shorter texts.
 
-    full = kmer_coupling(a, b)
-    return (max(0.0, full - kmer_coupling(masked(a), b)) + max(0.0, full - kmer_coupling(a, masked(b)))) / 2
+    With ``sample`` only the k-mers at so many sampled positions count.
+    """
+    named = once(df, *keep, text=text)
+    chars = once(named, *keep, "text", chars=F.split("text", ""), at=C.sampled_positions("text", sample, seed) if sample else F.lit(None).cast("array<int>"))
+    mers = once(chars, *keep, "at", mers=_mers("chars", k))
+    some = F.when(F.col("at").isNull(), F.col("mers")).otherwise(F.transform(F.filter("at", lambda i: i <= F.size("mers")), lambda i: F.get("mers", i - 1)))
+    got = once(mers, *keep, some=some)
+    n = F.size("some")
+    return got.select(*keep, F.when(n > 0, -F.log((F.size(F.array_distinct("some")) + 1.0) / (n + 1.0))).otherwise(F.lit(0.0)).alias("l"))
 
 
 def embed(df: DataFrame, id_col: str, seq: str, *, encoder: Callable[[list[str]], list[list[float]]] | None = None, win: int = 1022, stride: int = 768, normalize: bool = False) -> DataFrame:
@@ -78,49 +79,84 @@ def embed(df: DataFrame, id_col: str, seq: str, *, encoder: Callable[[list[str]]
     else:
         run = F.pandas_udf(lambda s: pd.Series(encoder(s.tolist())), ArrayType(DoubleType()))
         v = w.select("id", run("window").alias("v"))
-    per = v.select("id", F.posexplode("v").alias("i", "x")).groupBy("id", "i").agg(F.avg("x").alias("x"))
-    out = per.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("emb"))
+    # Vectors of one window need no mean; those of several are summed by place in Arrow, one row for each vector.
+    def mean(t: pa.Table) -> pa.Table:
+        m = np.array(t["v"].to_pylist(), np.float64).mean(axis=0)
+        return pa.table({"id": t["id"].slice(0, 1), "emb": pa.array([m.tolist()], pa.list_(pa.float64()))})
+
+    many = w.where("n > 0").select(F.col("id").alias("m")).distinct()
+    one = v.join(many, F.col("id") == F.col("m"), "left_anti").select("id", F.col("v").alias("emb"))
+    more = v.join(many, F.col("id") == F.col("m"), "left_semi").select("id", "v").groupBy("id").applyInArrow(mean, "id string, emb array<double>")
+    out = one.unionByName(more)
     return out.select("id", C.l2_normalize("emb").alias("emb")) if normalize else out
 
 
-def score_pairs(pairs: DataFrame, seqs: DataFrame, scorer: Callable[[list[str], list[str]], list[float]] | None = None) -> DataFrame:
-    """(``u``, ``v``, ``c``): score of the sequences of each pair by ``scorer``, in Arrow batches; shared k-mers without one."""
+def _joined(pairs: DataFrame, seqs: DataFrame) -> DataFrame:
+    """``pairs(u, v)`` with both sequences, ``sa`` and ``sb``; pairs without both drop out."""
     a, b = seqs.select(F.col("id").alias("ia"), F.col("seq").alias("sa")), seqs.select(F.col("id").alias("ib"), F.col("seq").alias("sb"))
-    j = pairs.join(a, F.col("u") == F.col("ia")).join(b, F.col("v") == F.col("ib"))
-    call = scorer or (lambda x, y: [kmer_coupling(s, t) for s, t in zip(x, y)])
-    run = F.pandas_udf(lambda x, y: pd.Series(call(x.tolist(), y.tolist()), dtype="float64"), DoubleType())
-    return j.select("u", "v", run("sa", "sb").alias("c"))
+    return pairs.join(a, F.col("u") == F.col("ia")).join(b, F.col("v") == F.col("ib")).drop("ia", "ib")
 
 
-def likelihood_gain(pairs: DataFrame, seqs: DataFrame, *, linker: int = 10, likelihood: Callable[[list[str]], list[float]] | None = None) -> DataFrame:
-    """(``u``, ``v``, ``c``): likelihood of the linked pair minus those of its parts; each single sequence is scored once."""
-    call = likelihood or (lambda x: [kmer_likelihood(s) for s in x])
-    run = F.pandas_udf(lambda x: pd.Series(call(x.tolist()), dtype="float64"), DoubleType())
-    single = seqs.select("id", "seq", run("seq").alias("l"))
-    a = single.select(F.col("id").alias("ia"), F.col("seq").alias("sa"), F.col("l").alias("la"))
-    b = single.select(F.col("id").alias("ib"), F.col("seq").alias("sb"), F.col("l").alias("lb"))
-    j = pairs.join(a, F.col("u") == F.col("ia")).join(b, F.col("v") == F.col("ib"))
-    return j.select("u", "v", (run(C.linked("sa", "sb", linker)) - F.col("la") - F.col("lb")).alias("c"))
+def score_pairs(pairs: DataFrame, seqs: DataFrame, scorer: Callable[[list[str], list[str]], list[float]] | None = None, batch: int = 64) -> DataFrame:
+    """(``u``, ``v``, ``c``): score of the sequences of each pair by ``scorer``, at most ``batch`` pairs at once; shared k-mers without one."""
+    if scorer is None:
+        x = _sets(seqs)
+        a, b = x.select(F.col("id").alias("ia"), F.col("x").alias("xa")), x.select(F.col("id").alias("ib"), F.col("x").alias("xb"))
+        return pairs.join(a, F.col("u") == F.col("ia")).join(b, F.col("v") == F.col("ib")).select("u", "v", _overlap("xa", "xb").alias("c"))
 
+    def call(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([s for lo in range(0, len(x), batch) for s in scorer(x[lo : lo + batch].tolist(), y[lo : lo + batch].tolist())], dtype="float64")
 
-def masked_coupling(pairs: DataFrame, seqs: DataFrame, *, k: int = 8, seed: int = 0) -> DataFrame:
-    return score_pairs(pairs, seqs, lambda x, y: [masked_drop(s, t, k, seed) for s, t in zip(x, y)])
+    return _joined(pairs, seqs).select("u", "v", F.pandas_udf(call, DoubleType())("sa", "sb").alias("c"))
 
 
-def loaded_once(factory: Callable[[], Callable]) -> Callable:
-    """A scorer that makes its model on first use in each worker process."""
-    made: list = []
+def likelihood_gain(pairs: DataFrame, seqs: DataFrame, *, linker: int = 10, sample: int = 0, seed: int = 0, likelihood: Callable[[list[str]], list[float]] | None = None) -> DataFrame:
+    """(``u``, ``v``, ``c``): likelihood of the linked pair minus those of its parts; each single sequence is scored once.
 
-    def call(*args):
-        if not made:
-            made.append(factory())
-        return made[0](*args)
+    ``sample`` positions of each text count, all if it is 0; a model given as ``likelihood`` samples by itself.
+    """
+    def scored(df: DataFrame, text: Column, *keep: str) -> DataFrame:
+        if likelihood is None:
+            return kmer_likelihood(df, text, *keep, sample=sample, seed=seed)
+        run = F.pandas_udf(lambda x: pd.Series(likelihood(x.tolist()), dtype="float64"), DoubleType())
+        return df.select(*keep, run(text).alias("l"))
 
-    return call
+    single = scored(seqs, F.col("seq"), "id", "seq")
+    a = single.select(F.col("id").alias("ia"), F.col("seq").alias("sa"), F.col("l").alias("la"))
+    b = single.select(F.col("id").alias("ib"), F.col("seq").alias("sb"), F.col("l").alias("lb"))
+    j = pairs.join(a, F.col("u") == F.col("ia")).join(b, F.col("v") == F.col("ib"))
+    return scored(j, C.linked("sa", "sb", linker), "u", "v", "la", "lb").select("u", "v", (F.col("l") - F.col("la") - F.col("lb")).alias("c"))
 
 
-def batches(it: Iterator[pd.DataFrame], n: int) -> Iterator[pd.DataFrame]:
-    """Batches of at most ``n`` rows, for models with a fixed batch size."""
-    for pdf in it:
-        for lo in range(0, len(pdf), n):
-            yield pdf.iloc[lo : lo + n]
+def masked_coupling(pairs: DataFrame, seqs: DataFrame, *, k: int = 8, seed: int = 0) -> DataFrame:
+    """(``u``, ``v``, ``c``): loss of shared k-mers when ``k`` sampled positions of one side are masked, none below 0, both sides averaged.
+
+    Each sequence is masked once and not once for each pair.
+    """
+    chars = once(seqs.where("seq is not null"), "id", chars=F.split("seq", ""), at=C.sampled_positions("seq", k, seed))
+    hidden = F.transform("chars", lambda c, i: F.when(F.array_contains("at", i + 1), F.lit("X")).otherwise(c))
+    both = once(chars, "id", "chars", hidden=hidden)
+    s = both.select("id", F.array_distinct(_mers("chars", 3)).alias("x"), F.array_distinct(_mers("hidden", 3)).alias("y"))
+    a = s.select(F.col("id").alias("ia"), F.col("x").alias("xa"), F.col("y").alias("ya"))
+    b = s.select(F.col("id").alias("ib"), F.col("x").alias("xb"), F.col("y").alias("yb"))
+    j = pairs.join(a, F.col("u") == F.col("ia")).join(b, F.col("v") == F.col("ib"))
+    got = once(j, "u", "v", f=_overlap("xa", "xb"), g=_overlap("ya", "xb"), h=_overlap("xa", "yb"))
+    loss = lambda c: F.greatest(F.lit(0.0), F.col("f") - F.col(c))
+    return got.select("u", "v", ((loss("g") + loss("h")) / 2).alias("c"))
+
+
+def pair_score_graph(vectors: DataFrame, seqs: DataFrame, *, method: str = "coupling", cand_m: int = 500, topm: int = 20, norm: str = "minmax", temp: float = 1.0, append: DataFrame | None = None, scorer: Callable[[list[str], list[str]], list[float]] | None = None) -> DataFrame:
+    """(``u``, ``v``, ``w``): candidates by cosine, scored in pairs, normalized within each anchor, the best kept, undirected; with ``append``, merged with that graph.
+
+    ``method`` is ``coupling``, ``likelihood`` or ``masked``, or ``scorer`` scores; ``norm`` is ``clip01``, ``minmax`` or ``sigmoid_z``.
+    """
+    cands = top_candidates(vectors, vectors, cand_m).select("u", "v")
+    score = {"coupling": score_pairs, "likelihood": likelihood_gain, "masked": masked_coupling}[method]
+    scored = score_pairs(cands, seqs, scorer) if scorer else score(cands, seqs)
+    scored = scored.where(~F.isnan("c"))
+    if norm == "clip01":
+        weighted = scored.withColumn("w", C.clamp01("c"))
+    else:
+        weighted = anchor_minmax(scored) if norm == "minmax" else anchor_sigmoid_z(scored, temp=temp)
+    g = best_edges(weighted, topm)
+    return g if append is None else merge_max(append, g)

@@ -615,11 +615,37 @@ def likelihood_gain(spark, d):
     return _rounded(M.likelihood_gain(_pairs(spark, d), _seqs(spark, d)))
 
 
-@query()
+_MASKED = f"""{_PAIRS}, m AS MATERIALIZED (SELECT id, seq, CASE WHEN length(seq) <= 8 THEN repeat('X', length(seq)) ELSE
+  array_to_string(list_transform(range(1, length(seq) + 1), lambda i: CASE WHEN list_contains(p, i) THEN 'X' ELSE seq[i] END), '') END AS mask
+  FROM (SELECT id, seq, list_transform(list_sort(list_transform(range(1, length(seq) + 1), lambda i: {{'h': md5(md5(seq) || ':' || i || ':0'), 'i': i}}))[1:8], lambda x: x.i) AS p FROM q)),
+km AS MATERIALIZED (SELECT id, list_distinct({_KM.format('seq', 3)}) AS x, list_distinct({_KM.format('mask', 3)}) AS y FROM m),
+lo AS (SELECT u, v, len(list_intersect(a.x, b.x)) / greatest(1, len(list_distinct(list_concat(a.x, b.x)))) AS f, len(list_intersect(a.y, b.x)) / greatest(1, len(list_distinct(list_concat(a.y, b.x)))) AS g,
+  len(list_intersect(a.x, b.y)) / greatest(1, len(list_distinct(list_concat(a.x, b.y)))) AS h FROM pr JOIN km a ON a.id = u JOIN km b ON b.id = v)"""
+
+
+@query(f"WITH {_MASKED} SELECT u, v, round((greatest(0, f - g) + greatest(0, f - h)) / 2, 6) AS c FROM lo")
 def masked_coupling(spark, d):
     return _rounded(M.masked_coupling(_pairs(spark, d), _seqs(spark, d)))
 
 
+_PROTEINS = _USED + ", n AS MATERIALIZED (SELECT id, list_transform(x, lambda y: y / (sqrt(list_dot_product(x, x)) + 1e-12)) AS x FROM used), p AS (SELECT a.id AS u, b.id AS v, list_dot_product(a.x, b.x) AS c FROM n a JOIN n b ON a.id <> b.id), k AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY u ORDER BY round(c, 12) DESC, v) AS r FROM p) WHERE r <= {0})"
+
+
+@query(f"""WITH {_PROTEINS.format(40)}, {_KEYED}, km AS MATERIALIZED (SELECT id, list_distinct({_KM.format('seq', 3)}) AS x FROM q),
+sc AS (SELECT u, v, CASE WHEN len(list_distinct(list_concat(a.x, b.x))) > 0 THEN len(list_intersect(a.x, b.x)) / len(list_distinct(list_concat(a.x, b.x))) ELSE 0 END AS c FROM k JOIN km a ON a.id = u JOIN km b ON b.id = v),
+mm AS (SELECT *, min(c) OVER (PARTITION BY u) AS lo, max(c) OVER (PARTITION BY u) AS hi FROM sc), wt AS (SELECT u, v, CASE WHEN hi > lo + 1e-12 THEN (c - lo) / (hi - lo) ELSE 0 END AS w FROM mm), {_BEST.format(20)}
+SELECT u, v, round(w, 6) AS w FROM g WHERE w > 0""")
+def pair_score_graph(spark, d):
+    return _rounded(M.pair_score_graph(_proteins(spark, d), _keyed(spark, d), cand_m=40, topm=20))
+
+
+@query(f"WITH {_PROTEINS.format(500)}, wt AS (SELECT *, greatest(c, 0.0) AS w FROM k), {_BEST.format(20)} SELECT u, v, round(w, 5) AS w FROM g WHERE w > 0")
+def protein_knn_graph(spark, d):
+    """The similarity graph of the proteins' vectors, with 500 candidates each."""
+    v = _proteins(spark, d)
+    return V.knn_graph(v, v, cand_m=500, topm=20).select("u", "v", F.round("w", 5).alias("w"))
+
+
 # Reports and workflows
 
 
