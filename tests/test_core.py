@@ -187,6 +187,164 @@ def test_files_round_trip(spark, tmp_path):
     assert files.read_table(spark, d + "/r", sep="\t").first()["b"] == "nan"
 
 
+def test_text_before_the_first_record_is_no_record(spark, tmp_path):
+    (tmp_path / "a.fa").write_text("junk\nMORE\n>p1 x\nAC\nGT\n>p2\n>p3\nM K\n")
+    (tmp_path / "b.fa").write_text(">p1\nTT\n")
+    assert rows(files.read_fasta(spark, str(tmp_path)), "id", "seq") == [("p1", "TT"), ("p3", "MK")]
+    assert ("p2", "") in rows(files.read_fasta(spark, str(tmp_path), keep_empty=True), "id", "seq")
+
+
+def test_more_files(spark, tmp_path):
+    import numpy as np
+
+    d = str(tmp_path)
+    (tmp_path / "e.tsv").write_text("node_a\tnode_b\nNODE1\tx\na\tb\textra\nc\tc\n\nshort\n")
+    assert rows(files.read_edges2(spark, d + "/e.tsv"), "u", "v") == [("NODE1", "x"), ("a", "b")]
+    (tmp_path / "n.txt").write_text(" 3\n4.5\n")
+    assert rows(files.read_numbers(spark, d + "/n.txt"), "pos", "value") == [(0, 3.0), (1, 4.5)]
+    (tmp_path / "bad.txt").write_text("3\nx\n")
+    with pytest.raises(Exception, match="not a number"):
+        files.read_numbers(spark, d + "/bad.txt").collect()
+    np.savez(d + "/v.npz", ids=np.array(["a", "b"]), emb=np.array([[1.0, 2.0], [3.0, 4.0]]))
+    assert rows(files.read_npz(spark, d + "/v.npz"), "id", "emb") == [("a", [1.0, 2.0]), ("b", [3.0, 4.0])]
+    assert files.read_id_set(spark, "") is None
+    with pytest.raises(Exception):
+        files.read_graph_folder(spark, d + "/none*.tsv")
+    (tmp_path / "s.tsv").write_text("graph\tauprc\trecall@k\tprecision@k\tenrich_factor@k\ng.tsv\t0.1\t1\t1\t1\nh.tsv\t0.3\t1\t1\t1\n")
+    got = files.read_summary(spark, d + "/s.tsv", "auprc", {"g": "G"}).collect()
+    assert [r.label for r in got] == ["h", "G"]
+    with pytest.raises(ValueError):
+        files.read_summary(spark, d + "/e.tsv", "auprc")
+    assert sinks.plot(sinks.summary_bars(files.read_summary(spark, d + "/s.tsv", "auprc"), top=1), d + "/p.png", "metric", "value", kind="bar").startswith(("ok", "skipped"))
+    sinks.write_meta(spark, {"b": 1, "a": None}, d + "/m")
+    assert [r[0] for r in spark.read.text(d + "/m").collect()] == ["a\tNone", "b\t1"]
+    sinks.write_json_value(spark, {"b": [1], "a": 2}, d + "/j")
+    assert spark.read.text(d + "/j").first()[0] == '{"a": 2, "b": [1]}'
+
+
+def test_lookups_and_shards(spark):
+    ids = spark.createDataFrame([(0, "b"), (1, "a"), (2, "b"), (3, "zz")], "pos long, id string")
+    seqs = spark.createDataFrame([("a", "AA"), ("b", "BB"), ("c", "")], "id string, seq string")
+    assert rows(files.sequences_of(ids, seqs), "pos", "id", "seq") == [(0, "b", "BB"), (1, "a", "AA"), (2, "b", "BB")]
+    assert files.required(ids.where("pos < 3"), seqs).count() == 3
+    with pytest.raises(Exception, match="no sequence: zz"):
+        files.required(ids, seqs).collect()
+    parts = [rows(files.shard(ids, i, 3, "pos"), "pos") for i in range(3)]
+    assert parts == [[(0,), (1,)], [(2,), (3,)], []]
+    with pytest.raises(ValueError):
+        files.shard(ids, 3, 3, "pos")
+    assert C.k_list(" 50, 10,,10") == [10, 50]
+    for bad in ("", "0", "5,-1"):
+        with pytest.raises(ValueError):
+            C.k_list(bad)
+
+
+def test_baits_of_rows_without_an_id_dont_count(spark):
+    t = spark.createDataFrame([("p1", "x;y"), (" ", "z"), (None, "w"), ("p1", "x")], "id string, b string")
+    hits, baits = files.hit_table(t, "id", bait="b")
+    assert rows(hits, "id") == [("p1",)] and rows(baits, "id") == [("x",), ("y",)]
+    assert tuple(files.hit_counts(t, "id", hits, baits).first()) == (4, 2, 1, 2)
+
+
+def test_numbers_over_range_partitions(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    x = rng.integers(0, 20, 101).astype(float)
+    df = spark.createDataFrame([(f"g{i % 2}", float(v), i) for i, v in enumerate(x)] + [("g0", float("nan"), 101), ("g1", None, 102)], "g string, x double, i int")
+    got = {r.q: r.value for r in R.exact_quantiles(df, "x", [0.0, 0.13, 0.5, 1.0]).collect()}
+    assert all(abs(got[q] - np.quantile(x, q)) < 1e-12 for q in got)
+    assert [r.value for r in R.exact_quantiles(df.limit(0), "x", [0.5]).collect()] == [None]
+    placed = R.number_within(df.where("i < 101"), "g", "x", "i").collect()
+    for g in ("g0", "g1"):
+        mine = sorted((r.at, r.x, r.i) for r in placed if r.g == g)
+        assert [a for a, *_ in mine] == list(range(len(mine))) and [m[1:] for m in mine] == sorted(m[1:] for m in mine) and {r.n for r in placed if r.g == g} == {len(mine)}
+    y = x[::-1].copy()
+    both = spark.createDataFrame([(float(a), float(b), i) for i, (a, b) in enumerate(zip(x, y))], "a double, b double, i int")
+    rank = lambda v: np.array([(v < a).sum() + ((v == a).sum() + 1) / 2 for a in v])
+    assert abs(V.rank_correlation(both, "a", "b", "i", average=True).first().rho - np.corrcoef(rank(x), rank(y))[0, 1]) < 1e-9
+
+
+def test_pools_by_degree_against_all_nodes(spark):
+    import random
+
+    rng = random.Random(3)
+    seeds = [(f"s{i}", float(rng.randrange(8))) for i in range(9)]
+    nodes = [(f"n{i:02d}", float(rng.randrange(8))) for i in range(40)]
+    df = lambda x: spark.createDataFrame(x, "id string, d double")
+    got = rows(L.matched_pool(df(seeds), df(nodes), 5), "seed_id", "place", "id")
+    order = {n: i for i, n in enumerate(sorted(nodes, key=lambda x: (x[1], x[0])))}
+    want = []
+    for s, t in seeds:
+        best = sorted(nodes, key=lambda n: (abs(n[1] - t), 0 if n[1] < t else 1, -order[n] if n[1] < t else order[n]))[:5]
+        want += [(s, i, n[0]) for i, n in enumerate(best, 1)]
+    assert got == sorted(want)
+
+
+def test_pools_that_run_out_are_drawn_again(spark):
+    seeds = spark.createDataFrame([(0, f"s{i}") for i in range(12)], "run_id int, id string")
+    target = spark.createDataFrame([(f"s{i}", 1.0) for i in range(12)], "id string, d double")
+    nodes = spark.createDataFrame([(f"n{i:02d}", float(i)) for i in range(20)], "id string, d double")
+    got = P.matched_seeds(seeds, target, nodes, 3, 3, 5)
+    assert rows(got.groupBy("run_id").agg(F.count_distinct("id").alias("n")), "run_id", "n") == [("0:0", 12), ("0:1", 12), ("0:2", 12)]
+    assert P.matched_seeds(seeds, target, nodes.limit(5), 1, 3, 5).count() == 0  # fewer nodes than seeds
+
+
+def test_hubs_go_by_broadcast(spark, monkeypatch):
+    hub = spark.createDataFrame([("hub" if i % 2 else f"a{i}", f"n{i:03d}", 1.0) for i in range(200)] + [("a0", "z", 1.0), ("z", "a2", 1.0)], "u string, v string, w double")
+    want = rows(G.components(hub), "id", "component")
+    monkeypatch.setattr(G, "hot_keys", lambda c, k, n, total: [r[0] for r in c.where(F.col(n) > 20).select(k).collect()])
+    assert rows(G.components(hub), "id", "component") == want
+    assert len({c for _, c in want}) == 1 + 100 - 1
+
+
+def test_best_lists_run_over_batches(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    v = np.round(rng.normal(size=(90, 4)), 1)
+    v[30:60] = v[30]
+    df = spark.createDataFrame([(f"v{i:02d}", x.tolist()) for i, x in enumerate(v)], "id string, emb array<double>")
+    df = V.usable_vectors(df, "id", "emb", 4).repartition(3)
+    u = v / (np.linalg.norm(v, axis=1, keepdims=True) + 1e-12)
+    s = np.round(u @ u.T, 12)
+    want = sorted((f"v{i:02d}", f"v{j:02d}") for i in range(90) for j in sorted((j for j in range(90) if j != i), key=lambda j: (-s[i, j], j))[:7])
+    assert rows(V.top_candidates(df, df, 7, block_bytes=1000), "u", "v") == want
+    assert V.top_candidates(df.limit(0), df, 7).count() == 0
+
+
+def test_graphs_side_by_side(spark):
+    g = spark.createDataFrame([("a", "b", 1.0), ("b", "c", 1.0), ("c", "d", 0.5), ("d", "e", 0.2)], "u string, v string, w double")
+    seeds, pos = spark.createDataFrame([("a", 1)], "id string, weight int"), spark.createDataFrame([("c", 1.0), ("e", 1.0), ("b", 0.0)], "id string, value double")
+    both = {r.graph: r for r in P.evaluate_graphs({"one": g, "two": g.where("u <> 'd'")}, seeds, pos, k=2, tol=None, max_iter=5).collect()}
+    for name, edges in (("one", g), ("two", g.where("u <> 'd'"))):
+        alone = P.evaluate_graphs({name: edges}, seeds, pos, k=2, tol=None, max_iter=5).first()
+        assert {k: v for k, v in alone.asDict().items() if k != "auprc"} == {k: v for k, v in both[name].asDict().items() if k != "auprc"} and abs(alone.auprc - both[name].auprc) < 1e-12
+    assert both["one"].n_nodes == 5 and both["two"].n_nodes == 4
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from weftgraph import session
+
+    conf = SimpleNamespace(get=lambda *a: None)
+    far = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(applicationId="far", master="spark://x:7077", getConf=lambda: conf))
+    with pytest.raises(RuntimeError):
+        session.scratch_root(far)
+
+
+def test_models_are_written(spark, tmp_path):
+    from pyspark.ml.classification import MultilayerPerceptronClassificationModel
+
+    df = spark.createDataFrame([(f"v{i}", [float(i % 2), 1.0]) for i in range(8)], "id string, emb array<double>")
+    pairs = spark.createDataFrame([(f"v{i}", f"v{j}", float((i + j) % 2 == 0)) for i in range(8) for j in range(i)], "u string, v string, label double")
+    data = learn.with_features(pairs, df).select("label", "features")
+    model, loss = learn.fit_pair_model(data, data, 2, hidden=4, epochs=1)
+    sinks.write_model(model, str(tmp_path / "m"))
+    assert MultilayerPerceptronClassificationModel.load(str(tmp_path / "m")).weights == model.weights and loss > 0
+
+
 def test_streaming_merge(spark, tmp_path):
     from weftgraph.streaming.merge import merge_into
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -43,6 +44,7 @@ def pagerank(
     stop: str = "l1",
     on_fail: str = "return",
     every: int = 5,
+    graph_of: Callable[[Column], Column] | None = None,
 ) -> Ranked:
     """Personalized PageRank of all seed sets ``seeds(run_id, id, p)`` at once.
 
@@ -52,6 +54,9 @@ def pagerank(
     Without convergence the result says so, or ``on_fail="raise"`` makes it an error. Seeds outside the
     graph are ignored; a run without any is an error.
 
+    ``graph_of`` gives the run of a node id where ``edges`` holds several graphs side by side, one for each run: then start,
+    limit and scores are those of the run's own nodes.
+
     Each iteration is one join and one aggregate, for all runs. Transition shares are computed once and
     kept partitioned by source; nodes with more than EDGES_PER_PART edges are split over several
     parts, to each of which their score goes. Every ``every`` iterations a table in the shared folder
@@ -84,12 +89,21 @@ def pagerank(
     if lacking or not given:
         raise ValueError(f"no seeds in the graph: {sorted(map(str, lacking))}")
     known = scratch.write(known.join(shares, F.col("run") == F.col("r")).select("run", "id", (F.col("p") / F.col("total")).alias("p"), "parts"))
+    # The nodes of each run: all of them, as every node has a score in every run, or those of its own graph.
+    if graph_of is None:
+        members = deg.select(F.col("node").alias("id"), "parts").join(F.broadcast(names.select("run")))
+        sizes = dict.fromkeys(range(len(given)), n_nodes)
+    else:
+        own = deg.select(graph_of(F.col("id")).cast(seeds.schema["run_id"].dataType).alias("own"), F.col("node").alias("id"), "parts")
+        members = own.join(F.broadcast(names), F.col("own") == F.col("run_id")).select("id", "parts", "run")
+        sizes = {r[0]: r[1] for r in members.groupBy("run").count().collect()}
     if start == "uniform":
-        state = deg.select(F.col("node").alias("id"), "parts", F.lit(1.0 / max(n_nodes, 1)).alias("score")).join(names.select("run")).select("run", "id", "score", "parts")  # every node has a score in every run anyway
+        each = F.element_at(F.create_map(*[x for r, n in sizes.items() for x in (F.lit(r).cast("long"), F.lit(1.0 / n))]), F.col("run")) if graph_of else F.lit(1.0 / max(n_nodes, 1))
+        state = members.select("run", "id", each.alias("score"), "parts")
     else:
         state = known.select("run", "id", F.col("p").alias("score"), "parts")
 
-    limit = None if tol is None else tol * (n_nodes if stop == "n_tol" else 1)
+    limit = None if tol is None else {r: tol * (n if stop == "n_tol" else 1) for r, n in sizes.items()}
 
     def step(state: DataFrame) -> DataFrame:
         sent = state.select("run", F.col("id").alias("s"), "score", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("q"))
@@ -122,8 +136,8 @@ def pagerank(
             kept.append(after)
         if limit is not None:
             residual = {r[0]: r[1] for r in after.groupBy("run").agg(F.sum(F.abs(F.col("score") - F.col("old")))).collect()}
-            done = [r for r, x in residual.items() if x <= limit]
-            runs |= {r: (i, x, x <= limit) for r, x in residual.items()}
+            done = [r for r, x in residual.items() if x <= limit[r]]
+            runs |= {r: (i, x, x <= limit[r]) for r, x in residual.items()}
             if done:
                 finished.append(scratch.write(after.where(F.col("run").isin(done)).select("run", "id", "score")))
                 after = after.where(~F.col("run").isin(done))
@@ -142,7 +156,7 @@ def pagerank(
     for x in finished[1:]:
         out = out.unionByName(x)
     # Nodes that no mass has reached have score 0.
-    zero = deg.select(F.col("node").alias("id")).join(names.select("run")).select("run", "id", F.lit(0.0).alias("score"))
+    zero = members.select("run", "id", F.lit(0.0).alias("score"))
     full = out.unionByName(zero).groupBy("run", "id").agg(F.sum("score").alias("score"))
     named = full.join(deg.select(F.col("id").alias("name"), "node"), F.col("id") == F.col("node")).select(F.col("run").alias("r"), F.col("name").alias("id"), "score")
     named = named.join(names, F.col("r") == F.col("run")).select("run_id", "id", "score")

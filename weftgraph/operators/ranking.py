@@ -89,15 +89,20 @@ def pr_curve(ranked: DataFrame) -> DataFrame:
     return rows.unionByName(zero)
 
 
-def ranking_metrics(ranked: DataFrame, ks: Sequence[int], *, undefined: str = "nan") -> DataFrame:
+def ranking_metrics(ranked: DataFrame, ks: Sequence[int], *, undefined: str = "nan", sizes: DataFrame | None = None) -> DataFrame:
     """One row per run: candidates, positives, average precision, rate, and recall, precision and enrichment at each k.
 
+    With ``sizes(run_id, num_candidates)`` only the ranked positives are needed in ``ranked``.
+
     k is cut at the number of candidates. What isn't defined without positives or candidates is NaN, or NULL
     with ``undefined="null"``. One aggregate.
     """
     nope = F.lit(float("nan")) if undefined == "nan" else F.lit(None).cast("double")
     at = lambda k: F.sum(F.when(F.col("rank") <= k, F.col("hit")).otherwise(0)).alias(f"h{k}")
     got = ranked.groupBy("run_id").agg(F.count(F.lit(1)).alias("num_candidates"), F.sum("hit").alias("num_positives"), F.sum(F.when(F.col("hit") == 1, F.col("hits") / F.col("rank")).otherwise(0.0)).alias("s"), *map(at, ks))
+    if sizes is not None:
+        all_ = sizes.select(F.col("run_id").alias("of"), F.col("num_candidates").alias("n_all"))
+        got = all_.join(got, F.col("of") == F.col("run_id"), "left").select(F.col("of").alias("run_id"), F.col("n_all").alias("num_candidates"), *[F.coalesce(c, F.lit(0)).alias(c) for c in got.columns if c not in ("run_id", "num_candidates")])
     n, p = F.col("num_candidates"), F.col("num_positives")
     out = [F.when(p > 0, F.col("s") / p).otherwise(nope).alias("auprc"), F.when((n > 0) & (p > 0), p / n).otherwise(nope).alias("positive_rate")]
     for k in ks:

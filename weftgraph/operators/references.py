@@ -81,7 +81,7 @@ def orphan_references(
     begin: str,
     end: str,
     *,
-    rows_per_range: int = 250_000,
+    rows_per_range: int = 64_000,
 ) -> DataFrame:
     """(``ref_table``, ``ref_column``, ``row_id``, ``reason``, ``t``) of each reference without a live parent at its time ``t``.
 

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import hashlib
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +16,7 @@ from weftgraph.operators.graph import degrees
 from weftgraph.operators.ppr import pagerank, uniform_seeds
 from weftgraph.operators.ranking import aggregate_rows, rank_nodes, ranking_metrics, repeat_means, top_metrics
 from weftgraph.operators.sampling import draw_matched, holdout, matched_pool
+from weftgraph.session import Scratch
 
 
 def weighted_seeds(rows: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
@@ -55,6 +60,66 @@ def evaluate(scores: DataFrame, split: DataFrame, ks: Sequence[int]) -> DataFram
     return ranking_metrics(rank_nodes(marked, exclude=split.where("is_seed"), hit=F.col("test")), ks)
 
 
+def random_metrics(split: DataFrame, n_nodes: int, repeats: int, ks: Sequence[int], seed: int) -> DataFrame:
+    """Metrics of rankings in random order, ``repeats`` of each run (run ids run:repeat).
+
+    In a random order the places of the positives are a random subset of all places, so only these are drawn.
+    """
+    sizes = split.groupBy("run_id").agg((F.lit(n_nodes) - F.count_if(F.col("is_seed"))).alias("n"), F.count_if(F.col("label") == "test_hit").alias("p"))
+    reps = split.sparkSession.range(repeats).select(F.col("id").alias("rep"))
+    runs = sizes.join(F.broadcast(reps)).select(F.concat_ws(":", F.col("run_id").cast("string"), F.col("rep").cast("string")).alias("run_id"), "n", "p")
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for run, n, p in b.itertuples(index=False):
+                own = np.random.default_rng(int(hashlib.md5(f"{run}:{seed}".encode()).hexdigest()[:15], 16))
+                at = np.sort(own.choice(n, min(n, p), replace=False)) + 1
+                yield pd.DataFrame({"run_id": run, "rank": at.astype("int64"), "hit": 1, "hits": np.arange(1, len(at) + 1)})
+
+    ranked = runs.mapInPandas(draw, "run_id string, rank long, hit int, hits long")
+    return ranking_metrics(ranked, ks, sizes=runs.select("run_id", F.col("n").alias("num_candidates")))
+
+
+def matched_seeds(seeds: DataFrame, target: DataFrame, eligible: DataFrame, repeats: int, pool: int, seed: int) -> DataFrame:
+    """(``run_id``, ``id``): for each repeat of each run (run ids run:repeat) an unused eligible node of like degree for each seed.
+
+    Draws without replacement depend on one another only within a repeat, so each repeat is a group of its own: its
+    seeds with their pools. A seed whose pool is used up gets one twice as large, and the draws are made again; the
+    others keep theirs. A repeat in which a seed finds no node at all gives none.
+    """
+    scratch = Scratch(seeds.sparkSession)
+    size = 2 * pool
+    near = scratch.write(matched_pool(target, eligible, size).withColumn("size", F.lit(size)))
+    reps = seeds.sparkSession.range(repeats).select(F.col("id").alias("rep"))
+    own = seeds.select("run_id", F.col("id").alias("s")).join(F.broadcast(reps)).select(F.concat_ws(":", F.col("run_id").cast("string"), F.col("rep").cast("string")).alias("run"), "rep", "s")
+
+    def draw(rows: pa.Table) -> pa.Table:
+        group = rows.to_pandas()
+        run, rep = group["run"].iloc[0], int(group["rep"].iloc[0])
+        table = lambda ids, short: pa.table({"run_id": pa.array([run] * len(ids), pa.string()), "id": pa.array(ids, pa.string()), "short": pa.array([short] * len(ids), pa.bool_())})
+        used: set = set()
+        for s, mine in group.sort_values(["s", "place"]).groupby("s", sort=True):
+            near_ = [x for x in mine["id"].tolist() if x is not None]
+            free = [x for x in near_ if x not in used][:pool]
+            if len(free) < pool and len(near_) == mine["size"].iloc[0]:
+                return table([s], True)
+            one = draw_matched([(s, free)], seed + rep)
+            if not one:
+                return table([], False)
+            used |= set(one)
+        return table(sorted(used), False)
+
+    while True:
+        with_pools = own.join(near, F.col("s") == F.col("seed_id"), "left").select("run", "rep", "s", "id", "place", "size")
+        drawn = scratch.write(with_pools.groupBy("run").applyInArrow(draw, "run_id string, id string, short boolean"))
+        short = drawn.where("short").select(F.col("id").alias("short_id")).distinct()
+        if not short.limit(1).count():
+            return drawn.select("run_id", "id")
+        size *= 2
+        more = matched_pool(target.join(short, F.col("id") == F.col("short_id"), "left_semi"), eligible, size).withColumn("size", F.lit(size))
+        near = scratch.write(near.join(short, F.col("seed_id") == F.col("short_id"), "left_anti").unionByName(more))
+
+
 def run_holdout(
     edges: DataFrame,
     hits: DataFrame,
@@ -106,34 +171,12 @@ def run_holdout(
         return split.join(reps).select(key.alias("run_id"), "id", "label", "is_seed")
 
     if random_repeats > 0:
-        wide = repeated(random_repeats)
-        order = F.conv(F.substring(C.ordered_hash("run_id", "id", seed=seed + 10_000_000), 1, 13), 16, 10).cast("double")
-        shuffled = deg.select("id").join(wide.select("run_id").distinct()).select("run_id", "id", order.alias("score"))
-        rows = rows.unionByName(nulls(evaluate(shuffled, wide, ks), "random"), allowMissingColumns=True)
+        rows = rows.unionByName(nulls(random_metrics(split, deg.count(), random_repeats, ks, seed + 10_000_000), "random"), allowMissingColumns=True)
     if matched_repeats > 0:
         eligible = deg.join(hits.select(F.col("id").alias("h")), F.col("id") == F.col("h"), "left_anti").join(baits.select(F.col("id").alias("b")), F.col("id") == F.col("b"), "left_anti")
         target = seeds.select("id").distinct().join(deg.select(F.col("id").alias("n"), F.col(by).alias("d")), F.col("id") == F.col("n")).select("id", "d")
-        # The pools of the seeds: as many nodes as any seed before could have used up, besides the pool itself.
-        most = seeds.groupBy("run_id").count().agg(F.max("count")).first()[0] or 0
-        near = matched_pool(target, eligible.select("id", F.col(by).alias("d")), pool + most)
-        pools = {r[0]: [x[1] for x in sorted(r[1])] for r in near.groupBy("seed_id").agg(F.collect_list(F.struct("place", "id"))).collect()}
-        own: dict = {}
-        for r, i in seeds.collect():
-            own.setdefault(r, []).append(i)
-        drawn = []
-        for r, ids in own.items():
-            for rep in range(matched_repeats):
-                used: set = set()
-                for s in sorted(ids):  # without replacement: only the nodes still free count towards a pool
-                    free = [x for x in pools.get(s, []) if x not in used][:pool]
-                    one = draw_matched([(s, free)], seed + 20_000_000 + rep)
-                    if not one:
-                        used = set()
-                        break
-                    used |= set(one)
-                drawn += [(f"{r}:{rep}", x) for x in used]
-        if drawn:
-            null_seeds = edges.sparkSession.createDataFrame(drawn, "run_id string, id string")
+        null_seeds = matched_seeds(seeds, target, eligible.select("id", F.col(by).alias("d")), matched_repeats, pool, seed + 20_000_000)
+        if null_seeds.limit(1).count():
             null_scores = pagerank(edges, uniform_seeds(null_seeds), alpha=alpha, tol=tol, max_iter=max_iter).scores
             tests = repeated(matched_repeats).where("label = 'test_hit'").select("run_id", "id", "label", F.lit(False).alias("is_seed"))
             wide = tests.unionByName(null_seeds.select("run_id", "id", F.lit("null").alias("label"), F.lit(True).alias("is_seed")))
@@ -142,24 +185,34 @@ def run_holdout(
 
 
 def evaluate_graphs(graphs: Mapping[str, DataFrame], seeds: DataFrame, labels: DataFrame, *, k: int = 200, alpha: float = 0.85, tol: float | None = 1e-10, max_iter: int = 500, digits: int | None = None) -> DataFrame:
-    """One row per graph: nodes, seeds, positives and top-k metrics, best average precision first.
+    """One row per graph: nodes, seeds, positives and top-k metrics, best average precision first. All graphs take part in one PageRank.
 
     ``seeds(id, weight)`` weighted, ``labels(id, value)`` positive above 0; both count within the graph. Candidates are all
     nodes but the seeds. A graph without convergence is an error. ``digits`` rounds scores before ranking, so that ties are the
     same however sums run.
     """
-    out = None
-    for name, edges in graphs.items():
-        nodes = edges.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-        s = weighted_seeds(seeds, nodes).withColumn("run_id", F.lit(name))
-        pos = labels.where("value > 0").select(F.col("id").alias("q")).distinct()
-        scores = pagerank(edges, s, alpha=alpha, tol=tol, max_iter=max_iter, start="uniform", stop="n_tol", on_fail="raise").scores
-        marked = scores.join(pos, F.col("id") == F.col("q"), "left").select("run_id", "id", (F.col("score") if digits is None else F.round("score", digits)).alias("score"), F.col("q").isNotNull().alias("hit"))
-        ranked = rank_nodes(marked, exclude=s, hit=F.col("hit"))
-        counts = nodes.agg(F.count(F.lit(1)).alias("n_nodes")).join(s.agg(F.count(F.lit(1)).alias("n_seeds"))).join(ranked.agg(F.coalesce(F.sum("hit"), F.lit(0)).alias("n_pos_eval")))
-        row = top_metrics(ranked, k).withColumnRenamed("run_id", "graph").join(counts)
-        out = row if out is None else out.unionByName(row)
-    if out is None:
+    if not graphs:
         raise ValueError("no graphs")
+    # All graphs side by side: ids carry the graph's name, and each graph is a run.
+    named = lambda name, c: F.concat(F.lit(f"{name}\x1f"), c)
+    edges, known = None, None
+    for name, g in graphs.items():
+        one = g.select(named(name, F.col("u")).alias("u"), named(name, F.col("v")).alias("v"), "w")
+        edges = one if edges is None else edges.unionByName(one)
+        s = weighted_seeds(seeds, g.select(F.explode(F.array("u", "v")).alias("id")).distinct()).select(F.lit(name).alias("run_id"), named(name, F.col("id")).alias("id"), "p")
+        known = s if known is None else known.unionByName(s)
+    scratch = Scratch(seeds.sparkSession)
+    edges, known = scratch.write(edges), scratch.write(known)
+    graph = lambda c: F.substring_index(c, "\x1f", 1)
+    pos = labels.where("value > 0").select(F.col("id").alias("q")).distinct()
+    scores = pagerank(edges, known, alpha=alpha, tol=tol, max_iter=max_iter, start="uniform", stop="n_tol", on_fail="raise", graph_of=graph).scores
+    marked = scores.join(pos, F.substring_index("id", "\x1f", -1) == F.col("q"), "left").select("run_id", "id", (F.col("score") if digits is None else F.round("score", digits)).alias("score"), F.col("q").isNotNull().alias("hit"))
+    ranked = scratch.write(rank_nodes(marked, exclude=known, hit=F.col("hit")))
+    nodes = edges.select(F.explode(F.array("u", "v")).alias("id")).distinct().groupBy(graph(F.col("id")).alias("g1")).agg(F.count(F.lit(1)).alias("n_nodes"))
+    n_seeds = known.groupBy(F.col("run_id").alias("g2")).agg(F.count(F.lit(1)).alias("n_seeds"))
+    n_pos = ranked.groupBy(F.col("run_id").alias("g3")).agg(F.coalesce(F.sum("hit"), F.lit(0)).alias("n_pos_eval"))
+    out = top_metrics(ranked, k).withColumnRenamed("run_id", "graph")
+    for n, g in ((nodes, "g1"), (n_seeds, "g2"), (n_pos, "g3")):
+        out = out.join(n, F.col("graph") == F.col(g)).drop(g)
     score = F.nanvl("auprc", F.lit(None).cast("double"))
     return out.orderBy(score.desc_nulls_last(), F.col("recall_at_k").desc_nulls_last(), "graph")

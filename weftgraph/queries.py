@@ -681,7 +681,7 @@ def folder_eval(spark, d):
 
 @query()
 def holdout_workflow(spark, d):
-    return P.run_holdout(_clean(spark, d), _kind(spark, d, "Isomerase"), _kind(spark, d, "Scaffold"), repeats=2, random_repeats=3, matched_repeats=2, tol=None, max_iter=10, ks=KS)["summary"]
+    return P.run_holdout(_clean(spark, d), _kind(spark, d, "Isomerase"), _kind(spark, d, "Scaffold"), repeats=5, random_repeats=100, matched_repeats=2, tol=None, max_iter=20, ks=KS)["summary"]
 
 
 @query()
