@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.functions.keys import unit_hash
-from weftgraph.session import HOT_KEYS, Scratch, hot_keys, shuffle_partitions
+from weftgraph.session import HOT_KEYS, Scratch, hot_keys, looked_up, shuffle_partitions
 
 
 #: Directed edges of a level for each task.
@@ -38,15 +38,6 @@ def _hop(cold: DataFrame, hot: DataFrame | None, state: DataFrame, hot_ids: list
     return offers.select(F.col("dst").alias("v"), (F.col("val") + 1).alias("val"), "lab")
 
 
-def _looked_up(left: DataFrame, key: str, right: DataFrame, by: str, hot: list, how: str = "inner") -> DataFrame:
-    """``left`` with the row of ``right`` that has its key; ``right`` has one row per key, those of ``hot`` keys (at most HOT_KEYS) go by broadcast."""
-    if not hot:
-        return left.join(right, F.col(key) == F.col(by), how)
-    few = right.where(F.col(by).isin(hot))
-    cold = left.where(~F.col(key).isin(hot)).join(right, F.col(key) == F.col(by), how)
-    return cold.unionByName(left.where(F.col(key).isin(hot)).join(F.broadcast(few), F.col(key) == F.col(by), how))
-
-
 def link_groups(
     pairs: DataFrame,
     a: str,
@@ -142,11 +133,11 @@ def link_groups(
         for level in reversed(levels[1:-1]):
             sizes = level.groupBy("lab").agg(F.count(F.lit(1)).alias("n"))
             up = roots.select(F.col("v").alias("w"), F.col("root").alias("r"))
-            roots = _looked_up(level, "lab", up, "w", hot_keys(sizes, "lab", "n", level.count()), "left").select("v", F.coalesce("r", "lab").alias("root"))
+            roots = looked_up(level, "lab", up, "w", hot_keys(sizes, "lab", "n", level.count()), "left").select("v", F.coalesce("r", "lab").alias("root"))
         named = scratch.write(least.join(roots, least.lab == roots.v, "left").select("lab", "least", F.coalesce("root", "lab").alias("root"), "n"))
         group = named.groupBy("root").agg(F.min("least").alias("group_key"), F.count(F.lit(1)).alias("labels")).withColumnRenamed("root", "r")
-        final = _looked_up(named.select("lab", "root"), "root", group.select("r", "group_key"), "r", hot_keys(group, "r", "labels", named.count())).select(F.col("lab").alias("l"), "group_key")
-    return _looked_up(base, "lab", final, "l", hot_keys(named, "lab", "n", base.count())).select(F.col("key").alias("node_key"), "group_key")
+        final = looked_up(named.select("lab", "root"), "root", group.select("r", "group_key"), "r", hot_keys(group, "r", "labels", named.count())).select(F.col("lab").alias("l"), "group_key")
+    return looked_up(base, "lab", final, "l", hot_keys(named, "lab", "n", base.count())).select(F.col("key").alias("node_key"), "group_key")
 
 
 __all__ = ["HOT_KEYS", "link_groups"]

@@ -24,6 +24,10 @@ def _pattern(folder: str) -> str:
     return module.PATTERN
 
 
+#: Pairs of neighbouring tokens that a worker keeps in mind.
+PAIRS = 1 << 19
+
+
 class BackwardBPE:
     """Exact byte-pair encoding in linear time.
 
@@ -47,7 +51,7 @@ class BackwardBPE:
         for k, v in self.ids.items():
             self.trie.add_word(k, v)
         self.cut = regex.compile(pattern).findall
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[tuple[int, int], bool] = {}  # emptied when it has PAIRS pairs
         self.shorter: dict[int, int] = {}
         self.pieces: dict[str, list[int]] = {}
 
@@ -74,6 +78,8 @@ class BackwardBPE:
         """Whether two tokens may stand next to each other."""
         known = self.fits.get((a, b))
         if known is None:
+            if len(self.fits) > PAIRS:
+                self.fits.clear()
             x, y = self.names[a], self.names[b]
             known = self.fits[a, b] = self.merged(x + y) == [x, y]
         return known
