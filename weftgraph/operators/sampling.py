@@ -97,7 +97,8 @@ def negative_pairs(edges: DataFrame, n: int, *, seed: int = 0, known: DataFrame
     """
     scratch = Scratch(edges.sparkSession)
     e = scratch.write(edges.select(C.smaller("u", "v").alias("u"), C.larger("u", "v").alias("v")).where("u <> v").distinct())
-    ends = scratch.write(_positions(e.select(F.explode(F.array("u", "v")).alias("x"), "u", "v"), seed, "x", "u", "v").select("x", "at"))
+    ends = e.select(F.explode(F.array("u", "v")).alias("x"), "u", "v").select("x", F.xxhash64("x", "u", "v", F.lit(seed)).alias("h"))
+    ends = number_rows(ends, "h", "x").select("x", "at")
     total = ends.count()
     taken = e if known is None else e.unionByName(known.select(C.smaller("u", "v").alias("u"), C.larger("u", "v").alias("v"))).distinct()
     taken = taken.select(F.col("u").alias("a"), F.col("v").alias("b"))
