@@ -548,12 +548,14 @@ def restore(text: str) -> tuple[bool, str]:
 def garbled_texts(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(``doc_id``, ``restored``): each text with characters from decoding with a wrong encoding, put back where possible.
 
-    Garbled sequences of all expected characters are precomputed for all pairs of encodings and found by
-    one multi-pattern automaton; only matched spans change, so sound parts stay as they are. Passes repeat
-    until nothing is found, as a text may have been garbled twice. Sequences that sound text can also
-    hold count only beside another. Letters read in another single-byte encoding are found in contexts in
-    which only a letter can stand, by an automaton over a shadow of the text; Cyrillic is told by its letter
-    frequencies. Replacement characters and stray control characters can't be put back but are found.
+    Garbled sequences of all expected characters are precomputed for the readings of UTF-8 and found by
+    one multi-pattern automaton; only matched spans change there, so sound parts stay as they are. Passes repeat
+    until nothing is found, as a text may have been garbled several times. Sequences that sound text can also
+    hold count only beside another, within a word of another script, or where a sure one of the pair is in the text. Letters
+    read in another single-byte encoding are found in contexts in which only a letter can stand, by an automaton
+    over a shadow of the text, if the reading has all characters of the word; sentences that get better by the pair are put back whole.
+    Cyrillic, Greek, Hebrew and Arabic read as Western text are told by their letter frequencies, from runs of
+    three letters on; Cyrillic read as Cyrillic from words of four letters and eight letters together on. Replacement characters and stray control characters can't be put back but are found.
 
     NULL, empty and plain ASCII texts are never garbled; the latter don't leave the JVM. Whole texts are
     read. Repeated rows each come out. Columns that aren't named aren't read.
