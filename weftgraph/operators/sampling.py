@@ -113,6 +113,7 @@ def negative_pairs(edges: DataFrame, n: int, *, seed: int = 0, known: DataFrame
             scratch.drop(out)
         out = new
         missing, done, r = n - out.count(), done + shifts, r + 1
+    scratch.drop(e)
     return _positions(out, seed, "u", "v").where(F.col("at") < n).select("u", "v")
 
 
