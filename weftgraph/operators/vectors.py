@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,6 +16,7 @@ from pyspark.sql.window import Window
 from weftgraph.functions import columns as C
 from weftgraph.operators.edges import undirected_max
 from weftgraph.operators.ranking import exact_quantiles, number_rows, running_sum
+from weftgraph.session import Scratch, shuffle_partitions
 
 
 def _rows(column: pa.Array) -> np.ndarray:
@@ -22,79 +25,130 @@ def _rows(column: pa.Array) -> np.ndarray:
     return v / (np.sqrt((v * v).sum(axis=1, keepdims=True)) + 1e-12)
 
 
-def top_candidates(anchors: DataFrame, vectors: DataFrame, m: int, *, block_bytes: int = 16 << 20) -> DataFrame:
+#: Vectors read at once, anchors that meet them in one product, and anchors and places of lists that a task holds.
+CHUNK, TILE, BLOCK, PLACES = 4096, 512, 8192, 1 << 20
+
+
+def _chunks(folder: str, part: int, parts: int, columns: list[str]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Rows of the files of a table in the shared folder, and the number of the first; every ``parts``-th file. Numbers rise in the order of files and rows."""
+    fs, path = pyarrow.fs.FileSystem.from_uri(folder)
+    names = sorted(x.path for x in fs.get_file_info(pyarrow.fs.FileSelector(path)) if x.path.endswith(".parquet"))
+    for i in range(part, len(names), parts):
+        at = i << 32
+        with fs.open_input_file(names[i]) as f:
+            for b in pq.ParquetFile(f).iter_batches(CHUNK, columns=columns, use_threads=False):
+                yield at, b
+                at += b.num_rows
+
+
+def _best(names: pa.Array, q: np.ndarray, m: int, read: Callable[[list[str]], Iterator[tuple[int, pa.RecordBatch]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Anchor, number of the vector and exact cosine of the ``m`` most similar of each anchor, in order.
+
+    Products are made in single precision, and what they can't rule out by the bound of their error is computed again in double precision.
+    """
+    n, error = len(q), (q.shape[1] + 8) * 2.0**-23
+    single, floor = q.astype(np.float32), np.full(n, -np.inf, np.float32)
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    size = 0
+
+    def settle() -> None:
+        """Keep the first m of each anchor by similarity, ties by number."""
+        nonlocal size
+        a, k, c = (np.concatenate(x) for x in zip(*held))
+        key = np.round(c, 12)
+        order = np.lexsort((k, -key, a))
+        order = order[np.arange(len(a)) - np.searchsorted(a[order], a[order], "left") < m]
+        a, k, c, key = a[order], k[order], c[order], key[order]
+        full = np.flatnonzero(np.bincount(a, minlength=n) >= m)
+        least = key[np.searchsorted(a, full, "right") - 1]
+        floor[full] = np.maximum(floor[full], (least - 2 * error).astype(np.float32))
+        held[:] = [(a, k, c)]
+        size = len(a)
+
+    for first, b in read(["id", "emb"]):
+        v = _rows(b.column(1))
+        v32 = np.ascontiguousarray(v.T, np.float32)
+        own = pc.index_in(b.column(0), value_set=names).fill_null(-1).to_numpy(zero_copy_only=False)
+        for lo in range(0, n, TILE):
+            s = single[lo : lo + TILE] @ v32
+            mine = np.flatnonzero((own >= lo) & (own < lo + TILE))
+            s[own[mine] - lo, mine] = -np.inf
+            least = floor[lo : lo + TILE]
+            if s.shape[1] > m and np.isneginf(least).any():
+                np.maximum(least, np.partition(s, s.shape[1] - m, axis=1)[:, s.shape[1] - m] - np.float32(3 * error), out=least)
+            a, col = np.divmod(np.flatnonzero(s > least[:, None]), s.shape[1])
+            a += lo
+            c = np.concatenate([np.zeros(0), *[np.einsum("ij,ij->i", q[a[i : i + CHUNK]], v[col[i : i + CHUNK]]) for i in range(0, len(a), CHUNK)]])
+            held.append((a, first + col, c))
+            size += len(a)
+            if size > 2 * m * n + 16 * CHUNK:
+                settle()
+    settle()
+    return held[0]
+
+
+def top_candidates(anchors: DataFrame, vectors: DataFrame, m: int, *, block_bytes: int = 16 << 20, positive: int | None = None) -> DataFrame:
     """(``u``, ``v``, ``c``): the ``m`` most similar vectors of each anchor by cosine, itself excluded, ties by id.
 
-    ``anchors(id, emb)`` is a stated query set, ``vectors(id, emb)`` all rows, of one length and without NULL
-    (see ``usable_vectors``). Anchors go out in blocks of at most ``block_bytes``; each block makes one pass
-    over the vectors with matrix products, and every task keeps a running best ``m`` per anchor and gives them out
-    at its end, so what is shuffled is one top list for each task and not the pairs. The work is anchors times vectors by definition; where that is
-    too much, an approximate index belongs in its place.
+    ``anchors(id, emb)`` is a stated query set with each id once, ``vectors(id, emb)`` all rows, of one length and without NULL
+    (see ``usable_vectors``). With ``positive`` an anchor that has so many similarities above 0 gives these only: no more count where
+    weights rise with the similarity.
+
+    The vectors are sorted by id into a table in the shared folder. Tasks split the anchors, and each reads this table in chunks
+    against blocks of its anchors, of at most ``block_bytes``, with running lists, so that what a task holds is bounded by the chunk, the block and its lists, and what
+    it gives out is complete. Where the anchors are too few for all tasks, files are split too, and the lists of the parts are joined.
+    The work is anchors times vectors by definition; where that is too much, an approximate index belongs in its place.
     """
-    schema = "u string, v string, c double"
-
-    def search(block: tuple[list[str], np.ndarray]):
-        def run(batches: Iterator[pa.RecordBatch], shared=vectors.sparkSession.sparkContext.broadcast(block)) -> Iterator[pa.RecordBatch]:
-            names, q = shared.value
-            held: list[pa.Table] = []
-            size, least = 0, np.full(len(names), -np.inf)
-
-            def best() -> pa.Table:
-                """The first m of each anchor by similarity, ties by id."""
-                t = pa.concat_tables(held)
-                order = pc.sort_indices(t, [("a", "ascending"), ("key", "descending"), ("v", "ascending")])
-                t = t.take(order)
-                a = t["a"].to_numpy()
-                t = t.filter(pa.array(np.arange(len(a)) - np.searchsorted(a, a, "left") < m))
-                a = t["a"].to_numpy()
-                full = np.flatnonzero(np.bincount(a, minlength=len(names)) >= m)
-                least[full] = t["key"].to_numpy()[np.searchsorted(a, full, "right") - 1]
-                return t
-
-            for b in batches:
-                for lo in range(0, b.num_rows, 4096):
-                    part = b.slice(lo, 4096)
-                    ids = part.column(0)
-                    s = q @ _rows(part.column(1)).T
-                    key = np.round(s, 12)
-                    if s.shape[1] > m:  # all that tie with the last place stay in
-                        floor = np.maximum(least, np.partition(key, s.shape[1] - m - 1, axis=1)[:, s.shape[1] - m - 1])
-                    else:
-                        floor = least
-                    a, col = np.nonzero(key >= floor[:, None])
-                    v = ids.take(pa.array(col))
-                    other = pc.not_equal(v, pa.array(names, pa.string()).take(pa.array(a)))
-                    held.append(pa.table({"a": a, "v": v, "c": s[a, col], "key": key[a, col]}).filter(other))
-                    size += held[-1].num_rows
-                    if size > 4 * m * len(names) + 4096:
-                        held = [best()]
-                        size = held[0].num_rows
-            if size:
-                t = best().combine_chunks()
-                for x in pa.table({"u": pa.array(names, pa.string()).take(t["a"].combine_chunks()), "v": t["v"].cast(pa.string()), "c": t["c"]}).to_batches(1 << 14):
-                    yield x
-
-        return run
-
-    found, ids, rows, held = None, [], [], 0
-
-    def flush(found: DataFrame | None) -> DataFrame:
-        q = np.array(rows, np.float64)
-        q /= np.sqrt((q * q).sum(axis=1, keepdims=True)) + 1e-12
-        one = vectors.select("id", "emb").mapInArrow(search((list(ids), q)), schema)
-        return one if found is None else found.unionByName(one)
-
-    for name, emb in anchors.select("id", "emb").toLocalIterator():
-        ids.append(name)
-        rows.append(emb)
-        held += 8 * len(emb)
-        if held >= block_bytes:
-            found = flush(found)
-            ids, rows, held = [], [], 0
-    if ids:
-        found = flush(found)
-    if found is None:
-        return vectors.sparkSession.createDataFrame([], schema)
+    spark = vectors.sparkSession
+    scratch, width = Scratch(spark), shuffle_partitions(spark)
+    table = scratch.write(vectors.select("id", "emb").repartitionByRange(width, "id").sortWithinPartitions("id"))
+    folder = scratch.path(table)
+    few = table if anchors is vectors else scratch.write(anchors.select("id", "emb"))
+    parts = max(1, width // max(1, few.count() // TILE))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def lists(rows: pa.Table, part: int) -> Iterator[pa.RecordBatch]:
+            names, q = rows["id"].combine_chunks(), _rows(rows["emb"].combine_chunks())
+            read = lambda columns: _chunks(folder, part, parts, columns)
+            some = m if positive is None or parts > 1 else min(m, positive)
+            a, k, c = _best(names, q, some, read)
+            if some < m:  # the others need all their candidates
+                less = np.bincount(a[np.round(c, 12) > 0], minlength=len(q)) < some
+                a, k, c = (x[~less[a]] for x in (a, k, c))
+                rest = np.flatnonzero(less)
+                for lo in range(0, len(rest), max(64, PLACES // m)):
+                    at = rest[lo : lo + max(64, PLACES // m)]
+                    x, y, z = _best(names.take(pa.array(at)), q[at], m, read)
+                    a, k, c = np.concatenate([a, at[x]]), np.concatenate([k, y]), np.concatenate([c, z])
+            order = np.argsort(k, kind="stable")
+            a, k, c = a[order], k[order], c[order]
+            for first, b in read(["id"]):
+                lo, hi = np.searchsorted(k, [first, first + b.num_rows])
+                if hi > lo:
+                    v = b.column(0).take(pa.array(k[lo:hi] - first))
+                    yield from pa.table({"u": names.take(pa.array(a[lo:hi])), "v": v, "c": c[lo:hi]}, schema=pa.schema([("u", pa.string()), ("v", pa.string()), ("c", pa.float64())])).to_batches(1 << 14)
+
+        held: list[pa.RecordBatch] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(held)
+            held.clear()
+            for part in pc.unique(t["part"]).to_pylist():
+                yield from lists(t.filter(pc.equal(t["part"], part)), part)
+
+        for b in batches:
+            block = max(1, min(BLOCK, PLACES // m, block_bytes * b.num_rows // max(1, 8 * len(b.column(1).flatten())))) if b.num_rows else 1
+            for lo in range(0, b.num_rows, min(TILE, block)):
+                held.append(b.slice(lo, min(TILE, block)))
+                if sum(x.num_rows for x in held) >= block:
+                    yield from flush()
+        if held:
+            yield from flush()
+
+    ways = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    found = few.select("id", "emb", ways.alias("part")).repartition(width, "part", "id").mapInArrow(search, "u string, v string, c double")
+    if parts == 1:
+        return found
     best = Window.partitionBy("u").orderBy(F.round("c", 12).desc(), F.col("v"))
     return found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= m).select("u", "v", "c")
 
@@ -139,7 +193,7 @@ def best_edges(weighted: DataFrame, m: int, *, positive: bool = True) -> DataFra
 
 def knn_graph(anchors: DataFrame, vectors: DataFrame, *, cand_m: int = 500, topm: int = 20, weight: str = "cos_pos", tau: float = 0.1) -> DataFrame:
     """(``u``, ``v``, ``w``): candidates by cosine, weighted (``cos_pos`` or ``row_softmax`` over all candidates), the best kept, undirected."""
-    cands = top_candidates(anchors, vectors, cand_m)
+    cands = top_candidates(anchors, vectors, cand_m, positive=None if weight == "row_softmax" else topm)
     return best_edges(softmax_weight(cands, tau) if weight == "row_softmax" else positive_cosine(cands), topm)
 
 

@@ -69,6 +69,10 @@ class Scratch:
         self._path[id(back)] = (path, back)
         return back
 
+    def path(self, df: DataFrame) -> str:
+        """The folder of a table made by ``write``."""
+        return self._path[id(df)][0]
+
     def drop(self, df: DataFrame) -> None:
         """Delete a table made by ``write`` that nothing reads any more."""
         path, _ = self._path.pop(id(df), (None, None))
