@@ -7,11 +7,12 @@ they have the shape of the model scores and none of their meaning.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
@@ -19,7 +20,8 @@ from pyspark.sql.types import ArrayType, DoubleType
 from weftgraph.functions import columns as C
 from weftgraph.functions.keys import once
 from weftgraph.operators.edges import merge_max
-from weftgraph.operators.vectors import anchor_minmax, anchor_sigmoid_z, best_edges, top_candidates
+from weftgraph.operators.vectors import anchor_minmax, anchor_sigmoid_z, best_edges, chunks, top_candidates
+from weftgraph.session import Scratch
 
 DIMENSIONS = 32
 
@@ -44,12 +46,6 @@ def _mers(chars: str, k: int) -> Column:
     return F.when(n >= k, F.transform(at, lambda i: F.concat(*[F.get(chars, i + j) for j in range(k)]))).otherwise(F.array().cast("array<string>"))
 
 
-def _sets(seqs: DataFrame, k: int = 3) -> DataFrame:
-    """(``id``, ``x``): distinct k-mers of each sequence, once for each and not for each pair."""
-    chars = once(seqs.where("seq is not null"), "id", chars=F.split("seq", ""))
-    return chars.select("id", F.array_distinct(_mers("chars", k)).alias("x"))
-
-
 def _overlap(x: str, y: str) -> Column:
     """Stand-in pair score: shared over all distinct k-mers; 0 if there are none."""
     both = F.size(F.array_intersect(x, y))
@@ -57,6 +53,121 @@ def _overlap(x: str, y: str) -> Column:
     return F.when(all_ > 0, both / all_).otherwise(F.lit(0.0))
 
 
+#: Codes of sets that are searched at once, bytes of their bits, and pairs.
+CODES, BITS, PAIRS = 8 << 20, 64 << 20, 1 << 20
+
+
+def _coded_sets(seqs: DataFrame, k: int = 3) -> DataFrame:
+    """(``id``, ``n``, ``x``): the number of distinct k-mers of each sequence, and they as numbers, 21 bits for each character, so ``k`` is 3 at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for text in b.column(1).to_pylist():
+                points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+                out.append(np.unique(sum(points[j : len(points) - k + 1 + j] << (21 * (k - 1 - j)) for j in range(k))) if len(points) >= k else np.zeros(0, np.int64))
+            yield pa.record_batch({"id": b.column(0).cast(pa.string()), "n": pa.array([len(x) for x in out], pa.int64()), "x": pa.array(out, pa.list_(pa.int64()))})
+
+    return seqs.where("seq is not null").select("id", "seq").mapInArrow(run, "id string, n long, x array<long>")
+
+
+def _shared(folder: str, u: pa.Array, v: pa.Array, most_codes: int, most_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the pairs have both sets, and the share that these have in common. Sets are read in chunks; those of ``u`` are held in parts of about ``most_codes`` codes and ``most_bits`` bytes."""
+    read = lambda columns: (b for _, b in chunks(folder, 0, 1, columns, 1024))
+    names, other = u.unique(), v.unique()
+    a, b = (pc.index_in(x, value_set=y).to_numpy() for x, y in ((u, names), (v, other)))
+    sizes = [np.full(len(x), -1) for x in (names, other)]
+    for rows in read(["id", "n"]):
+        n = rows.column(1).to_numpy()
+        for x, size in zip((names, other), sizes):
+            at = pc.index_in(rows.column(0), value_set=x).fill_null(-1).to_numpy()
+            size[at[at >= 0]] = n[at >= 0]
+    both = np.flatnonzero((sizes[0][a] >= 0) & (sizes[1][b] >= 0))
+    score = np.zeros(len(u))
+
+    def part(of: np.ndarray) -> None:
+        """Scores of the pairs of these sequences."""
+        some = names.take(pa.array(of))
+        got = [np.zeros(0, np.int64)] * len(of)
+        for rows in read(["id", "x"]):
+            at = pc.index_in(rows.column(0), value_set=some).fill_null(-1).to_numpy()
+            flat, ends = rows.column(1).flatten().to_numpy(), np.concatenate([[0], np.cumsum(pc.list_value_length(rows.column(1)).to_numpy())])
+            for i in np.flatnonzero(at >= 0):
+                got[at[i]] = flat[ends[i] : ends[i + 1]].copy()  # a view would hold the whole chunk
+        pa.default_memory_pool().release_unused()
+        words = np.unique(np.concatenate(got))
+        width = -(-max(1, len(words)) // 64) * 64
+        if len(of) > 1 and len(of) * width // 8 > most_bits:
+            part(of[: len(of) // 2])
+            part(of[len(of) // 2 :])
+            return
+        step = max(1, (most_bits // 4) // width)
+
+        def bits(sets: list[np.ndarray]) -> np.ndarray:
+            out = np.zeros((len(sets), width // 64), np.uint64)
+            for lo in range(0, len(sets), step):
+                few = sets[lo : lo + step]
+                row, code = np.repeat(np.arange(len(few)), [len(x) for x in few]), np.concatenate(few)
+                at = np.minimum(np.searchsorted(words, code), len(words) - 1)
+                there = words[at] == code
+                m = np.zeros((len(few), width), bool)
+                m[row[there], at[there]] = True
+                out[lo : lo + step] = np.packbits(m, axis=1).view(np.uint64)
+            return out
+
+        place = np.full(len(names), -1)
+        place[of] = np.arange(len(of))
+        mine = both[place[a[both]] >= 0]
+        mine = mine[np.argsort(b[mine], kind="stable")]
+        if not len(words):
+            return
+        left = bits(got)
+        for rows in read(["id", "x"]):
+            at = pc.index_in(rows.column(0), value_set=other).fill_null(-1).to_numpy()
+            flat, ends = rows.column(1).flatten().to_numpy(), np.concatenate([[0], np.cumsum(pc.list_value_length(rows.column(1)).to_numpy())])
+            here = np.flatnonzero(at >= 0)
+            for lo in range(0, len(here), step):
+                few = here[lo : lo + step]
+                right = bits([flat[ends[i] : ends[i + 1]] for i in few])
+                first, last = np.searchsorted(b[mine], at[few], "left"), np.searchsorted(b[mine], at[few], "right")
+                pairs, row = np.concatenate([mine[x:y] for x, y in zip(first, last)]), np.repeat(np.arange(len(few)), last - first)
+                for x in range(0, len(pairs), 2048):
+                    score[pairs[x : x + 2048]] = np.bitwise_count(left[place[a[pairs[x : x + 2048]]]] & right[row[x : x + 2048]]).sum(axis=1)
+
+    of = np.unique(a[both])
+    for x in np.split(of, np.flatnonzero(np.diff(np.cumsum(sizes[0][of]) // most_codes)) + 1):
+        if len(x):
+            part(x)
+    all_ = sizes[0][a[both]] + sizes[1][b[both]] - score[both]
+    return both, np.divide(score[both], all_, out=np.zeros(len(both)), where=all_ > 0)
+
+
+def _kmer_scores(pairs: DataFrame, seqs: DataFrame) -> DataFrame:
+    """Stand-in pair score: shared over all distinct 3-mers. The sets are a table in the shared folder, which tasks read in chunks; a pair moves as two ids and never with its sets."""
+    scratch = Scratch(pairs.sparkSession)
+    folder = scratch.path(scratch.write(_coded_sets(seqs)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(held).combine_chunks()
+            held.clear()
+            u, v = (t[x].combine_chunks() for x in ("u", "v"))
+            at, c = _shared(folder, u, v, CODES, BITS)
+            yield from pa.table({"u": u.take(pa.array(at)), "v": v.take(pa.array(at)), "c": c}).to_batches(1 << 14)
+
+        for b in batches:
+            if b.num_rows:
+                held.append(b)
+            if sum(x.num_rows for x in held) >= PAIRS:
+                yield from flush()
+        if held:
+            yield from flush()
+
+    return pairs.select("u", "v").where("u is not null and v is not null").mapInArrow(run, "u string, v string, c double")
+
+
 def kmer_likelihood(df: DataFrame, text: Column, *keep: str, k: int = 2, sample: int = 0, seed: int = 0) -> DataFrame:
     """``keep`` and ``l``, a stand-in for a mean log-probability: minus the logarithm of the distinct k-mers (plus one) over the length; 0 for shorter texts.
 
@@ -100,9 +211,7 @@ def _joined(pairs: DataFrame, seqs: DataFrame) -> DataFrame:
 def score_pairs(pairs: DataFrame, seqs: DataFrame, scorer: Callable[[list[str], list[str]], list[float]] | None = None, batch: int = 64) -> DataFrame:
     """(``u``, ``v``, ``c``): score of the sequences of each pair by ``scorer``, at most ``batch`` pairs at once; shared k-mers without one."""
     if scorer is None:
-        x = _sets(seqs)
-        a, b = x.select(F.col("id").alias("ia"), F.col("x").alias("xa")), x.select(F.col("id").alias("ib"), F.col("x").alias("xb"))
-        return pairs.join(a, F.col("u") == F.col("ia")).join(b, F.col("v") == F.col("ib")).select("u", "v", _overlap("xa", "xb").alias("c"))
+        return _kmer_scores(pairs, seqs)
 
     def call(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([s for lo in range(0, len(x), batch) for s in scorer(x[lo : lo + batch].tolist(), y[lo : lo + batch].tolist())], dtype="float64")
@@ -150,7 +259,8 @@ def pair_score_graph(vectors: DataFrame, seqs: DataFrame, *, method: str = "coup
 
     ``method`` is ``coupling``, ``likelihood`` or ``masked``, or ``scorer`` scores; ``norm`` is ``clip01``, ``minmax`` or ``sigmoid_z``.
     """
-    cands = top_candidates(vectors, vectors, cand_m).select("u", "v")
+    known = seqs.select(F.col("id").alias("known"))  # pairs of an anchor without a sequence would drop out after the search
+    cands = top_candidates(vectors.join(known, F.col("id") == F.col("known"), "left_semi"), vectors, cand_m).select("u", "v")
     score = {"coupling": score_pairs, "likelihood": likelihood_gain, "masked": masked_coupling}[method]
     scored = score_pairs(cands, seqs, scorer) if scorer else score(cands, seqs)
     scored = scored.where(~F.isnan("c"))

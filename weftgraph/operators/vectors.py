@@ -29,14 +29,14 @@ def _rows(column: pa.Array) -> np.ndarray:
 CHUNK, TILE, BLOCK, PLACES = 4096, 512, 8192, 1 << 20
 
 
-def _chunks(folder: str, part: int, parts: int, columns: list[str]) -> Iterator[tuple[int, pa.RecordBatch]]:
+def chunks(folder: str, part: int, parts: int, columns: list[str], rows: int = CHUNK) -> Iterator[tuple[int, pa.RecordBatch]]:
     """Rows of the files of a table in the shared folder, and the number of the first; every ``parts``-th file. Numbers rise in the order of files and rows."""
     fs, path = pyarrow.fs.FileSystem.from_uri(folder)
     names = sorted(x.path for x in fs.get_file_info(pyarrow.fs.FileSelector(path)) if x.path.endswith(".parquet"))
     for i in range(part, len(names), parts):
         at = i << 32
         with fs.open_input_file(names[i]) as f:
-            for b in pq.ParquetFile(f).iter_batches(CHUNK, columns=columns, use_threads=False):
+            for b in pq.ParquetFile(f).iter_batches(rows, columns=columns, use_threads=False):
                 yield at, b
                 at += b.num_rows
 
@@ -109,7 +109,7 @@ def top_candidates(anchors: DataFrame, vectors: DataFrame, m: int, *, block_byte
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def lists(rows: pa.Table, part: int) -> Iterator[pa.RecordBatch]:
             names, q = rows["id"].combine_chunks(), _rows(rows["emb"].combine_chunks())
-            read = lambda columns: _chunks(folder, part, parts, columns)
+            read = lambda columns: chunks(folder, part, parts, columns)
             some = m if positive is None or parts > 1 else min(m, positive)
             a, k, c = _best(names, q, some, read)
             if some < m:  # the others need all their candidates
