@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -12,10 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.functions import columns as C
-from weftgraph.operators.graph import degrees
-from weftgraph.operators.ppr import pagerank, uniform_seeds
+from weftgraph.operators.ppr import pagerank
 from weftgraph.operators.ranking import aggregate_rows, rank_nodes, ranking_metrics, repeat_means, top_metrics
 from weftgraph.operators.sampling import draw_matched, holdout, matched_pool
+from weftgraph.operators.walks import Blocks
 from weftgraph.session import Scratch
 
 
@@ -144,43 +144,55 @@ def run_holdout(
     PageRank from nodes of like degree). All repeats of a method are one job. Hits outside the graph don't count;
     no hit, or a single one without forced baits, is an error.
     """
-    deg = degrees(edges).cache()
+    blocks = Blocks(edges)
+    by = "weighted_degree" if weighted else "degree"
+    deg = blocks.nodes
     inside = lambda x: x.select("id").distinct().join(deg.select(F.col("id").alias("n")), F.col("id") == F.col("n"), "left_semi")
-    hits, baits = inside(hits), inside(baits)
+    hits, baits = blocks.scratch.write(inside(hits)), blocks.scratch.write(inside(baits))
     n_hits = hits.count()
     if n_hits == 0 or (n_hits == 1 and not force):
         raise ValueError("too few hits in the graph")
-    split = holdout(hits, baits, repeats, fraction=fraction, seed=seed, force=force).cache()
+    split = blocks.scratch.write(holdout(hits, baits, repeats, fraction=fraction, seed=seed, force=force))
     seeds = split.where("is_seed").select("run_id", "id")
-    runs = seeds.select("run_id").distinct()
-    ppr = pagerank(edges, uniform_seeds(seeds), alpha=alpha, tol=tol, max_iter=max_iter).scores.cache()
-    by = "weighted_degree" if weighted else "degree"
-    degree_scores = deg.select("id", F.col(by).cast("double").alias("score")).join(runs).select("run_id", "id", "score")
-    rows = evaluate(ppr, split, ks).withColumn("method", F.lit("ppr"))
-    rows = rows.unionByName(evaluate(degree_scores, split, ks).withColumn("method", F.lit("degree")))
-    names = [c for c in rows.columns if c not in ("run_id", "method")]
+    runs = [r[0] for r in seeds.select("run_id").distinct().orderBy("run_id").collect()]  # as many as the caller asks for
+    names, null_seeds = [str(r) for r in runs], None
+    if matched_repeats > 0:
+        eligible = deg.join(hits.select(F.col("id").alias("h")), F.col("id") == F.col("h"), "left_anti").join(baits.select(F.col("id").alias("b")), F.col("id") == F.col("b"), "left_anti")
+        target = seeds.select("id").distinct().join(deg.select(F.col("id").alias("n"), F.col(by).alias("d")), F.col("id") == F.col("n")).select("id", "d")
+        null_seeds = matched_seeds(seeds, target, eligible.select("id", F.col(by).alias("d")), matched_repeats, pool, seed + 20_000_000)
+        names += [r[0] for r in null_seeds.select("run_id").distinct().orderBy("run_id").collect()]
+    # The runs and their null ones go together.
+    numbers = edges.sparkSession.createDataFrame(list(enumerate(names)), "run long, name string")
+    numbered = lambda x: x.join(F.broadcast(numbers), F.col("run_id").cast("string") == F.col("name")).select("run", "id")
     key = F.concat_ws(":", F.col("run_id").cast("string"), F.col("rep").cast("string"))
+    all_seeds, tests = seeds.select(F.col("run_id").cast("string"), "id"), split.where("label = 'test_hit'").select(F.col("run_id").cast("string"), "id")
+    if null_seeds is not None:
+        reps = edges.sparkSession.range(matched_repeats).select(F.col("id").alias("rep"))
+        all_seeds, tests = all_seeds.unionByName(null_seeds), tests.unionByName(tests.join(reps).select(key.alias("run_id"), "id"))
+    all_seeds, tests = blocks.scratch.write(numbered(all_seeds)), blocks.scratch.write(numbered(tests))
+    state, ends = blocks.walk(all_seeds, len(names), alpha=alpha, tol=tol, max_iter=max_iter)
+    sizes = all_seeds.distinct().groupBy("run").agg((F.lit(blocks.n) - F.count(F.lit(1))).alias("num_candidates")).join(numbers, "run").select(F.col("name").alias("run_id"), "num_candidates")
+
+    def metrics(score: Callable[[int, int], np.ndarray], n: int) -> DataFrame:
+        some = F.col("run") < n
+        ranked = blocks.scratch.write(blocks.ranked(score, n, all_seeds.where(some), tests.where(some))).join(F.broadcast(numbers), "run").select(F.col("name").alias("run_id"), "rank", "hit", "hits")
+        return ranking_metrics(ranked, ks, sizes=sizes.where(F.col("run_id").isin(names[:n])))
+
+    walked = metrics(blocks.scores_of(state, ends), len(names))
+    own = lambda df, method: df.where(F.col("run_id").isin(names[: len(runs)])).withColumn("run_id", F.col("run_id").cast("int")).withColumn("method", F.lit(method))
+    rows = own(walked, "ppr").unionByName(own(metrics(blocks.values_of(by), len(runs)), "degree"))
+    columns = [c for c in rows.columns if c not in ("run_id", "method")]
 
     def nulls(many: DataFrame, method: str) -> DataFrame:
         """Means over the repeats of each run; ``many`` has run ids run:repeat."""
         got = many.withColumn("run_id", F.split("run_id", ":")[0].cast("int"))
-        return repeat_means(got, ["run_id"], names).withColumn("method", F.lit(method))
-
-    def repeated(n: int) -> DataFrame:
-        reps = edges.sparkSession.range(n).select(F.col("id").alias("rep"))
-        return split.join(reps).select(key.alias("run_id"), "id", "label", "is_seed")
+        return repeat_means(got, ["run_id"], columns).withColumn("method", F.lit(method))
 
     if random_repeats > 0:
-        rows = rows.unionByName(nulls(random_metrics(split, deg.count(), random_repeats, ks, seed + 10_000_000), "random"), allowMissingColumns=True)
-    if matched_repeats > 0:
-        eligible = deg.join(hits.select(F.col("id").alias("h")), F.col("id") == F.col("h"), "left_anti").join(baits.select(F.col("id").alias("b")), F.col("id") == F.col("b"), "left_anti")
-        target = seeds.select("id").distinct().join(deg.select(F.col("id").alias("n"), F.col(by).alias("d")), F.col("id") == F.col("n")).select("id", "d")
-        null_seeds = matched_seeds(seeds, target, eligible.select("id", F.col(by).alias("d")), matched_repeats, pool, seed + 20_000_000)
-        if null_seeds.limit(1).count():
-            null_scores = pagerank(edges, uniform_seeds(null_seeds), alpha=alpha, tol=tol, max_iter=max_iter).scores
-            tests = repeated(matched_repeats).where("label = 'test_hit'").select("run_id", "id", "label", F.lit(False).alias("is_seed"))
-            wide = tests.unionByName(null_seeds.select("run_id", "id", F.lit("null").alias("label"), F.lit(True).alias("is_seed")))
-            rows = rows.unionByName(nulls(evaluate(null_scores, wide, ks), "degree_matched"), allowMissingColumns=True)
+        rows = rows.unionByName(nulls(random_metrics(split, blocks.n, random_repeats, ks, seed + 10_000_000), "random"), allowMissingColumns=True)
+    if len(names) > len(runs):
+        rows = rows.unionByName(nulls(walked.where(F.col("run_id").contains(":")), "degree_matched"), allowMissingColumns=True)
+    ppr = blocks.scores(state, ends[: len(runs)], edges.sparkSession.createDataFrame(list(enumerate(runs)), "run long, run_id int"))
     return {"rows": rows, "summary": aggregate_rows(rows, ["method"], ["run_id"]), "split": split, "scores": score_rows(ppr, split, baits)}
 
 
