@@ -52,7 +52,8 @@ class Blocks:
         spark = self.spark = edges.sparkSession
         self.scratch = Scratch(spark)
         self.root = f"{self.scratch.root}/blocks"
-        adj = adjacency(self.scratch.write(edges.select("u", "v", "w")))
+        edges = self.scratch.write(edges.select("u", "v", "w"))
+        adj = adjacency(edges)
         deg = adj.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("weighted_degree"), F.count(F.lit(1)).alias("degree"))
         nodes = self.nodes = self.scratch.write(number_rows(deg, "id").withColumnRenamed("at", "node"))
         self.n, total = nodes.agg(F.count(F.lit(1)), F.sum("degree")).first()
@@ -61,16 +62,18 @@ class Blocks:
         self.hot = hot = [x for x in hot if x[1] > 1]
         copies = F.least(F.lit(parts), F.ceil(F.col("degree") / HOT_EDGES)).cast("int").alias("copies")
         self.copies = nodes.select("id", "node", copies)
-        of = nodes.where("weighted_degree > 0").select(F.col("id").alias("f"), F.col("node").alias("s"), "weighted_degree", copies)
-        to = nodes.select(F.col("id").alias("t"), F.col("node").alias("dst"))
-        steps = adj.where("w > 0").withColumnRenamed("dst", "dst_id").join(of, F.col("src") == F.col("f")).join(to, F.col("dst_id") == F.col("t"))
+        # The edges are joined with their ends before they are doubled.
+        end = lambda x: nodes.select(F.col("id").alias(f"{x}_id"), F.struct("node", "weighted_degree", copies).alias(x))
+        both = edges.where("w > 0").join(end("a"), F.col("u") == F.col("a_id")).join(end("b"), F.col("v") == F.col("b_id"))
+        way = lambda x, y: F.struct(F.col(f"{x}.node").alias("s"), F.col(f"{y}.node").alias("dst"), F.col("w"), F.col(f"{x}.weighted_degree").alias("weighted_degree"), F.col(f"{x}.copies").alias("copies"))
+        steps = both.select(F.inline(F.array(way("a", "b"), way("b", "a")))).where("weighted_degree > 0")
         part = F.pmod(F.col("s") + F.pmod(F.xxhash64("dst"), F.col("copies")), F.lit(parts)).cast("int").alias("part")
         root, slots = self.root, self.slots
 
         def build(rows: pa.Table) -> pa.Table:
             p = rows["part"][0].as_py()
             s, d, share = (rows[c].to_numpy() for c in ("s", "dst", "share"))
-            order = np.argsort(d, kind="stable")
+            order = np.lexsort((s, d))
             s, d, share = s[order], d[order], share[order]
             uniq, starts = np.unique(d, return_index=True)
             sends = []
@@ -135,29 +138,31 @@ class Blocks:
                 given = _load(root, f"{name}-seeds-{p}", none)
                 at = np.flatnonzero((given["run"] >= lo) & (given["run"] < hi))
                 place, lane, share = slots(given["node"][at], p), given["run"][at] - lo, given["p"][at]
-                new, lost = np.zeros((own + extra, width)), np.zeros(width)
+                new, lost = np.zeros((width, own + extra)), np.zeros(width)  # a row for each run: gathering and adding are quickest along a row
                 if i == 0:
-                    new[place, lane] = share
+                    new[lane, place] = share
                 else:
                     for q in range(parts):
                         values, gone = _load(root, f"{name}-{lo}-{i - 1}-{q}-{p}", (None, None)) or (None, None)
                         if values is not None:
-                            new[_load(root, f"slots-{q}-{p}")] += values
+                            there = _load(root, f"slots-{q}-{p}")
+                            for x, more in zip(new, values):
+                                x[there] += more
                         if gone is not None:
                             lost += gone
                     new *= alpha
-                    new[place, lane] += share * ((1 - alpha) + alpha * lost[lane])
+                    new[lane, place] += share * ((1 - alpha) + alpha * lost[lane])
                 rest = np.full(width, np.nan)
                 if tol is not None:
-                    rest = np.abs(new[:own] - _load(root, f"{name}-state-{lo}-{i - 1}-{p}")).sum(axis=0) if i else np.full(width, np.inf)
+                    rest = np.abs(new[:, :own] - _load(root, f"{name}-state-{lo}-{i - 1}-{p}")).sum(axis=1) if i else np.full(width, np.inf)
                 if tol is not None or last:
-                    _save(root, f"{name}-state-{lo}-{i}-{p}", new[:own])
+                    _save(root, f"{name}-state-{lo}-{i}-{p}", new[:, :own])
                 if not last:
                     src, w, starts, sends = _load(root, f"block-{p}", (None, None, None, [None] * parts))
-                    sums = np.add.reduceat(new[src] * w[:, None], starts, axis=0) if src is not None else None
-                    gone = new[_load(root, f"idle-{p}", np.zeros(0, np.int64))].sum(axis=0)
+                    sums = [np.add.reduceat(x[src] * w, starts) for x in new] if src is not None else None
+                    gone = new[:, _load(root, f"idle-{p}", np.zeros(0, np.int64))].sum(axis=1)
                     for t in range(parts):
-                        _save(root, f"{name}-{lo}-{i}-{p}-{t}", (sums[sends[t]] if sums is not None else None, gone))
+                        _save(root, f"{name}-{lo}-{i}-{p}-{t}", (np.stack([x[sends[t]] for x in sums]) if sums is not None else None, gone))
                 yield pa.table({"lane": np.arange(width), "rest": rest})
 
             return run
@@ -200,13 +205,13 @@ class Blocks:
                 x = score(p, r)
                 yield pa.table({"run": np.full(len(x), r), "node": np.arange(len(x)) * parts + p, "score": x})
 
-        got = self.run(read, "run long, node long, score double").withColumnRenamed("run", "r")
+        got = self.run(read, "run long, node long, score double").withColumnRenamed("run", "r").hint("merge")  # by its plan it has a row for each block, and would be broadcast
         return got.join(self.nodes.select("id", F.col("node").alias("k")), F.col("node") == F.col("k")).join(F.broadcast(runs), F.col("r") == F.col("run")).select("run_id", "id", "score")
 
     def scores_of(self, state: str, ends: list[int]) -> Callable[[int, int], np.ndarray]:
         """Reads the scores of a block in a run."""
         root = self.root
-        return lambda p, r: np.ascontiguousarray(_load(root, f"{state}-{r // LANES * LANES}-{ends[r]}-{p}")[:, r % LANES])
+        return lambda p, r: np.ascontiguousarray(_load(root, f"{state}-{r // LANES * LANES}-{ends[r]}-{p}")[r % LANES])
 
     def values_of(self, column: str) -> Callable[[int, int], np.ndarray]:
         """Reads a column of the nodes, the same in all runs."""

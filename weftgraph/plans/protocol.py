@@ -10,13 +10,17 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from weftgraph.functions import columns as C
 from weftgraph.operators.ppr import pagerank
-from weftgraph.operators.ranking import aggregate_rows, rank_nodes, ranking_metrics, repeat_means, top_metrics
-from weftgraph.operators.sampling import draw_matched, holdout, matched_pool
-from weftgraph.operators.walks import Blocks
-from weftgraph.session import Scratch
+from weftgraph.operators.ranking import aggregate_rows, number_rows, rank_nodes, ranking_metrics, repeat_means, top_metrics
+from weftgraph.operators.sampling import draw_matched, holdout
+from weftgraph.operators.walks import Blocks, _load, _save
+from weftgraph.session import Scratch, shuffle_partitions
+
+#: Nodes of a range from which matched seeds are drawn.
+RANGE_NODES = 1 << 17
 
 
 def weighted_seeds(rows: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
@@ -80,44 +84,130 @@ def random_metrics(split: DataFrame, n_nodes: int, repeats: int, ks: Sequence[in
     return ranking_metrics(ranked, ks, sizes=runs.select("run_id", F.col("n").alias("num_candidates")))
 
 
+def draw_nearest(own: Sequence[tuple[str, float, int]], d: Sequence[float], ids: Sequence[str], pool: int, seed: int, first: bool, last: bool) -> list[str] | None:
+    """One of the ``pool`` unused nodes nearest in degree for each of ``own`` (id, degree, nodes below it), by id; ``d`` and ``ids`` by rising degree.
+
+    Empty if a seed finds none; None if a pool might go on beyond the ``first`` or ``last`` node, where these aren't the ends of all nodes.
+    """
+    n, out = len(d), []
+    below: dict[int, int] = {}  # from a used node to where the next unused one may be
+    above: dict[int, int] = {}
+
+    def free(i: int, links: dict[int, int]) -> int:
+        passed = []
+        while i in links:
+            passed.append(i)
+            i = links[i]
+        for x in passed:
+            links[x] = i
+        return i
+
+    for s, target, place in sorted(own):
+        near, lo, hi = [], free(place - 1, below), free(place, above)
+        while len(near) < pool:
+            if (lo < 0 and not first) or (hi >= n and not last):
+                return None
+            if lo < 0 and hi >= n:
+                break
+            if lo >= 0 and (hi >= n or target - d[lo] <= d[hi] - target):
+                near.append(lo)
+                lo = free(lo - 1, below)
+            else:
+                near.append(hi)
+                hi = free(hi + 1, above)
+        names = [ids[x] for x in near]
+        one = draw_matched([(s, names)], seed)
+        if not one:
+            return []
+        x = near[names.index(one[0])]
+        below[x], above[x] = x - 1, x + 1
+        out += one
+    return out
+
+
 def matched_seeds(seeds: DataFrame, target: DataFrame, eligible: DataFrame, repeats: int, pool: int, seed: int) -> DataFrame:
     """(``run_id``, ``id``): for each repeat of each run (run ids run:repeat) an unused eligible node of like degree for each seed.
 
-    Draws without replacement depend on one another only within a repeat, so each repeat is a group of its own: its
-    seeds with their pools. A seed whose pool is used up gets one twice as large, and the draws are made again; the
-    others keep theirs. A repeat in which a seed finds no node at all gives none.
+    Draws without replacement depend on one another only within a repeat and where pools meet. Seeds and nodes are numbered by degree
+    together and cut into ranges between two seeds that are far apart; each range of a run is a group of its own that reads its
+    nodes from the shared folder. A range in which a pool might go on beyond the cut is joined with those beside it and
+    drawn again; the others keep theirs. A repeat in which a seed finds no node at all gives none.
     """
-    scratch = Scratch(seeds.sparkSession)
-    size = 2 * pool
-    near = scratch.write(matched_pool(target, eligible, size).withColumn("size", F.lit(size)))
-    reps = seeds.sparkSession.range(repeats).select(F.col("id").alias("rep"))
-    own = seeds.select("run_id", F.col("id").alias("s")).join(F.broadcast(reps)).select(F.concat_ws(":", F.col("run_id").cast("string"), F.col("rep").cast("string")).alias("run"), "rep", "s")
-
-    def draw(rows: pa.Table) -> pa.Table:
-        group = rows.to_pandas()
-        run, rep = group["run"].iloc[0], int(group["rep"].iloc[0])
-        table = lambda ids, short: pa.table({"run_id": pa.array([run] * len(ids), pa.string()), "id": pa.array(ids, pa.string()), "short": pa.array([short] * len(ids), pa.bool_())})
-        used: set = set()
-        for s, mine in group.sort_values(["s", "place"]).groupby("s", sort=True):
-            near_ = [x for x in mine["id"].tolist() if x is not None]
-            free = [x for x in near_ if x not in used][:pool]
-            if len(free) < pool and len(near_) == mine["size"].iloc[0]:
-                return table([s], True)
-            one = draw_matched([(s, free)], seed + rep)
-            if not one:
-                return table([], False)
-            used |= set(one)
-        return table(sorted(used), False)
-
-    while True:
-        with_pools = own.join(near, F.col("s") == F.col("seed_id"), "left").select("run", "rep", "s", "id", "place", "size")
-        drawn = scratch.write(with_pools.groupBy("run").applyInArrow(draw, "run_id string, id string, short boolean"))
-        short = drawn.where("short").select(F.col("id").alias("short_id")).distinct()
-        if not short.limit(1).count():
-            return drawn.select("run_id", "id")
-        size *= 2
-        more = matched_pool(target.join(short, F.col("id") == F.col("short_id"), "left_semi"), eligible, size).withColumn("size", F.lit(size))
-        near = scratch.write(near.join(short, F.col("seed_id") == F.col("short_id"), "left_anti").unionByName(more))
+    spark = seeds.sparkSession
+    scratch = Scratch(spark)
+    root, width = f"{scratch.root}/nodes", RANGE_NODES
+    placed = number_rows(target.select("id", "d", F.lit(0).alias("kind")).unionByName(eligible.select("id", "d", F.lit(1).alias("kind"))), "d", "kind", "id")
+    inner = max(0, placed.count() - 1) // width
+    b = F.least(F.lit(inner), F.floor(F.col("at") / width + 0.5).cast("int"))
+    part = F.lit(0)
+    if inner:
+        # For each multiple of the width the middle of the widest gap between seeds around it.
+        ends = spark.range(1, inner + 1).select(F.col("id").cast("int").alias("b"), F.explode(F.array(F.col("id") * width - width // 4, F.col("id") * width + width // 4)).alias("at"))
+        around = placed.where("kind = 0").select(b.alias("b"), "at").where((F.col("b") > 0) & (F.abs(F.col("at") - F.col("b") * width) < width // 4)).unionByName(ends)
+        gap = (F.lead("at").over(Window.partitionBy("b").orderBy("at")) - F.col("at")).alias("gap")
+        best = around.select("b", "at", gap).where("gap is not null").groupBy("b").agg(F.max(F.struct("gap", (F.col("at") + F.ceil(F.col("gap") / 2)).alias("cut"))).alias("best"))
+        cuts = dict(best.select("b", "best.cut").collect())  # one for each range
+        part = F.when((b > 0) & (F.col("at") < F.element_at(F.array(*[F.lit(cuts[i]) for i in range(1, inner + 1)]), F.greatest(b, F.lit(1)))), b - 1).otherwise(b)
+
+    def keep(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("at")
+        _save(root, f"part-{rows['part'][0].as_py()}", (rows["at"].to_numpy(), rows["d"].to_numpy(), rows["id"].to_pylist()))
+        return rows.select(["part"]).slice(0, 1)
+
+    placed.where("kind = 1").select(part.alias("part"), "at", F.col("d").cast("double").alias("d"), "id").groupBy("part").applyInArrow(keep, "part int").count()
+    places = placed.where("kind = 0").select(F.col("id").alias("s"), F.col("d").cast("double").alias("d"), "at", part.alias("part"))
+    own = scratch.write(seeds.select(F.col("run_id").cast("string").alias("run"), F.col("id").alias("k")).join(places, F.col("k") == F.col("s")).select("run", "s", "d", "at", "part"))
+
+    def draws(until: dict[int, int]) -> Callable[[pa.Table], pa.Table]:
+        def draw(rows: pa.Table) -> pa.Table:
+            run, lo = rows["run"][0].as_py(), rows["lo"][0].as_py()
+            table = lambda run, ids: pa.table({"run_id": pa.array([run] * len(ids), pa.string()), "id": pa.array(ids, pa.string()), "lo": pa.array([lo] * len(ids), pa.int32())})
+            at, d, ids = zip(*(_load(root, f"part-{i}", (np.zeros(0, np.int64), np.zeros(0), [])) for i in range(lo, until[lo])))
+            at, d, ids = np.concatenate(at), np.concatenate(d).tolist(), [x for y in ids for x in y]
+            mine = list(zip(rows["s"].to_pylist(), rows["d"].to_pylist(), np.searchsorted(at, rows["at"].to_numpy()).tolist()))
+            out = []
+            for rep in range(repeats):
+                got = draw_nearest(mine, d, ids, pool, seed + rep, lo == 0, until[lo] == inner + 1)
+                if got is None:
+                    return table(run, [None])
+                out.append(table(f"{run}:{rep}", got))
+            return pa.concat_tables(out)
+
+        return draw
+
+    spans, todo, out, wider = [(i, i + 1) for i in range(inner + 1)], set(range(inner + 1)), None, 1
+    while repeats > 0:
+        of = F.element_at(F.array(*[F.lit(lo) for lo, hi in spans for _ in range(lo, hi)]), F.col("part") + 1)
+        some = own.select("run", "s", "d", "at", of.alias("lo")).where(F.col("lo").isin(sorted(todo)))
+        groups = some.repartition(shuffle_partitions(spark), "run", "lo").groupBy("run", "lo")  # a number of its own, else small groups end up in one task
+        drawn = scratch.write(groups.applyInArrow(draws(dict(spans)), "run_id string, id string, lo int"))
+        short = {r[0] for r in drawn.where("id is null").select("lo").distinct().collect()}
+        out = drawn if out is None else out.unionByName(drawn)
+        if not short:
+            return out.select("run_id", "id")
+        joined: list[tuple[int, int]] = []
+        for lo, hi in sorted([(max(0, lo - wider), min(inner + 1, hi + wider)) for lo, hi in spans if lo in short] + spans):
+            if joined and lo < joined[-1][1]:
+                joined[-1] = joined[-1][0], max(hi, joined[-1][1])
+            else:
+                joined.append((lo, hi))
+        todo = {lo for lo, _ in set(joined) - set(spans)}
+        out = out.where(F.col("lo").isin([lo for lo, _ in set(joined) & set(spans)]))
+        spans, wider = joined, 2 * wider
+    return own.where("false").select(F.col("run").alias("run_id"), F.col("s").alias("id"))
+
+
+class Outputs(dict):
+    """Tables by name; ``scores``, a row for each node and run, is made when it is first asked for."""
+
+    def __init__(self, scores: Callable[[], DataFrame], **tables: DataFrame):
+        super().__init__(tables)
+        self._scores = scores
+
+    def __missing__(self, name: str) -> DataFrame:
+        if name != "scores":
+            raise KeyError(name)
+        return self.setdefault(name, self._scores())
 
 
 def run_holdout(
@@ -193,7 +283,7 @@ def run_holdout(
     if len(names) > len(runs):
         rows = rows.unionByName(nulls(walked.where(F.col("run_id").contains(":")), "degree_matched"), allowMissingColumns=True)
     ppr = blocks.scores(state, ends[: len(runs)], edges.sparkSession.createDataFrame(list(enumerate(runs)), "run long, run_id int"))
-    return {"rows": rows, "summary": aggregate_rows(rows, ["method"], ["run_id"]), "split": split, "scores": score_rows(ppr, split, baits)}
+    return Outputs(lambda: score_rows(ppr, split, baits), rows=rows, summary=aggregate_rows(rows, ["method"], ["run_id"]), split=split)
 
 
 def evaluate_graphs(graphs: Mapping[str, DataFrame], seeds: DataFrame, labels: DataFrame, *, k: int = 200, alpha: float = 0.85, tol: float | None = 1e-10, max_iter: int = 500, digits: int | None = None) -> DataFrame:
